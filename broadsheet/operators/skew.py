@@ -1,0 +1,44 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
+    """Keys with at least ``min_rows`` rows: never more than rows / min_rows of them."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    return counts.filter(F.col("_rows") >= min_rows).select(key)
+
+
+def join_hot_safe(
+    left: DataFrame, right: DataFrame, key: str, how: str, min_rows: int
+) -> DataFrame:
+    """Join ``left`` to ``right``, which has at most one row per key.
+
+    The hot keys of ``left`` are looked up first, by a count of the key column that is
+    combined on the map side. Usually there are none, and the join is an ordinary one.
+    Otherwise the rows of hot keys skip the shuffle: their partners, at most one per hot
+    key, are few by the definition of a hot key and are broadcast. Rows without a key
+    have no partner and take no part in either join.
+    """
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join type: {how}")
+    # at most rows / min_rows values
+    hot = hot_keys(left, key, min_rows).collect()
+    without_key = left.filter(F.col(key).isNull())
+    keyed = left.filter(F.col(key).isNotNull())
+    if not hot:
+        joined = keyed.join(right, key, how)
+    else:
+        spark = left.sparkSession
+        hot_table = F.broadcast(spark.createDataFrame(hot, left.select(key).schema))
+        cold = keyed.join(hot_table, key, "left_anti").join(right, key, how)
+        partners = F.broadcast(right.join(hot_table, key, "left_semi"))
+        joined = cold.unionByName(
+            keyed.join(hot_table, key, "left_semi").join(partners, key, how)
+        )
+    if how in ("left", "left_anti"):
+        joined = joined.unionByName(without_key, allowMissingColumns=True)
+    return joined
