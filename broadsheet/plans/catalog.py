@@ -163,9 +163,7 @@ def change_log_csv(spark, folder):
         "id BIGINT, title STRING, old_category STRING, new_category STRING, old_country STRING, "
         "new_country STRING, old_eu_relevance DOUBLE, new_eu_relevance DOUBLE, confidence DOUBLE"
     )
-    read = tables.read_articles_csv(spark, path, columns)
-    # CSV has one form for NULL and ''
-    return read.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("old_country", "new_country")})
+    return tables.read_articles_csv(spark, path, columns)
 
 
 @query

@@ -15,8 +15,8 @@ ARTICLE_CSV = (
 
 
 def read_articles_csv(spark: SparkSession, path: str, columns: str = ARTICLE_CSV) -> DataFrame:
-    """A CSV export; every column stays a string, and empty fields are ''."""
-    return spark.read.options(**_CSV, emptyValue="", nullValue="\u0000").schema(columns).csv(path)
+    """A CSV export with declared columns; an empty string field is '', never NULL."""
+    return spark.read.options(**_CSV).schema(columns).csv(path).na.fill("")
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +25,10 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with header; quotes are doubled so that any text survives a round trip."""
-    df.write.mode(mode).options(header="true", quote='"', escape='"', emptyValue="").csv(path)
+    df.write.mode(mode).options(
+        header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
+        ignoreTrailingWhiteSpace="false",
+    ).csv(path)
 
 
 def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
