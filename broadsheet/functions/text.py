@@ -16,8 +16,9 @@ SPACES = (
     + "".join(chr(c) for c in range(0x2000, 0x200B))
     + "    　"
 )
-_SPACE = "[" + SPACES + "]"
-_WORD = "[^" + SPACES + "]+"
+# The same set as a pattern: one Unicode property test per character, not a list of them.
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+_WORD = r"(?U)[^\s\x1c-\x1f]+"
 
 # Entity names of the HTML standard (those that end in ';'), from the standard library.
 _ENTITY_JSON = json.dumps(
@@ -44,7 +45,7 @@ def blank(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return strip(F.regexp_replace(text, _SPACE + "+", " "))
+    return strip(F.regexp_replace(text, _SPACE_RUN, " "))
 
 
 def word_count(text: Column) -> Column:

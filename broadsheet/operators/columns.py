@@ -11,9 +11,10 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     The optimizer moves a filter below a projection by copying the projected expressions
     into the filter. Over several layers of keyword and score columns the copies multiply,
-    in the plan and at run time. A one-row ``inline`` holds the values instead: filters on
-    its output stay above it, filters on all other columns still go down to the scan.
+    in the plan and at run time. It does not do so for expressions it holds to be
+    non-deterministic, so the values are wrapped in a condition on the partition id that
+    is always true. Columns nobody asks for are still pruned. Filters on other columns
+    stay above as well: apply those first.
     """
-    others = [c for c in df.columns if c not in columns]
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*others, F.inline(F.array(row)))
+    always = F.spark_partition_id() >= 0
+    return df.withColumns({name: F.when(always, value) for name, value in columns.items()})

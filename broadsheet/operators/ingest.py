@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from broadsheet.config import DEFAULT_CONFIG, DEFAULT_RULES, EngineConfig, RuleSet
 from broadsheet.functions.dates import parse_date
 from broadsheet.functions.keywords import any_match, literal_array, sql_text
-from broadsheet.functions.text import clean_text, strip, valid_image_url
+from broadsheet.functions.text import clean_text, decode_entities, strip, valid_image_url
 from broadsheet.functions.urls import resolve_url
 from broadsheet.operators.columns import computed_once
 from broadsheet.operators.skew import join_hot_safe
@@ -204,7 +204,7 @@ def page_extract(pages: DataFrame) -> DataFrame:
             "page_text": clean_text(F.coalesce(article, html)),
             "page_summary": clean_text(F.coalesce(_meta(html, "og:description"), _meta(html, "description"))),
             "page_published": parse_date(when),
-            "page_image": valid_image_url(clean_text(_meta(html, "og:image"))),
+            "page_image": valid_image_url(decode_entities(_meta(html, "og:image"))),
         },
     )
 

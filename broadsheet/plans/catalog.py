@@ -772,6 +772,7 @@ def compare_labelers(spark, folder):
 @query
 def source_run_metrics(spark, folder):
     rows = B.scored(spark, folder).select("seq", "source", "category", "eu_relevance", "quality_score")
+    rows = materialize(rows, "scored")
     kept = quality.quality_gate(rows, B.CONFIG.store_gate)
     return metrics.source_run_metrics(rows, rows, kept, B.CONFIG.relevance_threshold)
 

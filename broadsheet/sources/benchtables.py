@@ -14,6 +14,7 @@ from broadsheet.functions.text import content_hash, falsy_to_null
 from broadsheet.operators.classify import keyword_labels
 from broadsheet.operators.ingest import normalize_source, page_extract
 from broadsheet.operators.quality import quality_score
+from broadsheet.session import spread
 
 # --- Fixed values: rules that fit the invented texts -------------------------------
 RULES = RuleSet(
@@ -57,7 +58,8 @@ CONFIG = EngineConfig(
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def _add_days(base: str, days: Column) -> Column:

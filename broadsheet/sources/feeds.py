@@ -10,13 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RSS_ITEM = (
-    "title STRING, link STRING, description STRING, pubDate STRING, date STRING, "
-    "encoded STRING, "
-    "content ARRAY<STRUCT<_url: STRING, _VALUE: STRING>>, "
-    "enclosure ARRAY<STRUCT<_url: STRING, _type: STRING, _VALUE: STRING>>"
+from broadsheet.session import materialize
+
+_RSS_FIELDS = {
+    "title": "STRING",
+    "link": "STRING",
+    "description": "STRING",
+    "pubDate": "STRING",
+    "date": "STRING",
+    "encoded": "STRING",
+    "content": "ARRAY<STRUCT<_url: STRING, _VALUE: STRING>>",
+    "enclosure": "ARRAY<STRUCT<_url: STRING, _type: STRING, _VALUE: STRING>>",
+}
+ITEM_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in _RSS_FIELDS.items())
+RSS_SCHEMA = (
+    "title STRING, item ARRAY<STRUCT<"
+    + ", ".join(f"{name}: {kind}" for name, kind in _RSS_FIELDS.items())
+    + ">>, _corrupt_record STRING"
 )
-RSS_SCHEMA = f"title STRING, item ARRAY<STRUCT<{_RSS_ITEM.replace(' STRING', ': STRING').replace(' ARRAY', ': ARRAY')}>>, _corrupt_record STRING"
 _ATOM_LINK = "ARRAY<STRUCT<_href: STRING, _rel: STRING, _type: STRING, _VALUE: STRING>>"
 ATOM_SCHEMA = (
     "title STRING, entry ARRAY<STRUCT<title: STRING, link: " + _ATOM_LINK + ", "
@@ -72,7 +83,7 @@ def _atom_entry(entry: Column) -> Column:
 
 def parse_item(xml: Column) -> Column:
     """Entry struct of the text of one <item> element, for feeds landed entry by entry."""
-    item = F.from_xml(xml, _RSS_ITEM, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    item = F.from_xml(xml, ITEM_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
     return _rss_entry(item).cast(ENTRY_TYPE[len("ARRAY<"):-1])
 
 
@@ -89,7 +100,9 @@ def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
     )
-    return reader.load(path).withColumn("_file", F.col("_metadata.file_path"))
+    # saved once: good and broken records are two queries, and Spark refuses a query on raw
+    # files that asks for nothing but broken records
+    return materialize(reader.load(path).withColumn("_file", F.col("_metadata.file_path")), "feeds")
 
 
 def read_feeds(
