@@ -49,8 +49,10 @@ def kept_order_values(
         winners = materialize(undecided.join(leaders, order, "left_semi"), "winners")
         kept = winners.select(order) if kept is None else kept.unionByName(winners.select(order))
         for key in (first, second):
-            taken = winners.select(key)
-            left = join_hot_safe(undecided, taken, key, "left_anti", config.hot_key_rows)
+            left = join_hot_safe(
+                undecided, winners.select(key), key, "left_anti", config.hot_key_rows,
+                undecided.count(),
+            )
             undecided = materialize(left, "undecided")
         if undecided.isEmpty():
             return kept
@@ -75,14 +77,25 @@ def not_in_store(
     keys: tuple[str, ...] = ("url", "content_hash"),
     config: EngineConfig = DEFAULT_CONFIG,
 ) -> DataFrame:
-    """Batch rows that match no store row in any of ``keys``.
+    """Rows of a batch of keys that match no store row in any of ``keys``.
 
-    One equi anti join per key; a single OR condition would plan as a nested loop. The
-    store is unique in each key, and only its key columns are read.
+    One equi anti join per key; a single OR condition would plan as a nested loop. Only
+    the key columns of the store are read. The keys of a batch of proven small size are
+    broadcast to that scan, so the store is not shuffled for it; a larger batch meets the
+    store's keys in a shuffle.
     """
+    batch = materialize(batch, "keys")
+    sizes = batch.agg(
+        F.count("*").alias("rows"), *[F.sum(F.octet_length(k)).alias(k) for k in keys]
+    ).first()
     for key in keys:
-        taken = store.select(key).filter(F.col(key).isNotNull()).distinct()
-        batch = join_hot_safe(batch, taken, key, "left_anti", config.hot_key_rows)
+        taken = store.select(key).filter(F.col(key).isNotNull())
+        if (sizes[key] or 0) <= config.broadcast_key_bytes:
+            wanted = batch.select(key).distinct()
+            taken = taken.join(F.broadcast(wanted), key, "left_semi")
+        batch = join_hot_safe(
+            batch, taken.distinct(), key, "left_anti", config.hot_key_rows, sizes["rows"]
+        )
     return batch
 
 
@@ -95,7 +108,7 @@ def new_rows(
     """Batch rows to insert: unknown to the store, first of their url and content hash.
 
     Both decisions are made on (order, url, content_hash); whole rows are shuffled once.
-    The batch is read several times and should be a written table (``materialize``).
+    The batch is read twice and should be a written table where it is costly to compute.
     """
     keys = batch.select(order, "url", "content_hash")
     if store is not None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions.text import blank, preview
 from broadsheet.schemas import EVAL_CLASSES
+from broadsheet.session import materialize
 
 
 def sample_key(seed: int):
@@ -37,6 +38,8 @@ def stratified_sample(
         raise ValueError("n must be positive")
     is_short = F.coalesce(F.length("content"), F.lit(0)) < short_chars
     keys = articles.select(order, "source", sample_key(seed).alias("_key"), is_short.alias("_short"))
+    # the lengths of all texts are taken once
+    keys = materialize(keys, "sample-keys")
     by_key = [F.col("_key"), F.col(order)]
 
     sizes = keys.groupBy("source").agg(F.count("*").alias("_size"))
@@ -82,11 +85,16 @@ def stratified_sample(
             F.col("_short") & (F.col("_up") <= F.col("_swaps"))
         )
     )
-    return articles.join(chosen.select(order), order, "left_semi")
+    # never more than n rows
+    return articles.join(F.broadcast(chosen.select(order)), order, "left_semi")
 
 
 def sample_remainder(articles: DataFrame, sample: DataFrame, order: str = "seq") -> DataFrame:
-    return articles.join(sample.select(order), order, "left_anti")
+    """The articles that are not in the sample.
+
+    The sample's keys are written first: their real size then decides the kind of join.
+    """
+    return articles.join(materialize(sample.select(order), "sample"), order, "left_anti")
 
 
 def eval_rows(compared: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
 
 
 def join_hot_safe(
-    left: DataFrame, right: DataFrame, key: str, how: str, min_rows: int
+    left: DataFrame, right: DataFrame, key: str, how: str, min_rows: int,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per key.
 
@@ -21,12 +22,15 @@ def join_hot_safe(
     combined on the map side. Usually there are none, and the join is an ordinary one.
     Otherwise the rows of hot keys skip the shuffle: their partners, at most one per hot
     key, are few by the definition of a hot key and are broadcast. Rows without a key
-    have no partner and take no part in either join.
+    have no partner and take no part in either join. ``left_rows``, where it is known,
+    saves the count: fewer than ``min_rows`` rows hold no hot key.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    # at most rows / min_rows values
-    hot = hot_keys(left, key, min_rows).collect()
+    if left_rows is not None and left_rows < min_rows:
+        hot = []
+    else:
+        hot = hot_keys(left, key, min_rows).collect()  # at most rows / min_rows values
     without_key = left.filter(F.col(key).isNull())
     keyed = left.filter(F.col(key).isNotNull())
     if not hot:

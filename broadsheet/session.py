@@ -48,7 +48,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/broadsheet/{label}-{uuid.uuid4().hex}"
+    run = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/broadsheet/{run}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written below the shared folder.
+
+    For the end of a job: frames that came out of :func:`materialize` are gone after it.
+    """
+    run = spark.sparkContext.applicationId
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/broadsheet/{run}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
