@@ -20,10 +20,24 @@ def passed_relevance(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.groupBy("source").agg(passed.alias("articles_passed_relevance"))
 
 
+def _exact(value: Column) -> Column:
+    """A score as a decimal: sums of doubles would depend on the order of the rows."""
+    return value.cast("decimal(18,6)")
+
+
+def _mean(total: Column, n: Column) -> Column:
+    """Mean to two decimals, half up; NULL for no rows."""
+    ratio = F.try_divide(total.cast("decimal(20,6)"), n.cast("decimal(13,0)"))
+    return F.round(ratio, 2).cast("double")
+
+
 def avg_nonzero(scored: DataFrame, column: str, out: str) -> DataFrame:
     """Mean of the non-zero values per source, two decimals; NULL if there is none."""
-    mean = F.round(F.avg(F.nullif(F.col(column), F.lit(0.0))), 2)
-    return scored.groupBy("source").agg(mean.alias(out))
+    value = F.nullif(F.col(column), F.lit(0.0))
+    sums = scored.groupBy("source").agg(
+        F.sum(_exact(value)).alias("_sum"), F.count(value).alias("_n")
+    )
+    return sums.select("source", _mean(F.col("_sum"), F.col("_n")).alias(out))
 
 
 def distribution_json(entries: Column) -> Column:
@@ -75,9 +89,9 @@ def source_run_metrics(
         F.count_if(F.col("tag") == "stored").alias("stored"),
         F.count_if(F.col("tag") == "scored").alias("n"),
         F.count_if(F.col("eu") >= F.lit(threshold)).alias("passed"),
-        F.sum("eu").alias("eu_sum"),
+        F.sum(_exact(F.col("eu"))).alias("eu_sum"),
         F.count("eu").alias("eu_n"),
-        F.sum("quality").alias("q_sum"),
+        F.sum(_exact(F.col("quality"))).alias("q_sum"),
         F.count("quality").alias("q_n"),
     )
     labelled = F.when(F.col("category").isNotNull(), F.struct("category", "n"))
@@ -85,8 +99,8 @@ def source_run_metrics(
         F.sum("fetched").alias("articles_fetched"),
         F.sum("stored").alias("articles_stored"),
         F.sum("passed").alias("articles_passed_relevance"),
-        F.round(F.try_divide(F.sum("eu_sum"), F.sum("eu_n")), 2).alias("avg_eu_relevance"),
-        F.round(F.try_divide(F.sum("q_sum"), F.sum("q_n")), 2).alias("avg_quality_score"),
+        _mean(F.sum("eu_sum"), F.sum("eu_n")).alias("avg_eu_relevance"),
+        _mean(F.sum("q_sum"), F.sum("q_n")).alias("avg_quality_score"),
         distribution_json(F.collect_list(labelled)).alias("category_distribution"),
     )
 

@@ -238,10 +238,19 @@ old AS (SELECT * FROM b WHERE seq % 5 = 0),
 n AS (SELECT * FROM b WHERE seq % 5 <> 0 AND url NOT IN (SELECT url FROM old) AND content_hash NOT IN (SELECT content_hash FROM old)),
 ins AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)"""
 ORACLE["store_upsert"] = WITH + UPSERT + " SELECT * FROM ins"
-METRICS = """ SELECT source, count(*) AS articles_fetched, count(*) FILTER (quality_score >= 0.6::double) AS articles_stored,
- count(*) FILTER (eu_relevance >= 3) AS articles_passed_relevance, round(avg(nullif(eu_relevance, 0)), 2) AS avg_eu_relevance,
- round(avg(nullif(quality_score, 0)), 2) AS avg_quality_score,
- (SELECT '{' || string_agg('"' || c || '":' || n::varchar, ',' ORDER BY c) || '}' FROM (SELECT category AS c, count(*) AS n FROM s s2 WHERE s2.source = s.source AND category <> '' GROUP BY 1)) AS category_distribution
+
+
+def _mean(column: str) -> str:
+    """Mean of the non-zero values to two decimals, half up, in whole numbers."""
+    total = f"sum(round({column} * 1000000)::hugeint)"
+    n = f"count(*) FILTER ({column} <> 0)"
+    return f"CASE WHEN {n} > 0 THEN (((200 * {total} + {n} * 1000000) // (2 * {n} * 1000000))::bigint)::double / 100 END"
+
+
+METRICS = f""" SELECT source, count(*) AS articles_fetched, count(*) FILTER (quality_score >= 0.6::double) AS articles_stored,
+ count(*) FILTER (eu_relevance >= 3) AS articles_passed_relevance, {_mean('eu_relevance')} AS avg_eu_relevance,
+ {_mean('quality_score')} AS avg_quality_score,
+ (SELECT '{{' || string_agg('"' || c || '":' || n::varchar, ',' ORDER BY c) || '}}' FROM (SELECT category AS c, count(*) AS n FROM s s2 WHERE s2.source = s.source AND category <> '' GROUP BY 1)) AS category_distribution
  FROM s GROUP BY source"""
 ORACLE["source_run_metrics"] = WITH + S + METRICS
 ORACLE["source_metrics_append"] = WITH + S + f""" SELECT 'run-1' AS run_id, source AS source_name, * EXCLUDE (source), TIMESTAMP '2024-03-01' AS timestamp FROM ({METRICS})"""
@@ -339,8 +348,8 @@ ORACLE["entry_page"] = WITH + ITEMS + f""", g AS (SELECT 'https://feed.example/'
 ORACLE["fetched_by_source"] = WITH + A + " SELECT source, count(*) AS articles_fetched FROM a GROUP BY 1"
 ORACLE["stored_by_source"] = WITH + UPSERT + " SELECT source, count(*) AS articles_stored FROM ins GROUP BY 1"
 ORACLE["passed_relevance"] = WITH + S + " SELECT source, count(*) FILTER (eu_relevance >= 3) AS articles_passed_relevance FROM s GROUP BY 1"
-ORACLE["avg_relevance"] = WITH + S + " SELECT source, round(avg(nullif(eu_relevance, 0)), 2) AS avg_eu_relevance FROM s GROUP BY 1"
-ORACLE["avg_quality"] = WITH + S + " SELECT source, round(avg(nullif(quality_score, 0)), 2) AS avg_quality_score FROM s GROUP BY 1"
+ORACLE["avg_relevance"] = WITH + S + f" SELECT source, {_mean('eu_relevance')} AS avg_eu_relevance FROM s GROUP BY 1"
+ORACLE["avg_quality"] = WITH + S + f" SELECT source, {_mean('quality_score')} AS avg_quality_score FROM s GROUP BY 1"
 ORACLE["category_distribution"] = WITH + S + """ SELECT source, '{' || string_agg('"' || category || '":' || n::varchar, ',' ORDER BY category) || '}' AS category_distribution
  FROM (SELECT source, category, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1"""
 ORACLE["call_outcomes"] = WITH + TELEMETRY + """ SELECT run_id, count(*) FILTER (starts_with(prompt_version, 'classification') AND status = 'ok') AS calls_ok,
