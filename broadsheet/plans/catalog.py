@@ -21,7 +21,7 @@ from broadsheet.operators import quality, runs, serve, store, summarize
 from broadsheet.plans import pipeline
 from broadsheet.session import materialize, scratch_path
 from broadsheet.sources import benchtables as B
-from broadsheet.sources import feeds, tables
+from broadsheet.sources import completer, feeds, tables
 from broadsheet.streaming import dedup as stream_dedup
 from broadsheet.streaming import files, ingest as stream_ingest
 from broadsheet.streaming import metrics as stream_metrics
@@ -805,6 +805,22 @@ def article_pipeline(spark, folder):
     )
 
 
+@query
+def complete_prompts(spark, folder):
+    """A stand-in for a model: answers with the size of its prompt, refuses long ones."""
+
+    def size(prompt: str) -> dict:
+        if len(prompt) > 1_500:
+            raise ValueError("too long")
+        return {"text": str(len(prompt)), "tokens_in": len(prompt.split()), "model": "size"}
+
+    rows = B.articles(spark, folder)
+    prompt = T.render_prompt(TEMPLATE, B.CONFIG.prompt_chars, F.col("title"), F.col("source"), F.col("content"))
+    prompts = rows.select("seq", F.lit("classification").alias("stage"), prompt.alias("prompt"))
+    answers = completer.complete(prompts, size)
+    return answers.select("seq", "stage", "text", "status", "error", "model", "tokens_in", "tokens_out")
+
+
 # --- streaming ----------------------------------------------------------------------
 
 

@@ -303,6 +303,10 @@ ORACLE["page_extract"] = f"""SELECT page_id, {_PAGE_TITLE} AS page_title, {_PAGE
 ORACLE["resolve_urls"] = WITH + HREFS + f" SELECT page_id, place, {_resolved('href')} AS link FROM hr"
 ORACLE["render_prompt"] = WITH + A + rf""" SELECT seq, 'Outlet: ' || source || chr(10) || 'Headline: ' || title || chr(10) || '---' || chr(10)
  || substr({_clean('content')}, 1, 1500) || chr(10) || '---' || chr(10) || 'Answer in JSON.' AS prompt FROM a"""
+ORACLE["complete_prompts"] = WITH + "p AS (" + ORACLE["render_prompt"] + r""") SELECT seq, 'classification' AS stage,
+ CASE WHEN length(prompt) > 1500 THEN '' ELSE length(prompt)::varchar END AS text, CASE WHEN length(prompt) > 1500 THEN 'api_error' ELSE 'ok' END AS status,
+ CASE WHEN length(prompt) > 1500 THEN 'too long' ELSE '' END AS error, CASE WHEN length(prompt) > 1500 THEN '' ELSE 'size' END AS model,
+ CASE WHEN length(prompt) > 1500 THEN 0 ELSE len(regexp_extract_all(prompt, '\S+')) END AS tokens_in, 0::bigint AS tokens_out FROM p"""
 ORACLE["strip_code_fence"] = WITH + RESP + f" SELECT seq, {FENCE} AS body FROM r WHERE stage = 'classification'"
 PARSED = RESP + f", rc AS (SELECT seq, text FROM r WHERE stage = 'classification'), {PARSE}"
 ORACLE["parse_classification"] = WITH + PARSED + " SELECT seq, category0 AS category, country0 AS country, eu0 AS eu_relevance, conf0 AS confidence, valid0 AS valid, reason AS fallback_reason FROM p"

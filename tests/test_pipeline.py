@@ -10,7 +10,7 @@ from broadsheet.functions.text import article_hash
 from broadsheet.operators.dedup import ordered_dedup
 from broadsheet.operators.runs import run_state
 from broadsheet.operators.store import store_upsert
-from broadsheet.plans.pipeline import Tables, budget_flags, deduplicated, run_pipeline, score_articles
+from broadsheet.plans.pipeline import Tables, deduplicated, run_pipeline, score_articles
 from broadsheet.schemas import RESPONSE, SOURCE_METRIC, STORE, TELEMETRY
 from broadsheet.sources.tables import read_table
 from broadsheet.streaming.dedup import unique_urls

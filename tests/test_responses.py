@@ -3,7 +3,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from broadsheet.functions import responses as R
 

@@ -3,7 +3,6 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from broadsheet.config import EngineConfig
 from broadsheet.operators import evaluate, metrics, publish, runs, serve, store
