@@ -96,3 +96,14 @@ SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ranked
 """
+
+ORACLE["op5_warc"] = r"""
+WITH p AS (
+  SELECT page_id, sha1(encode(coalesce(html, ''))) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+k AS (
+  SELECT digest, n, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY ALL HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM p LEFT JOIN k USING (digest, n)
+"""

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from broadsheet.llm.common import table
 from broadsheet.llm.mixing import mix_sources
 from broadsheet.llm.urls import judge_urls
+from broadsheet.llm.warc import read_warc, write_warc
+from broadsheet.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,3 +31,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder).drop("url")
