@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from broadsheet.llm.common import table
+from broadsheet.llm.language import language, learn_profiles
 from broadsheet.llm.mixing import mix_sources
+from broadsheet.llm.toxicity import learn, toxicity
 from broadsheet.llm.urls import judge_urls
 from broadsheet.llm.warc import read_warc, write_warc
 from broadsheet.session import scratch_path
@@ -33,6 +36,37 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold_of(doc_id: Column, folds: int) -> Column:
+    """The fold of a document; one without an id is in none that teaches (-1)."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(-1))
+
+
+TOXIC_AT = 0.7
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(
+        fold_of(F.col("doc_id"), 3).isin(0, 2)
+    )
+    model = learn(docs, labels)
+    return docs.select(
+        "doc_id", (~fold_of(F.col("doc_id"), 3).isin(0, 2)).alias("held_out"),
+        toxicity(F.col("text"), model).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= TOXIC_AT).cast("int"))
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 5) < 1
+    profiles = learn_profiles(docs.where(~held_out))
+    return docs.select(
+        "doc_id", held_out.alias("held_out"), language(F.col("text"), profiles).alias("p")
+    ).select("doc_id", "held_out", "p.*")
+
+
 @query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
