@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -109,7 +109,7 @@ class Scorer:
         return 1 / (1 + math.exp(-(const + whole * a + dense * b)))
 
 
-def _counts(rows: DataFrame, terms) -> DataFrame:
+def _counts(rows: DataFrame, terms: Callable[[str], set[str]]) -> DataFrame:
     """(term, pos, neg): documents of each label with the term; counted in tasks first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,8 +160,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # written once: the bounded sample is read for each count below
-    rows = materialize(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"),
-                       "toxic-sample")
+    # (copies of one text teach once)
+    rows = materialize(
+        docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic").distinct(),
+        "toxic-sample",
+    )
     total = rows.agg(F.sum("toxic").alias("pos"), F.count("toxic").alias("n")).first()
     pos, neg = total.pos or 0, total.n - (total.pos or 0)
     if not pos:
@@ -175,9 +178,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     }
     # Of nested entries the shortest stays, unless a longer one has nearly all its documents.
     kept: dict[str, float] = {}
-    longer = {t: max((found[o][0] for o in (t + c for c in {o[len(t)] for o in found
-              if o.startswith(t) and len(o) == len(t) + 1})), default=0) for t in found} \
-        if len(found) <= 2_000 else {}
+    longer: dict[str, int] = {}
+    for term, (docs_with, _) in found.items():
+        longer[term[:-1]] = max(docs_with, longer.get(term[:-1], 0))
     for term in sorted(found, key=lambda t: (len(t), t)):
         if any(term[:n] in kept for n in PREFIXES if n < len(term)):
             continue
