@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import table
 from broadsheet.llm.language import language, learn_profiles
 from broadsheet.llm.mixing import mix_sources
+from broadsheet.llm.tokens import read_digests, write_tokens
 from broadsheet.llm.toxicity import learn, toxicity
 from broadsheet.llm.urls import judge_urls
 from broadsheet.llm.warc import read_warc, write_warc
@@ -72,3 +74,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(spark, folder).drop("url")
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), folder, TOKENIZER)
+    return read_digests(spark, folder)
