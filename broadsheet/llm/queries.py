@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import table
+from broadsheet.llm.imatch import compare_edited
 from broadsheet.llm.language import language, learn_profiles
 from broadsheet.llm.mixing import mix_sources
 from broadsheet.llm.tokens import read_digests, write_tokens
@@ -26,6 +27,11 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
