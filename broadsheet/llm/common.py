@@ -106,8 +106,12 @@ def components(links: DataFrame, label: str) -> DataFrame:
 
 SPACE_BYTES = np.zeros(256, dtype=bool)
 SPACE_BYTES[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+# as LOWER, with ASCII punctuation turned into blanks
+LETTERS = np.array(
+    [b if b > 127 or chr(b).isalnum() else 32 for b in LOWER.tolist()], dtype=np.uint8
+)
 _BYTE_CODES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * 2 + 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -129,15 +133,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    texts: list[bytes], table: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``texts`` in order, and the words before each text.
 
+    ``table`` maps bytes before words are taken, as LOWER and LETTERS do.
     One pass over the joined bytes: a prefix sum of coded bytes times powers of an odd base
     gives each word's hash from two of its entries, so there is no loop over words.
     """
     joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    if lower:
-        joined = _LOWER[joined]
+    if table is not None:
+        joined = table[joined]
     gap = SPACE_BYTES[joined]
     edge = np.flatnonzero(np.diff(gap, prepend=True))  # word starts and ends by turns
     starts, ends = edge[0::2], edge[1::2]

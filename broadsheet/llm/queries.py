@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from broadsheet.llm.common import table
 from broadsheet.llm.imatch import compare_edited
 from broadsheet.llm.language import language, learn_profiles
+from broadsheet.llm.leaks import find_leaks
 from broadsheet.llm.mixing import mix_sources
 from broadsheet.llm.tokens import read_digests, write_tokens
 from broadsheet.llm.toxicity import learn, toxicity
@@ -90,3 +91,8 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder, TOKENIZER)
     return read_digests(spark, folder)
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
