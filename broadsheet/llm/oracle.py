@@ -107,3 +107,25 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN kept <> page_id THEN kept END AS refers_to
 FROM p LEFT JOIN k USING (digest, n)
 """
+
+ORACLE["op2_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+  FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS r FROM s
+  UNION SELECT l.a, reach.r FROM reach JOIN links l ON l.b = reach.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, (SELECT count(*) FROM links l WHERE l.a = s.doc_id) AS n_links,
+       (SELECT min(r) FROM reach WHERE reach.a = s.doc_id) AS component_id
+FROM s
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm.common import table
 from broadsheet.llm.imatch import compare_edited
+from broadsheet.llm.jaccard import jaccard_components
 from broadsheet.llm.language import language, learn_profiles
 from broadsheet.llm.leaks import find_leaks
 from broadsheet.llm.mixing import mix_sources
@@ -33,6 +34,11 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
