@@ -14,6 +14,7 @@ from broadsheet.llm.jaccard import jaccard_components
 from broadsheet.llm.language import language, learn_profiles
 from broadsheet.llm.leaks import find_leaks
 from broadsheet.llm.mixing import mix_sources
+from broadsheet.llm.repeats import remove_repeats
 from broadsheet.llm.tokens import read_digests, write_tokens
 from broadsheet.llm.toxicity import learn, toxicity
 from broadsheet.llm.urls import judge_urls
@@ -102,3 +103,10 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
