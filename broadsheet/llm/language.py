@@ -95,7 +95,7 @@ def learn_profiles(
                     _, keys, counts = grams(part)
                     whole, place = np.unique(keys, return_inverse=True)
                     yield pd.DataFrame({
-                        "lang": lang, "gram": whole.astype(np.int64),
+                        "lang": pd.Series([lang] * len(whole), dtype=object), "gram": whole.astype(np.int64),
                         "n": np.bincount(place, weights=counts).astype(np.int64),
                     })
 
@@ -166,6 +166,7 @@ def language(
             got = judge(part) if names else (["und"] * len(part), [0.0] * len(part))
             langs += got[0]
             scores += got[1]
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+        return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object),
+                             "score": pd.Series(scores, dtype=float)})
 
     return predict(text)

@@ -118,8 +118,9 @@ def _counts(rows: DataFrame, terms: Callable[[str], set[str]]) -> DataFrame:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 (pos if toxic else neg).update(terms(fold(text)))
         every = list(pos.keys() | neg.keys())
-        yield pd.DataFrame({"term": every, "pos": [pos[t] for t in every],
-                            "neg": [neg[t] for t in every]})
+        if every:
+            yield pd.DataFrame({"term": pd.Series(every, dtype=object),
+                                "pos": [pos[t] for t in every], "neg": [neg[t] for t in every]})
 
     return (
         rows.mapInPandas(count, "term string, pos long, neg long")
