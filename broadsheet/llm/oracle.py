@@ -46,10 +46,15 @@ templates AS (
          array_to_string(s[3:], '/') AS below
   FROM renamed r JOIN shapes t USING (host, shape)),
 overall AS (SELECT (sum(b) + 1) / (sum(l) + 2) AS p0 FROM templates),
-branches AS (
+counted AS (
   SELECT host, branch, count(DISTINCT below) AS k, min(below) AS lo, max(below) AS hi,
-         floor(4 * (sum(b) + any_value(p0)) / (sum(l) + 1)) AS quarter
-  FROM templates, overall GROUP BY host, branch),
+         sum(b) AS bb, sum(l) AS bl
+  FROM templates GROUP BY host, branch),
+alike AS (SELECT branch, sum(bb) AS ab, sum(bl) AS al FROM counted GROUP BY branch),
+branches AS (
+  SELECT host, branch, k, lo, hi,
+         floor(4 * (bb + 4 * ((ab + 4 * p0) / (al + 4))) / (bl + 4)) AS quarter
+  FROM counted JOIN alike USING (branch), overall),
 kin AS (
   SELECT host, branch, min(branch) OVER (PARTITION BY host, k, lo, hi, quarter) AS kin FROM branches),
 named AS (
@@ -60,7 +65,7 @@ purity AS (
   SELECT host, template, (b + 4 * ((ab + 4 * p0) / (al + 4))) / (l + 4) AS purity
   FROM own JOIN anywhere USING (template), overall)
 SELECT j.page_id, j.host, j.path, j.rule, n.template, p.purity,
-       coalesce(j.rv, CASE WHEN p.purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(j.rv, CASE WHEN p.purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j JOIN named n USING (host, shape) JOIN purity p USING (host, template)
 """
 

@@ -89,8 +89,8 @@ def template_purity(
        less on average;
     3. first-level branches of a host merge if they look alike: as many templates below, the
        same first and last one, and smoothed purity in the same quarter;
-    4. purity is smoothed towards the same template over all hosts, and that towards the
-       share over all labelled urls.
+    4. purity is smoothed towards the same template (in step 3 the same branch) over all
+       hosts, and that towards the share over all labelled urls.
 
     Everything after step 1 works on counts, so a host with most of the rows is no hot key.
     """
@@ -126,8 +126,13 @@ def template_purity(
         templates.groupBy("host", "branch")
         .agg(F.count_distinct("below").alias("k"), F.min("below").alias("lo"),
              F.max("below").alias("hi"), F.sum("b").alias("bb"), F.sum("l").alias("bl"))
-        .crossJoin(F.broadcast(overall))  # a single row
-        .withColumn("quarter", F.floor(4 * (F.col("bb") + F.col("p0")) / (F.col("bl") + 1)))
+    )
+    alike = branches.groupBy("branch").agg(F.sum("bb").alias("ab"), F.sum("bl").alias("al"))
+    branches = (
+        branches.join(alike, "branch").crossJoin(F.broadcast(overall))  # a single row
+        .withColumn("kin_p", (F.col("ab") + weight * F.col("p0")) / (F.col("al") + weight))
+        .withColumn("quarter", F.floor(
+            4 * (F.col("bb") + weight * F.col("kin_p")) / (F.col("bl") + weight)))
     )
     merged = branches.groupBy("host", "k", "lo", "hi", "quarter").agg(F.min("branch").alias("kin"))
     kin = branches.join(merged, ["host", "k", "lo", "hi", "quarter"]).select("host", "branch", "kin")
@@ -152,7 +157,7 @@ def judge_urls(
 
     A rule's verdict holds where one fits. Urls under rules are also the labelled ones from
     which :func:`template_purity` learns; every other url is blocked if its template's
-    smoothed purity reaches ``reject_at``. A null url, or one without ``://``, has an empty
+    smoothed purity exceeds ``reject_at``. A null url, or one without ``://``, has an empty
     host and path and shares the template of such urls. Repeated rows give repeated results;
     an empty table gives none; other columns of ``pages`` are ignored.
     """
@@ -171,7 +176,7 @@ def judge_urls(
         .join(template_purity(labelled), ["host", "shape"], "left")
         .select(
             "page_id", "host", "path", "rule", "template", "purity",
-            F.coalesce("rule_verdict", F.when(F.col("purity") >= reject_at, "block")
+            F.coalesce("rule_verdict", F.when(F.col("purity") > reject_at, "block")
                        .otherwise("allow")).alias("verdict"),
         )
     )
