@@ -74,6 +74,11 @@ def encode_record(
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _gzip(record: bytes) -> bytes:
+    squeeze = zlib.compressobj(6, wbits=31)
+    return squeeze.compress(record) + squeeze.flush()
+
+
 class _Shard:
     """The files of one shard: written under temporary names, renamed when they are whole."""
 
@@ -82,15 +87,13 @@ class _Shard:
         self.shard, self.file_bytes, self.count = shard, file_bytes, 0
         self.out = None
 
-    def add(self, record: bytes) -> Iterator[tuple]:
+    def add(self, member: bytes) -> Iterator[tuple]:
         if self.out is None:
             self.name = f"shard-{self.shard:05d}-{self.count:04d}.warc.gz"
             self.temp = f"{self.path}/_tmp-{uuid.uuid4().hex}"
             self.out = self.store.open_output_stream(self.temp, compression=None)
             self.records = self.size = 0
             self.hash = hashlib.sha1(usedforsecurity=False)
-        squeeze = zlib.compressobj(6, wbits=31)
-        member = squeeze.compress(record) + squeeze.flush()
         self.out.write(member)
         self.hash.update(member)
         self.records += 1
@@ -123,11 +126,13 @@ def _write(folder: str, file_bytes: int):
                     if now is not None and (done := list(now.roll())):
                         yield batch(done)
                     now = _Shard(folder, r["shard"], file_bytes)
-                payload = None if r["html"] is None else r["html"].encode("utf-8", "surrogatepass")
-                digest = bytes.fromhex(r["digest"]) if payload is None else _sha1(payload)
-                record = encode_record(r["page_id"], r["url"], payload, digest,
-                                       r["payload_bytes"], r["refers_to"])
-                if done := list(now.add(record)):
+                member = r["member"]
+                if member is None:
+                    member = _gzip(encode_record(
+                        r["page_id"], r["url"], None, bytes.fromhex(r["digest"]),
+                        r["payload_bytes"], r["refers_to"],
+                    ))
+                if done := list(now.add(member)):
                     yield batch(done)
         if now is not None and (done := list(now.roll())):
             yield batch(done)
@@ -169,22 +174,37 @@ def write_warc(
         .agg(F.min("page_id").alias("start")).orderBy("shard").collect()
     ]
 
-    @F.pandas_udf("int")
-    def shard_of(ids):
-        return ids.map(lambda i: max(0, bisect_right(starts, i) - 1), na_action="ignore").fillna(0)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out = []
+            for page_id, url, html in zip(*(rows.column(k).to_pylist() for k in range(3))):
+                payload = html.encode("utf-8", "surrogatepass")
+                digest = _sha1(payload)
+                shard = 0 if page_id is None else max(0, bisect_right(starts, page_id) - 1)
+                record = encode_record(page_id, url, payload, digest, len(payload), None)
+                out.append((shard, page_id, url, digest.hex(), len(payload), _gzip(record)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], t) for k, t in enumerate((
+                    pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()))],
+                names=["shard", "page_id", "url", "digest", "payload_bytes", "member"],
+            )
 
     kept = (
         rows.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest", "payload_bytes")
         .agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1 AND kept IS NOT NULL").drop("copies")
     )
-    # Rows without a match keep their place: adaptive execution splits a hot digest's rows.
-    marked = rows.join(kept, ["digest", "payload_bytes"], "left").withColumn(
+    # Pages travel as compressed records, and as none once they turn out to be revisits. Rows
+    # without a match keep their place: adaptive execution splits a hot digest's rows.
+    records = rows.select("page_id", "url", "html").mapInArrow(
+        encode, "shard int, page_id long, url string, digest string, payload_bytes long, "
+                "member binary"
+    )
+    marked = records.join(kept, ["digest", "payload_bytes"], "left").withColumn(
         "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
-    ).withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+    ).withColumn("member", F.when(F.col("refers_to").isNull(), F.col("member")))
     manifest = (
-        marked.withColumn("shard", shard_of("page_id"))
-        .select("shard", "page_id", "url", "html", "digest", "payload_bytes", "refers_to")
+        marked.select("shard", "page_id", "url", "digest", "payload_bytes", "refers_to", "member")
         .repartition(max(1, min(len(starts), shuffle_width(spark))), "shard")
         .sortWithinPartitions("shard", "page_id", "digest", "url")
         .mapInArrow(_write(folder, file_bytes), MANIFEST)
