@@ -2,61 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.config import DEFAULT_CONFIG, EngineConfig
-from broadsheet.operators.skew import join_hot_safe
 from broadsheet.session import materialize
 
 
+def _known(key: str) -> Column:
+    """The key as a value that is never NULL: NULL is a key like any other."""
+    return F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n"))
+
+
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    first, second, kept = set(), set(), []
+    for order, a, b in rows.sort_values("o")[["o", "a", "b"]].itertuples(index=False):
+        if a not in first and b not in second:
+            first.add(a)
+            second.add(b)
+            kept.append(order)
+    return pd.DataFrame({"o": pd.Series(kept, dtype="int64")})
+
+
 def kept_order_values(
     keys: DataFrame,
     first: str,
     second: str,
     order: str = "seq",
-    max_rounds: int = 100,
     config: EngineConfig = DEFAULT_CONFIG,
 ) -> DataFrame:
     """Order values of the rows a sequential walk keeps.
 
     The walk goes up in ``order`` and keeps a row if neither of its keys belongs to a
-    row kept before. Rows that agree in both keys share their fate with the first of
-    them, so one partial aggregation shrinks every group of copies to one row before
-    anything is shuffled.
+    row kept before; NULL is a key like any other. Rows that agree in both keys share their
+    fate with the first of them, so one partial aggregation shrinks every group of copies to
+    one row before anything is shuffled.
 
     If no value of ``second`` occurs with two values of ``first`` - the usual case - the
     walk keeps the first row per ``first``. Otherwise each round keeps the rows that
-    lead both of their groups and removes the rows that share a key with them, until
-    none is undecided; the leading undecided row always wins, so every round progresses.
+    lead both of their groups and removes the rows that share a key with them; the leading
+    undecided row always wins, so every round progresses. Once no more than
+    ``config.walk_rows`` rows are undecided, a single task walks over them.
     """
     # read several times below, and its real size then guides the joins
-    pairs = materialize(keys.groupBy(first, second).agg(F.min(order).alias(order)), "pairs")
-    clashes = (
-        pairs.groupBy(second)
-        .agg(F.min(first).alias("_low"), F.max(first).alias("_high"))
-        .filter(F.col("_low") != F.col("_high"))
+    pairs = materialize(
+        keys.select(_known(first).alias("a"), _known(second).alias("b"), F.col(order).alias("o"))
+        .groupBy("a", "b").agg(F.min("o").alias("o")), "pairs",
     )
-    if clashes.isEmpty():
-        return pairs.groupBy(first).agg(F.min(order).alias(order)).select(order)
-
-    undecided = pairs
-    kept = None
-    for _ in range(max_rounds):
-        lead_first = undecided.groupBy(first).agg(F.min(order).alias(order)).select(order)
-        lead_second = undecided.groupBy(second).agg(F.min(order).alias(order)).select(order)
-        leaders = lead_first.join(lead_second, order, "left_semi")
-        winners = materialize(undecided.join(leaders, order, "left_semi"), "winners")
-        kept = winners.select(order) if kept is None else kept.unionByName(winners.select(order))
-        for key in (first, second):
-            left = join_hot_safe(
-                undecided, winners.select(key), key, "left_anti", config.hot_key_rows,
-                undecided.count(),
-            )
-            undecided = materialize(left, "undecided")
-        if undecided.isEmpty():
-            return kept
-    raise RuntimeError(f"deduplication undecided after {max_rounds} rounds")
+    clashes = pairs.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    if clashes.filter("low <> high").isEmpty():
+        return pairs.groupBy("a").agg(F.min("o").alias(order)).select(order)
+
+    undecided, kept = pairs, []
+    while undecided.count() > config.walk_rows:
+        lead_a = undecided.groupBy("a").agg(F.min("o").alias("o")).select("o")
+        lead_b = undecided.groupBy("b").agg(F.min("o").alias("o")).select("o")
+        leaders = lead_a.join(lead_b, "o", "left_semi")
+        winners = materialize(undecided.join(leaders, "o", "left_semi"), "winners")
+        kept.append(winners.select("o"))
+        undecided = materialize(
+            undecided.join(winners.select("a"), "a", "left_anti")
+            .join(winners.select("b"), "b", "left_anti"), "undecided",
+        )
+    # its size has just been checked
+    kept.append(undecided.groupBy().applyInPandas(_walk, "o long"))
+    return reduce(DataFrame.unionByName, kept).select(F.col("o").alias(order))
 
 
 def ordered_dedup(
@@ -85,17 +98,13 @@ def not_in_store(
     store's keys in a shuffle.
     """
     batch = materialize(batch, "keys")
-    sizes = batch.agg(
-        F.count("*").alias("rows"), *[F.sum(F.octet_length(k)).alias(k) for k in keys]
-    ).first()
+    sizes = batch.agg(*[F.sum(F.octet_length(k)).alias(k) for k in keys]).first()
     for key in keys:
         taken = store.select(key).filter(F.col(key).isNotNull())
         if (sizes[key] or 0) <= config.broadcast_key_bytes:
             wanted = batch.select(key).distinct()
             taken = taken.join(F.broadcast(wanted), key, "left_semi")
-        batch = join_hot_safe(
-            batch, taken.distinct(), key, "left_anti", config.hot_key_rows, sizes["rows"]
-        )
+        batch = batch.join(taken.distinct(), key, "left_anti")
     return batch
 
 

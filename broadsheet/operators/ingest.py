@@ -15,9 +15,6 @@ from broadsheet.functions.keywords import any_match, literal_array, sql_text
 from broadsheet.functions.text import clean_text, decode_entities, strip, valid_image_url
 from broadsheet.functions.urls import resolve_url
 from broadsheet.operators.columns import computed_once
-from broadsheet.operators.skew import join_hot_safe
-
-MAX_LITERAL_ALIASES = 1_000
 
 
 def timestamp(value: datetime | str | Column) -> Column:
@@ -30,23 +27,23 @@ def timestamp(value: datetime | str | Column) -> Column:
 def normalize_source(source: Column, rules: RuleSet = DEFAULT_RULES) -> Column:
     """Canonical source name; an unknown name passes through.
 
-    The rule set's alias list is a small literal map. Larger alias tables go through
+    The rule set's alias list is a literal map; alias tables go through
     :func:`join_source_alias`.
     """
     if not rules.aliases:
         return source
-    if len(rules.aliases) > MAX_LITERAL_ALIASES:
-        raise ValueError("too many aliases for a literal map: use join_source_alias")
     pairs = ", ".join(f"{sql_text(a)}, {sql_text(c)}" for a, c in rules.aliases.items())
     table = F.expr(f"map({pairs})")
     return F.coalesce(F.try_element_at(table, source), source)
 
 
-def join_source_alias(df: DataFrame, aliases: DataFrame, column: str = "source",
-                      config: EngineConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Rename sources through an alias table (``alias``, ``canonical``) of any size."""
+def join_source_alias(df: DataFrame, aliases: DataFrame, column: str = "source") -> DataFrame:
+    """Rename sources through an alias table (``alias``, ``canonical``) of any size.
+
+    Adaptive execution splits the rows of a hot source.
+    """
     table = aliases.select(F.col("alias").alias(column), "canonical").dropDuplicates([column])
-    joined = join_hot_safe(df, table, column, "left", config.hot_key_rows)
+    joined = df.join(table, column, "left")
     renamed = joined.withColumn(column, F.coalesce(F.col("canonical"), F.col(column)))
     return renamed.select(*df.columns)
 
@@ -137,12 +134,11 @@ def content_fallback(page_text: Column, from_feed: Column, min_chars: int = 200)
     return F.when(better, from_feed).otherwise(page_text)
 
 
-def join_entry_page(entries: DataFrame, pages: DataFrame,
-                    config: EngineConfig = DEFAULT_CONFIG) -> DataFrame:
+def join_entry_page(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """Attach the fetched page (url, page_text, page_image) of each entry's link."""
     fetched = pages.select(F.col("url").alias("_link"), "page_text", "page_image")
     keyed = entries.withColumn("_link", F.nullif(F.col("link"), F.lit("")))
-    return join_hot_safe(keyed, fetched, "_link", "left", config.hot_key_rows).drop("_link")
+    return keyed.join(fetched, "_link", "left").drop("_link")
 
 
 def entry_articles(
@@ -160,7 +156,7 @@ def entry_articles(
     # at most per_source_limit places per source are left, so this is unique
     seq = F.col("source_rank") * F.lit(config.per_source_limit) + F.col("_place") - 1
     dated = cut.withColumn("published_date", parse_date(F.col("published")))
-    joined = join_entry_page(fresh(dated, as_of, config.max_age_days), pages, config)
+    joined = join_entry_page(fresh(dated, as_of, config.max_age_days), pages)
     return joined.select(
         seq.alias("seq"),
         "title",
@@ -254,9 +250,8 @@ def web_articles(
     fetched = pages.select(
         F.col("url").alias("link"), "page_title", "page_text", "page_summary", "page_published", "page_image"
     )
-    joined = join_hot_safe(
-        links.select("page_id", F.col("url").alias("list_url"), "place", "link"),
-        fetched, "link", "inner", config.hot_key_rows,
+    joined = links.select("page_id", F.col("url").alias("list_url"), "place", "link").join(
+        fetched, "link"
     )
     return joined.select(
         (F.col("page_id") * F.lit(config.per_source_limit) + F.col("place")).alias("seq"),

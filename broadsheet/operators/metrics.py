@@ -56,6 +56,34 @@ def category_distribution(scored: DataFrame) -> DataFrame:
     )
 
 
+def metric_parts(
+    scored: DataFrame, keys: list[str], threshold: float, *more: Column
+) -> DataFrame:
+    """Sums by ``keys`` and category from which :func:`merged_metrics` makes the means."""
+    eu = F.nullif(F.col("eu_relevance"), F.lit(0.0))
+    quality = F.nullif(F.col("quality_score"), F.lit(0.0))
+    return scored.groupBy(*keys, F.nullif(F.col("category"), F.lit("")).alias("category")).agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("eu_relevance") >= F.lit(threshold)).alias("passed"),
+        F.sum(_exact(eu)).alias("eu_sum"), F.count(eu).alias("eu_n"),
+        F.sum(_exact(quality)).alias("q_sum"), F.count(quality).alias("q_n"), *more,
+    )
+
+
+def merged_metrics(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, means and the distribution of categories by ``keys`` of any number of parts."""
+    sums = {c: F.sum(c).alias(c) for c in ("n", "passed", "eu_sum", "eu_n", "q_sum", "q_n")}
+    merged = parts.groupBy(*keys, "category").agg(*sums.values())
+    labelled = F.when(F.col("category").isNotNull(), F.struct("category", "n"))
+    return merged.groupBy(*keys).agg(
+        F.sum("n").alias("articles"),
+        F.sum("passed").alias("passed_relevance"),
+        _mean(F.sum("eu_sum"), F.sum("eu_n")).alias("avg_eu_relevance"),
+        _mean(F.sum("q_sum"), F.sum("q_n")).alias("avg_quality_score"),
+        distribution_json(F.collect_list(labelled)).alias("category_distribution"),
+    )
+
+
 def source_run_metrics(
     fetched: DataFrame, scored: DataFrame, stored: DataFrame, threshold: float
 ) -> DataFrame:

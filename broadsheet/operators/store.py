@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.config import DEFAULT_CONFIG, DEFAULT_RULES, EngineConfig, RuleSet
+from broadsheet.config import DEFAULT_RULES, RuleSet
 from broadsheet.functions.text import content_hash, falsy_to_null, preview
 from broadsheet.operators.budget import total_before
-from broadsheet.operators.dedup import new_rows
 from broadsheet.operators.ingest import normalize_source, timestamp
+from broadsheet.session import materialize
 
 
 def store_recent(store: DataFrame, limit: int = 0) -> DataFrame:
@@ -54,17 +54,23 @@ def store_upsert(
     articles: DataFrame,
     store: DataFrame | None,
     as_of: datetime | str | Column,
-    config: EngineConfig = DEFAULT_CONFIG,
 ) -> DataFrame:
-    """Rows to append to the store, still carrying ``seq``."""
-    return new_rows(to_store_rows(articles, as_of), store, config=config)
+    """Rows to append to the store, still carrying ``seq``: of each unknown url the first.
+
+    The content hash is a hash of url and title, so a known hash means a known url, and the
+    url alone decides. That happens on (seq, url); whole rows are joined to the decision once.
+    """
+    rows = to_store_rows(articles, as_of)
+    first = rows.groupBy("url").agg(F.min("seq").alias("seq"))
+    if store is not None:
+        first = first.join(store.select("url").distinct(), "url", "left_anti")
+    return rows.join(materialize(first.select("seq"), "new-rows"), "seq", "left_semi")
 
 
-def assign_ids(rows: DataFrame, first_id: int, config: EngineConfig = DEFAULT_CONFIG) -> DataFrame:
+def assign_ids(rows: DataFrame, first_id: int) -> DataFrame:
     """Replace ``seq`` by consecutive ids in ``seq`` order, starting at ``first_id``."""
-    chunk = F.floor(F.col("seq") / F.lit(config.budget_chunk))
     narrow = rows.select("seq").withColumn("_all", F.lit(0))
-    numbered = total_before(narrow, F.lit(1), ["_all"], ["seq"], chunk, "_before")
+    numbered = total_before(narrow, F.lit(1), ["_all"], ["seq"], "_before")
     ids = numbered.select("seq", (F.lit(first_id) + F.col("_before")).alias("id"))
     columns = [c for c in rows.columns if c != "seq"]
     return rows.join(ids, "seq").select("id", *columns)

@@ -47,6 +47,10 @@ def _entries(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.entry_rows(items.withColumn("entry", feeds.parse_item(F.col("xml"))).drop("xml"))
 
 
+def _served(spark: SparkSession, folder: str) -> DataFrame:
+    return serve.write_served(B.store(spark, folder), scratch_path(spark, "served"))
+
+
 def _batch_and_store(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Scored documents: a fifth of them as the existing store, all others as the batch."""
     rows = materialize(B.scored(spark, folder), "scored")
@@ -93,16 +97,44 @@ def feed_entries(spark, folder):
 
 
 @query
-def page_scan(spark, folder):
+def feed_channel(spark, folder):
+    """The feed entries as articles, with the pages that were fetched for them."""
+    return ingest.entry_articles(
+        _entries(spark, folder), B.entry_pages(spark, folder), B.AS_OF, B.CONFIG, B.RULES
+    )
+
+
+@query
+def landed_feeds(spark, folder):
+    """The same items as files of feeds, written and read back."""
+    path = scratch_path(spark, "landed")
+    B.feed_items(spark, folder).select(F.concat(
+        F.lit("<rss><channel><title>"), "feed_title", F.lit("</title>"), "xml",
+        F.lit("</channel></rss>"),
+    ).alias("value")).write.text(path)
+    rows, _ = feeds.read_feeds(spark, path)
+    return ingest.feed_entries(rows).select(
+        "feed_title", "title", "link", "published", F.get("media_content", F.lit(0))["url"].alias("media_url"),
+        _long(F.greatest(F.size("enclosures"), F.lit(0))).alias("n_enclosures"),
+    )
+
+
+def _fetched(spark: SparkSession, folder: str) -> DataFrame:
+    """The page a first link leads to: the next page of the table."""
     pages = B.table(spark, folder, "pages")
-    # the page a first link leads to: the next page of the table
     first = ingest.page_links(pages, B.RULES, 1).select("page_id", "link")
     html = pages.select((F.col("page_id") - 1).alias("page_id"), "html")
     fetched = ingest.page_extract(first.join(html, "page_id").select(F.col("link").alias("url"), "html"))
-    unique = fetched.groupBy("url").agg(
+    return fetched.groupBy("url").agg(
         F.max(F.struct("page_title", "page_text", "page_summary", "page_published", "page_image")).alias("p")
     ).select("url", "p.*")
-    articles = ingest.web_articles(pages, unique, B.CONFIG, B.RULES)
+
+
+@query
+def page_scan(spark, folder):
+    articles = ingest.web_articles(
+        B.table(spark, folder, "pages"), _fetched(spark, folder), B.CONFIG, B.RULES
+    )
     return articles.select("seq", "title", "url", "source", "content", "summary", "published_date", "image_url")
 
 
@@ -132,7 +164,7 @@ def model_responses(spark, folder):
 @query
 def store_upsert(spark, folder):
     batch, known = _batch_and_store(spark, folder)
-    rows = store.store_upsert(batch, known, B.AS_OF, B.CONFIG)
+    rows = store.store_upsert(batch, known, B.AS_OF)
     return rows.drop("image_url")
 
 
@@ -193,7 +225,7 @@ def run_log(spark, folder):
 @query
 def schema_align(spark, folder):
     old = B.articles(spark, folder).select("seq", "url", "source")
-    new = store.to_store_rows(B.scored(spark, folder).filter(F.col("seq") % 10 == 0), B.AS_OF)
+    new = store.to_store_rows(B.scored(spark, folder), B.AS_OF)
     wanted = "confidence DOUBLE, eu_relevance DOUBLE, image_url STRING, source STRING"
     aligned = store.schema_align(old, wanted)
     return aligned.unionByName(new.select(*aligned.columns))
@@ -269,8 +301,8 @@ def feed_text(spark, folder):
 @query
 def content_fallback(spark, folder):
     rows = B.articles(spark, folder)
-    page = F.when(F.col("seq") % 2 == 0, F.substring("content", 1, 150)).when(F.col("seq") % 3 == 0, F.col("content"))
-    feed = F.when(F.col("seq") % 5 != 0, F.substring("content", 1, 180))
+    page = F.when(F.col("seq") % 2 == 0, F.lit("a page in short")).when(F.col("seq") % 3 == 0, F.col("content"))
+    feed = F.when(F.col("seq") % 5 != 0, F.col("content"))
     return rows.select("seq", ingest.content_fallback(page, feed).alias("content"))
 
 
@@ -359,17 +391,23 @@ def quality_gate(spark, folder):
 
 @query
 def published_view(spark, folder):
-    shown = serve.published_view(B.store(spark, folder), B.CONFIG)
+    shown = serve.published_view(_served(spark, folder), B.CONFIG)
     return shown.select("id", "category", "eu_relevance", "quality_score")
 
 
 @query
 def facet_filter(spark, folder):
-    shown = serve.published_view(B.store(spark, folder), B.CONFIG)
+    shown = serve.published_view(_served(spark, folder), B.CONFIG)
     narrowed = serve.facet_filter(shown, category="startups", country="France", min_quality=0.5)
     return narrowed.select("id", "category", "country", "quality_score")
 
 
+@query
+def filtered_total(spark, folder):
+    shown = serve.published_view(_served(spark, folder), B.CONFIG)
+    return serve.filtered_total(serve.facet_filter(shown, category="startups"))
+
+
 @query
 def link_keywords(spark, folder):
     hrefs = F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))
@@ -382,7 +420,7 @@ def link_keywords(spark, folder):
 @query
 def articles_by_id(spark, folder):
     ids = B.table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
-    found = serve.articles_by_id(B.store(spark, folder), ids)
+    found = serve.articles_by_id(_served(spark, folder), ids)
     return found.drop("image_url")
 
 
@@ -428,7 +466,7 @@ def join_source_alias(spark, folder):
     aliases = docs.select("source").distinct().filter("substr(source, -1) in ('0', '3', '6', '9')").select(
         F.col("source").alias("alias"), F.upper("source").alias("canonical")
     )
-    return ingest.join_source_alias(docs, aliases, config=B.CONFIG)
+    return ingest.join_source_alias(docs, aliases)
 
 
 @query
@@ -491,7 +529,7 @@ def join_labels(spark, folder):
 
 @query
 def entry_page(spark, folder):
-    joined = ingest.join_entry_page(_entries(spark, folder), B.entry_pages(spark, folder), B.CONFIG)
+    joined = ingest.join_entry_page(_entries(spark, folder), B.entry_pages(spark, folder))
     return joined.select("idx", "link", "page_text")
 
 
@@ -506,7 +544,7 @@ def fetched_by_source(spark, folder):
 @query
 def stored_by_source(spark, folder):
     batch, known = _batch_and_store(spark, folder)
-    return metrics.stored_by_source(store.store_upsert(batch, known, B.AS_OF, B.CONFIG))
+    return metrics.stored_by_source(store.store_upsert(batch, known, B.AS_OF))
 
 
 @query
@@ -617,7 +655,7 @@ def budget_gate(spark, folder):
     calls = B.telemetry(spark, folder)
     gated = budget.budget_gate(
         calls, 2_000, budget.usage_total(F.col("tokens_in"), F.col("tokens_out")), ["run_id"],
-        ["timestamp", "event_id"], F.date_trunc("day", F.col("timestamp")),
+        ["timestamp", "event_id"],
     )
     return gated.select("run_id", "event_id", "tokens_before", "allowed", "tokens_left")
 
@@ -639,7 +677,7 @@ def last_write_wins(spark, folder):
 
 @query
 def article_page(spark, folder):
-    shown = serve.published_view(B.store(spark, folder), B.CONFIG)
+    shown = serve.published_view(_served(spark, folder), B.CONFIG)
     return serve.article_page(shown, limit=50, offset=20).drop("image_url")
 
 
@@ -805,13 +843,30 @@ def article_pipeline(spark, folder):
     )
 
 
+@query
+def full_run(spark, folder):
+    """From feed items and pages to new store rows: both channels, then the pipeline."""
+    articles = materialize(pipeline.collected(
+        _entries(spark, folder), B.entry_pages(spark, folder), B.table(spark, folder, "pages"),
+        _fetched(spark, folder), B.AS_OF, B.CONFIG, B.RULES,
+    ), "collected")
+    known = B.articles(spark, folder).filter(F.col("seq") % 10 == 0).select("url")
+    rows = pipeline.article_pipeline(
+        articles, B.responses(spark, folder), known, B.AS_OF, pipeline_config(), B.RULES
+    )
+    return rows.select(
+        "seq", "url", "title", "source", "category", "country", "quality_score", "eu_relevance",
+        "confidence", "content_hash", "summary", "published_date", "image_url",
+    )
+
+
 @query
 def complete_prompts(spark, folder):
-    """A stand-in for a model: answers with the size of its prompt, refuses long ones."""
+    """A stand-in for a model: answers with the size of its prompt, refuses every fifth size."""
 
     def size(prompt: str) -> dict:
-        if len(prompt) > 1_500:
-            raise ValueError("too long")
+        if len(prompt) % 5 == 0:
+            raise ValueError("no such size")
         return {"text": str(len(prompt)), "tokens_in": len(prompt.split()), "model": "size"}
 
     rows = B.articles(spark, folder)
@@ -826,29 +881,30 @@ def complete_prompts(spark, folder):
 
 @query
 def stream_ingest_store(spark, folder):
-    docs = files.read_file_stream(spark, folder, DOCUMENTS, "documents.parquet")
+    docs = files.read_file_stream(spark, f"{folder}/documents.parquet", DOCUMENTS)
     rows = quality.quality_score(classify.keyword_labels(B.articles_of(docs), B.RULES), B.RULES)
     path = scratch_path(spark, "stream-store")
     state = scratch_path(spark, "stream-store-state")
-    stream_ingest.start_ingest(rows, path, state, B.AS_OF, B.CONFIG).awaitTermination()
+    stream_ingest.start_ingest(rows, path, state, B.AS_OF).awaitTermination()
     stored = stream_ingest.read_stream_store(spark, path)
     return stored.select("seq", "url", "source", "category", "quality_score", "content_hash")
 
 
 @query
 def stream_source_metrics(spark, folder):
-    docs = files.read_file_stream(spark, folder, DOCUMENTS, "documents.parquet")
+    docs = files.read_file_stream(spark, f"{folder}/documents.parquet", DOCUMENTS)
     rows = quality.quality_score(classify.keyword_labels(B.articles_of(docs), B.RULES), B.RULES)
     timed = rows.withColumn("ts", F.col("created_at").cast("timestamp"))
-    final = stream_metrics.windowed_source_metrics(
-        timed, "ts", B.CONFIG.relevance_threshold, "6 hours", "1 hour"
-    )
-    return files.drain(final, "stream-metrics")
+    path, state = scratch_path(spark, "stream-metrics"), scratch_path(spark, "stream-metrics-state")
+    stream_metrics.start_windowed_metrics(
+        timed, "ts", B.CONFIG.relevance_threshold, path, state
+    ).awaitTermination()
+    return stream_metrics.windowed_metrics(spark, path)
 
 
 @query
 def stream_dedup_url(spark, folder):
-    docs = files.read_file_stream(spark, folder, DOCUMENTS, "documents.parquet")
+    docs = files.read_file_stream(spark, f"{folder}/documents.parquet", DOCUMENTS)
     timed = B.articles_of(docs).withColumn("ts", F.col("created_at").cast("timestamp"))
     unique = stream_dedup.unique_urls(timed, "ts", B.CONFIG)
     # copies agree in url and title; which of them comes first is not determined

@@ -14,13 +14,13 @@ from broadsheet.operators import metrics as M
 from broadsheet.operators.budget import budget_gate, usage_total
 from broadsheet.operators.classify import classify, join_response, mode_of
 from broadsheet.operators.dedup import ordered_dedup
-from broadsheet.operators.ingest import timestamp
+from broadsheet.operators.ingest import entry_articles, timestamp, union_channels, web_articles
 from broadsheet.operators.quality import quality_gate, quality_score
 from broadsheet.operators.runs import run_event
 from broadsheet.operators.store import assign_ids, next_id, store_upsert
 from broadsheet.operators.summarize import choose_summary, summarizable
 from broadsheet.schemas import STORE
-from broadsheet.session import materialize
+from broadsheet.session import materialize, scratch_scope
 from broadsheet.sources.tables import append_metrics, append_table, append_telemetry, read_if_exists
 
 CLASSIFICATION, SUMMARY = "classification", "summary"
@@ -52,12 +52,10 @@ def budget_flags(articles: DataFrame, config: EngineConfig) -> DataFrame:
             eligible.select("seq", F.lit(1).alias("stage"), _tokens("summary_response").alias("tokens"))
         )
     stacked = calls[0] if len(calls) == 1 else calls[0].unionByName(calls[1])
-    # three numbers per call; sums and rows are both read from it
-    stacked = materialize(stacked, "calls")
-    chunk = F.struct("stage", F.floor(F.col("seq") / F.lit(config.budget_chunk)).alias("part"))
+    # three numbers per call
     gated = budget_gate(
         stacked.withColumn("run", F.lit(0)), config.token_cap, F.col("tokens"), ["run"],
-        ["stage", "seq"], chunk,
+        ["stage", "seq"],
     )
     return gated.groupBy("seq").agg(
         F.max(F.when(F.col("stage") == 0, F.col("allowed"))).alias("call_allowed"),
@@ -135,7 +133,7 @@ def article_pipeline(
     """
     scored = score_articles(deduplicated(articles, config), responses, config, rules)
     gated = materialize(quality_gate(scored, config.store_gate), "gated")
-    return store_upsert(gated, store, as_of, config)
+    return store_upsert(gated, store, as_of)
 
 
 @dataclass(frozen=True)
@@ -165,30 +163,8 @@ def run_pipeline(
     """
     append_table(run_event(spark, run_id, "running", as_of), tables.runs)
     try:
-        scored = materialize(
-            score_articles(deduplicated(articles, config), responses, config, rules), "scored"
-        )
-        calls = telemetry_rows(scored, run_id, timestamp(as_of), config)
-        if calls is not None:
-            append_telemetry(calls, tables.telemetry)
-
-        store = read_if_exists(spark, tables.store, STORE)
-        gated = quality_gate(scored, config.store_gate)
-        first_id = 1 if store is None else next_id(store)
-        # written before the append, which changes the table this plan reads
-        new = materialize(
-            assign_ids(store_upsert(gated, store, as_of, config), first_id, config), "stored"
-        )
-        append_table(new, tables.store)
-
-        per_source = M.source_run_metrics(
-            articles.select("source"),
-            scored.select("source", "category", "eu_relevance", "quality_score"),
-            new.select("source"),
-            config.relevance_threshold,
-        )
-        append_metrics(M.metric_rows(per_source, run_id, timestamp(as_of)), tables.metrics)
-        count = new.count()
+        with scratch_scope(spark):
+            count = _run(spark, run_id, articles, responses, tables, as_of, config, rules)
         done = run_event(spark, run_id, "completed", as_of, result_count=count)
         append_table(done, tables.runs)
         return count
@@ -196,3 +172,48 @@ def run_pipeline(
         failed = run_event(spark, run_id, "failed", as_of, error_message=str(problem))
         append_table(failed, tables.runs)
         raise
+
+
+def _run(
+    spark: SparkSession, run_id: str, articles: DataFrame, responses: DataFrame | None,
+    tables: Tables, as_of: datetime, config: EngineConfig, rules: RuleSet,
+) -> int:
+    scored = materialize(
+        score_articles(deduplicated(articles, config), responses, config, rules), "scored"
+    )
+    calls = telemetry_rows(scored, run_id, timestamp(as_of), config)
+    if calls is not None:
+        append_telemetry(calls, tables.telemetry)
+
+    store = read_if_exists(spark, tables.store, STORE)
+    gated = quality_gate(scored, config.store_gate)
+    first_id = 1 if store is None else next_id(store)
+    # written before the append, which changes the table this plan reads
+    new = materialize(
+        assign_ids(store_upsert(gated, store, as_of), first_id), "stored"
+    )
+    append_table(new, tables.store)
+
+    per_source = M.source_run_metrics(
+        articles.select("source"),
+        scored.select("source", "category", "eu_relevance", "quality_score"),
+        new.select("source"),
+        config.relevance_threshold,
+    )
+    append_metrics(M.metric_rows(per_source, run_id, timestamp(as_of)), tables.metrics)
+    return new.count()
+
+
+def collected(
+    entries: DataFrame,
+    entry_pages: DataFrame,
+    list_pages: DataFrame,
+    fetched_pages: DataFrame,
+    as_of: datetime | str | Column,
+    config: EngineConfig = DEFAULT_CONFIG,
+    rules: RuleSet = DEFAULT_RULES,
+) -> DataFrame:
+    """Articles of both channels: feed entries with their pages, and the links of list pages."""
+    feed = entry_articles(entries, entry_pages, as_of, config, rules)
+    web = web_articles(list_pages, fetched_pages, config, rules)
+    return union_channels(feed, web)

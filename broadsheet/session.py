@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The folder that scratch of a run goes to, by application.
+_SCOPES: dict[str, str] = {}
+
 # What the engine relies on; a cluster's own settings for partitions and memory win.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,13 +38,15 @@ def build_session(
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder all executors can reach.
 
-    Read from ``spark.checkpoint.dir``. Only where the session names none (local tests)
-    is a folder of this machine used.
+    Read from ``spark.checkpoint.dir``. Only a local session that names none uses a folder of
+    this machine; on a cluster each executor would write to a disk of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if not folder:
+        if not current and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = current or tempfile.mkdtemp(prefix="broadsheet-")
     if current is None:
         context.setCheckpointDir(folder)
@@ -49,7 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     run = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/broadsheet/{run}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/broadsheet/{run}/{_SCOPES.get(run, '')}{label}-{uuid.uuid4().hex}"
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -58,7 +65,28 @@ def drop_scratch(spark: SparkSession) -> None:
     For the end of a job: frames that came out of :func:`materialize` are gone after it.
     """
     run = spark.sparkContext.applicationId
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/broadsheet/{run}")
+    _delete(spark, f"{shared_folder(spark)}/broadsheet/{run}")
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is materialized inside is deleted at the end, also after a failure.
+
+    For one batch of a stream or one run: frames made inside are gone after it.
+    """
+    context = spark.sparkContext
+    outer = _SCOPES.get(context.applicationId, "")
+    _SCOPES[context.applicationId] = name = f"{outer}run-{uuid.uuid4().hex}/"
+    try:
+        yield
+    finally:
+        _SCOPES[context.applicationId] = outer
+        path = f"{shared_folder(spark)}/broadsheet/{context.applicationId}/{name}"
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

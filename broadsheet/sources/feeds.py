@@ -130,7 +130,7 @@ def read_feeds(
     )
     if feeds is None:
         ranked = rows.select(
-            F.shiftrightunsigned(F.xxhash64("path"), 8).alias("source_rank"),
+            F.shiftrightunsigned(F.xxhash64("path"), 20).alias("source_rank"),
             F.col("path").alias("feed_url"), "feed_title", "entries",
         )
     else:

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from broadsheet.config import DEFAULT_CONFIG, EngineConfig
 from broadsheet.operators.store import store_upsert
 from broadsheet.schemas import STORE
-from broadsheet.session import materialize
+from broadsheet.session import materialize, scratch_scope
 from broadsheet.sources.tables import read_if_exists
 
 _STORED = STORE.replace("id BIGINT, ", "seq BIGINT, ") + ", batch_id BIGINT"
@@ -26,7 +25,6 @@ def start_ingest(
     store_path: str,
     checkpoint: str,
     as_of: datetime | str | Column,
-    config: EngineConfig = DEFAULT_CONFIG,
 ) -> StreamingQuery:
     """Store the unknown articles of a stream of scored articles and stop at its end.
 
@@ -39,8 +37,9 @@ def start_ingest(
         known = read_stream_store(batch.sparkSession, store_path)
         if known is not None:
             known = known.filter(F.col("batch_id") != F.lit(batch_id))
-        rows = store_upsert(materialize(batch, "batch"), known, as_of, config)
-        rows.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
+        with scratch_scope(batch.sparkSession):
+            rows = store_upsert(materialize(batch, "batch"), known, as_of)
+            rows.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
 
     return (
         articles.writeStream.foreachBatch(store_batch)

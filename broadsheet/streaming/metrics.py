@@ -2,34 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from broadsheet.operators.metrics import metric_parts, merged_metrics
+from broadsheet.sources.tables import read_if_exists
 
-def windowed_source_metrics(
-    scored: DataFrame, time: str, threshold: float, width: str = "6 hours", delay: str | None = None
-) -> DataFrame:
-    """Articles, relevant articles and best quality per window and source.
 
-    With ``delay`` the input is a stream: a window is final, and is emitted in append
-    mode, once the watermark has passed its end. Aggregates are mergeable, so state holds
-    one row per open (window, source), whatever the number of articles.
+def start_windowed_metrics(
+    scored: DataFrame, time: str, threshold: float, path: str, checkpoint: str,
+    width: str = "6 hours",
+) -> StreamingQuery:
+    """Add the partial sums of each micro-batch to a table and stop at the stream's end.
+
+    A batch is summed up by (window, source, category) and owns the partition
+    ``batch_id=N``, which it overwrites, so running it again changes nothing. No state is
+    kept: late rows of any age count, and windows that are still open are there as well.
     """
-    if delay is not None:
-        scored = scored.withWatermark(time, delay)
-    return (
-        scored.groupBy(F.window(time, width).alias("_window"), "source")
-        .agg(
-            F.count("*").alias("articles"),
-            F.count_if(F.col("eu_relevance") >= F.lit(threshold)).alias("passed_relevance"),
-            F.max("quality_score").alias("best_quality"),
-        )
-        .select(
-            F.col("_window.start").cast("timestamp_ntz").alias("window_start"),
-            F.col("_window.end").cast("timestamp_ntz").alias("window_end"),
-            "source",
-            "articles",
-            "passed_relevance",
-            "best_quality",
+
+    def sum_batch(batch: DataFrame, batch_id: int) -> None:
+        window = F.window(time, width)
+        parts = metric_parts(
+            batch.withColumn("_w", window).select(
+                F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
+                F.col("_w.end").cast("timestamp_ntz").alias("window_end"),
+                F.col(time).cast("timestamp_ntz").alias("_ts"),
+                "source", "category", "eu_relevance", "quality_score",
+            ),
+            ["window_start", "window_end", "source"], threshold, F.max("_ts").alias("last"),
         )
+        parts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        scored.writeStream.foreachBatch(sum_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+
+
+PARTS = (
+    "window_start TIMESTAMP_NTZ, window_end TIMESTAMP_NTZ, source STRING, category STRING, "
+    "n BIGINT, passed BIGINT, eu_sum DECIMAL(28,6), eu_n BIGINT, q_sum DECIMAL(28,6), q_n BIGINT, "
+    "last TIMESTAMP_NTZ, batch_id BIGINT"
+)
+
+
+def windowed_metrics(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame | None:
+    """Articles, relevant articles, mean scores and categories per window and source.
+
+    ``final`` says that the latest article seen is at least ``delay`` past the window's end.
+    """
+    parts = read_if_exists(spark, path, PARTS)
+    if parts is None:
+        return None
+    latest = parts.agg(F.max("last").alias("latest"))
+    merged = merged_metrics(parts, ["window_start", "window_end", "source"])
+    return merged.crossJoin(F.broadcast(latest)).withColumn(  # a single row
+        "final", F.col("window_end") <= F.col("latest") - F.expr(f"INTERVAL {delay}")
+    ).drop("latest")

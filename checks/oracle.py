@@ -213,7 +213,7 @@ ITEMS = f"""e AS (SELECT try_cast(regexp_extract(source, '(\\d+)$', 1) AS bigint
  'https://feed.example/' || source || '.xml' AS feed_url, source AS feed_title, doc_id AS idx,
  CASE WHEN doc_id % 11 <> 0 THEN trim({TITLE}) ELSE 'No title' END AS title,
  CASE WHEN doc_id % 9 <> 0 THEN 'https://feed.example/' || doc_id::varchar ELSE '' END AS link,
- '<p>' || substr(text, 1, 300) || '</p>' AS summary,
+ '<p>' || text || '</p>' AS summary,
  CASE WHEN doc_id % 7 <> 0 THEN strftime(TIMESTAMP '2024-01-01 08:30:00' + (doc_id % 60) * INTERVAL 1 DAY, '%a, %d %b %Y %H:%M:%S') || ' +0200' ELSE '' END AS published,
  CASE WHEN doc_id % 4 = 0 THEN '<div>' || text || '</div>' END AS full_text,
  CASE WHEN doc_id % 5 = 0 THEN 'https://img.example/m' || doc_id::varchar || '.jpg' END AS media_url,
@@ -283,7 +283,7 @@ ORACLE["front_matter"] = WITH + S + f" SELECT seq, {HEADER} AS header FROM s"
 ORACLE["slug"] = WITH + A + f" SELECT seq, {SLUG} AS slug FROM a"
 ORACLE["run_log"] = WITH + RUNS + " SELECT id, event_time, status, job_type, result_count, error_message, CASE WHEN status IN ('completed','failed') THEN event_time END AS completed_at FROM ev"
 ORACLE["schema_align"] = WITH + S + """ SELECT seq, url, source, NULL::double AS confidence, NULL::double AS eu_relevance, NULL::varchar AS image_url FROM a
- UNION ALL SELECT seq, url, source, nullif(confidence, 0), nullif(eu_relevance, 0), NULL FROM s WHERE seq % 10 = 0"""
+ UNION ALL SELECT seq, url, source, nullif(confidence, 0), nullif(eu_relevance, 0), NULL FROM s"""
 
 ORACLE["clean_text"] = f"SELECT page_id, {_clean('html')} AS text FROM pages"
 ORACLE["article_hash"] = WITH + A + " SELECT seq, sha256(title || url || source) AS article_hash FROM a"
@@ -296,17 +296,17 @@ ORACLE["feed_image"] = WITH + ITEMS + """ SELECT idx, CASE WHEN idx % 6 = 0 THEN
  WHEN idx % 3 = 0 THEN 'https://img.example/e' || idx::varchar || '.png' END AS image_url FROM e"""
 ORACLE["feed_text"] = WITH + ITEMS + f" SELECT idx, coalesce(nullif({_clean('full_text')}, ''), nullif({_clean('summary')}, '')) AS text FROM e"
 ORACLE["content_fallback"] = WITH + A + """ SELECT seq, CASE WHEN length(p) < 200 AND length(f) > length(p) THEN f ELSE p END AS content FROM
- (SELECT seq, coalesce(CASE WHEN seq % 2 = 0 THEN substr(content, 1, 150) WHEN seq % 3 = 0 THEN content END, '') AS p,
- CASE WHEN seq % 5 <> 0 THEN substr(content, 1, 180) END AS f FROM a)"""
+ (SELECT seq, coalesce(CASE WHEN seq % 2 = 0 THEN 'a page in short' WHEN seq % 3 = 0 THEN content END, '') AS p,
+ CASE WHEN seq % 5 <> 0 THEN content END AS f FROM a)"""
 ORACLE["page_extract"] = f"""SELECT page_id, {_PAGE_TITLE} AS page_title, {_PAGE_TEXT} AS page_text, '' AS page_summary,
  NULL::timestamp AS page_published, NULL::varchar AS page_image FROM pages"""
 ORACLE["resolve_urls"] = WITH + HREFS + f" SELECT page_id, place, {_resolved('href')} AS link FROM hr"
 ORACLE["render_prompt"] = WITH + A + rf""" SELECT seq, 'Outlet: ' || source || chr(10) || 'Headline: ' || title || chr(10) || '---' || chr(10)
  || substr({_clean('content')}, 1, 1500) || chr(10) || '---' || chr(10) || 'Answer in JSON.' AS prompt FROM a"""
 ORACLE["complete_prompts"] = WITH + "p AS (" + ORACLE["render_prompt"] + r""") SELECT seq, 'classification' AS stage,
- CASE WHEN length(prompt) > 1500 THEN '' ELSE length(prompt)::varchar END AS text, CASE WHEN length(prompt) > 1500 THEN 'api_error' ELSE 'ok' END AS status,
- CASE WHEN length(prompt) > 1500 THEN 'too long' ELSE '' END AS error, CASE WHEN length(prompt) > 1500 THEN '' ELSE 'size' END AS model,
- CASE WHEN length(prompt) > 1500 THEN 0 ELSE len(regexp_extract_all(prompt, '\S+')) END AS tokens_in, 0::bigint AS tokens_out FROM p"""
+ CASE WHEN length(prompt) % 5 = 0 THEN '' ELSE length(prompt)::varchar END AS text, CASE WHEN length(prompt) % 5 = 0 THEN 'api_error' ELSE 'ok' END AS status,
+ CASE WHEN length(prompt) % 5 = 0 THEN 'no such size' ELSE '' END AS error, CASE WHEN length(prompt) % 5 = 0 THEN '' ELSE 'size' END AS model,
+ CASE WHEN length(prompt) % 5 = 0 THEN 0 ELSE len(regexp_extract_all(prompt, '\S+')) END AS tokens_in, 0::bigint AS tokens_out FROM p"""
 ORACLE["strip_code_fence"] = WITH + RESP + f" SELECT seq, {FENCE} AS body FROM r WHERE stage = 'classification'"
 PARSED = RESP + f", rc AS (SELECT seq, text FROM r WHERE stage = 'classification'), {PARSE}"
 ORACLE["parse_classification"] = WITH + PARSED + " SELECT seq, category0 AS category, country0 AS country, eu0 AS eu_relevance, conf0 AS confidence, valid0 AS valid, reason AS fallback_reason FROM p"
@@ -320,6 +320,8 @@ ORACLE["tech_relevant"] = WITH + K + " SELECT k1.seq, k1.url FROM k1 WHERE gate"
 ORACLE["quality_gate"] = WITH + S + " SELECT seq, quality_score FROM s WHERE quality_score >= 0.6::double"
 ORACLE["published_view"] = WITH + ST + f" SELECT id, category, eu_relevance, quality_score FROM st WHERE {PUBLISHED}"
 ORACLE["facet_filter"] = WITH + ST + f" SELECT id, category, country, quality_score FROM st WHERE {PUBLISHED} AND category = 'startups' AND country = 'France' AND quality_score >= 0.5::double"
+ORACLE["filtered_total"] = WITH + ST + f" SELECT count(*) AS total FROM st WHERE {PUBLISHED} AND category = 'startups'"
+ORACLE["landed_feeds"] = WITH + ITEMS + " SELECT feed_title, title, link, published, media_url, n_enclosures FROM e"
 ORACLE["link_keywords"] = WITH + HREFS + f" SELECT page_id, place, href FROM hr WHERE {_any('lower(href)', LINKS)}"
 PAGE = "id, title, url, source, category, country, quality_score, summary, created_at, published_date"
 ORACLE["articles_by_id"] = WITH + ST + f" SELECT {PAGE} FROM st WHERE id IN (SELECT doc_id FROM labels)"
@@ -451,7 +453,10 @@ ORACLE["article_pipeline"] = WITH + PIPE + """ SELECT seq, url, title, source, c
  FROM sc WHERE quality_score >= 0.5::double AND url NOT IN (SELECT url FROM known)"""
 
 ORACLE["stream_ingest_store"] = WITH + S + " SELECT seq, url, source, category, quality_score, sha256(url || '|' || title) AS content_hash FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1"
-ORACLE["stream_source_metrics"] = WITH + S + """, w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, created_at) AS ws FROM s)
+ORACLE["stream_source_metrics"] = WITH + S + f""", w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, created_at) AS ws FROM s)
  SELECT ws AS window_start, ws + INTERVAL 6 HOUR AS window_end, source, count(*) AS articles, count(*) FILTER (eu_relevance >= 3) AS passed_relevance,
- max(quality_score) AS best_quality FROM w WHERE ws + INTERVAL 6 HOUR <= (SELECT max(created_at) FROM s) - INTERVAL 1 HOUR GROUP BY ALL"""
+ {_mean('eu_relevance')} AS avg_eu_relevance, {_mean('quality_score')} AS avg_quality_score,
+ (SELECT '{{' || string_agg('"' || c || '":' || n::varchar, ',' ORDER BY c) || '}}' FROM (SELECT category AS c, count(*) AS n FROM w w2
+  WHERE w2.source IS NOT DISTINCT FROM w.source AND w2.ws = w.ws AND category <> '' GROUP BY 1)) AS category_distribution,
+ ws + INTERVAL 6 HOUR <= (SELECT max(created_at) FROM s) - INTERVAL 1 HOUR AS final FROM w GROUP BY ws, source"""
 ORACLE["stream_dedup_url"] = WITH + A + " SELECT DISTINCT url, title FROM a"

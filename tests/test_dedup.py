@@ -9,14 +9,13 @@ from hypothesis import strategies as st
 from broadsheet.config import EngineConfig
 from broadsheet.operators.budget import budget_gate
 from broadsheet.operators.dedup import new_rows, not_in_store, ordered_dedup
-from broadsheet.operators.skew import join_hot_safe
 from pyspark.sql import functions as F
 
 RELAXED = settings(
     max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
-# every key with three rows counts as hot
-TINY = EngineConfig(hot_key_rows=3, budget_chunk=3)
+# rounds to the end, and no rounds at all
+ROUNDS, WALK = EngineConfig(walk_rows=0), EngineConfig()
 
 
 def _walk(rows):
@@ -30,7 +29,7 @@ def _walk(rows):
     return kept
 
 
-def _dedup(spark, rows, config=TINY):
+def _dedup(spark, rows, config=ROUNDS):
     df = spark.createDataFrame(rows, "seq long, url string, article_hash string")
     return sorted(r.seq for r in ordered_dedup(df, config=config).collect())
 
@@ -64,16 +63,26 @@ def test_unique_hashes_take_one_pass(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-@pytest.mark.parametrize("min_rows", [1, 3, 1_000])
-def test_hot_safe_join_equals_the_plain_join(spark, how, min_rows):
-    left = [(i, None if i % 7 == 0 else ("hot" if i % 3 == 0 else f"k{i % 5}")) for i in range(60)]
-    right = [("hot", 1), ("k1", 2), ("k3", 3), ("zz", 4)]
-    l = spark.createDataFrame(left, "i int, k string")
-    r = spark.createDataFrame(right, "k string, v int")
-    expected = l.join(r, "k", how)
-    got = join_hot_safe(l, r, "k", how, min_rows).select(*expected.columns)
-    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+@RELAXED
+@given(st.lists(st.tuples(st.sampled_from([None, "a", "b", "c"]), st.sampled_from([None, "x", "y", "z"])),
+                min_size=1, max_size=25))
+def test_null_is_a_key_like_any_other_on_both_paths(spark, keys):
+    rows = [(i, a, b) for i, (a, b) in enumerate(keys)]
+    assert _dedup(spark, rows, ROUNDS) == _dedup(spark, rows, WALK) == _walk(rows)
+
+
+def test_a_null_key_is_kept_once_whatever_else_clashes(spark):
+    rows = [(0, None, "h0"), (1, None, "h1"), (2, "a", "h2")]
+    assert _dedup(spark, rows) == [0, 2]
+    assert _dedup(spark, [*rows, (3, "b", "h2"), (4, None, None)]) == [0, 2]
+
+
+def test_long_chain(spark):
+    rows = []
+    for k in range(500):
+        rows += [(2 * k, f"u{k}", f"h{k}"), (2 * k + 1, f"u{k + 1}", f"h{k}")]
+    assert _dedup(spark, rows, WALK) == _walk(rows)
+    assert _dedup(spark, rows[:24], ROUNDS) == _walk(rows[:24])
 
 
 def test_store_conflicts_on_either_key(spark):
@@ -82,7 +91,7 @@ def test_store_conflicts_on_either_key(spark):
     batch = spark.createDataFrame(
         [(1, "u1", "x"), (2, "y", "h2"), (3, "u3", "h3"), (4, "u3", "h4"), (5, "u5", "h3"), (6, "u6", "h6")], schema
     )
-    free = not_in_store(batch, store, config=TINY)
+    free = not_in_store(batch, store, config=ROUNDS)
     assert sorted(r.seq for r in free.collect()) == [3, 4, 5, 6]
     plan = not_in_store(batch, store)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
@@ -93,8 +102,7 @@ def test_store_conflicts_on_either_key(spark):
 def _gate(spark, tokens, cap, partitions=1):
     rows = [("r", i, t) for i, t in enumerate(tokens)]
     df = spark.createDataFrame(rows, "run string, seq long, tokens long").repartition(partitions)
-    chunk = F.floor(F.col("seq") / 3)
-    out = budget_gate(df, cap, F.col("tokens"), ["run"], ["seq"], chunk).orderBy("seq").collect()
+    out = budget_gate(df, cap, F.col("tokens"), ["run"], ["seq"]).orderBy("seq").collect()
     return [(r.tokens_before, r.allowed, r.tokens_left) for r in out]
 
 
@@ -112,6 +120,17 @@ def test_budget_equals_the_running_total(spark, tokens, cap):
     assert _gate(spark, tokens, cap, 5) == _gate_loop(tokens, cap)
 
 
+def test_budget_over_sparse_orders_and_null_groups(spark):
+    rows = [(g, (i * 0x9E3779B97F4A7C15) % 2**62, i % 7) for g in ("a", None, "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "run string, seq long, tokens long")
+    out = {(r.run, r.seq): r.tokens_before for r in budget_gate(df, 0, F.col("tokens"), ["run"], ["seq"]).collect()}
+    for g in ("a", None, "b"):
+        used = 0
+        for _, seq, tokens in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            assert out[(g, seq)] == used
+            used += tokens
+
+
 def test_budget_edges(spark):
     assert [a for _, a, _ in _gate(spark, [5, 5, 1], 10)] == [True, True, False]
     assert [a for _, a, _ in _gate(spark, [5, 5, 1], 0)] == [True, True, True]

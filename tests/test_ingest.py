@@ -28,7 +28,7 @@ def test_rss_to_articles(spark):
     pages = spark.createDataFrame(
         [("https://feed.example/1", "p" * 300, None), ("https://feed.example/3", "tiny", "https://img.example/page.png")], PAGES
     )
-    config = EngineConfig(per_source_limit=3, hot_key_rows=2)
+    config = EngineConfig(per_source_limit=3)
     out = ingest.entry_articles(entries, pages, NOW, config).orderBy("seq").collect()
     # the stale second entry uses up a place
     assert [(r.seq, r.url) for r in out] == [(12, "https://feed.example/1"), (14, "https://feed.example/3")]
@@ -102,7 +102,7 @@ def test_sources(spark, apply):
     assert apply(ingest.normalize_source, names) == ["Sifted", "Tech.eu", "Somewhere"]
     table = spark.createDataFrame([("a", "A"), ("a", "A"), ("b", "B")], "alias string, canonical string")
     rows = spark.createDataFrame([(1, "a"), (2, "c"), (3, None), (4, "a")], "i int, source string")
-    out = ingest.join_source_alias(rows, table, config=EngineConfig(hot_key_rows=2)).orderBy("i").collect()
+    out = ingest.join_source_alias(rows, table).orderBy("i").collect()
     assert [r.source for r in out] == ["A", "c", None, "A"]
 
 

@@ -10,15 +10,17 @@ from broadsheet.functions.text import article_hash
 from broadsheet.operators.dedup import ordered_dedup
 from broadsheet.operators.runs import run_state
 from broadsheet.operators.store import store_upsert
+from broadsheet.plans.catalog import QUERIES
 from broadsheet.plans.pipeline import Tables, deduplicated, run_pipeline, score_articles
 from broadsheet.schemas import RESPONSE, SOURCE_METRIC, STORE, TELEMETRY
 from broadsheet.sources.tables import read_table
 from broadsheet.streaming.dedup import unique_urls
 from broadsheet.streaming.files import drain, read_file_stream
 from broadsheet.streaming.ingest import read_stream_store, start_ingest
-from broadsheet.streaming.metrics import windowed_source_metrics
+from broadsheet.streaming.metrics import start_windowed_metrics, windowed_metrics
 
 NOW = datetime(2024, 3, 1)
+SMALL = "/root/testdata/sf0.001"
 ARTICLE = "seq long, title string, url string, source string, content string, summary string, published_date timestamp_ntz, image_url string"
 LONG = "French machine learning company " * 300
 TITLE = "French AI startup raises new funding"
@@ -78,7 +80,7 @@ def test_failed_run_is_logged(spark, tmp_path):
 
 
 def test_budget_runs_through_both_stages(spark):
-    config = EngineConfig(summary_enabled=True, token_cap=500, budget_chunk=2)
+    config = EngineConfig(summary_enabled=True, token_cap=500)
     batch = deduplicated(_articles(spark), config)
     scored = score_articles(batch, _responses(spark), config).orderBy("seq").collect()
     # four classification calls use 440 tokens, one summary call is left
@@ -115,6 +117,25 @@ def _source(spark, folder):
     return read_file_stream(spark, f"{folder}/in/part=*", STREAM, files_per_batch=1)
 
 
+def test_a_stream_without_files_raises(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        read_file_stream(spark, f"{tmp_path}/none.parquet", STREAM)
+
+
+def test_stream_queries_read_folder_tables(spark, tmp_path):
+    """A table of part files gives what the same table in one file gives."""
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    table.coalesce(1).write.parquet(f"{tmp_path}/one.parquet")
+    single = next((tmp_path / "one.parquet").glob("part-*"))
+    (tmp_path / "single").mkdir()
+    single.rename(tmp_path / "single/documents.parquet")
+    table.repartition(5).write.parquet(f"{tmp_path}/parts/documents.parquet")
+    for name in ("stream_dedup_url", "stream_source_metrics", "stream_ingest_store"):
+        one, many = (QUERIES[name](spark, f"{tmp_path}/{d}").drop("seq") for d in ("single", "parts"))
+        assert sorted(map(str, one.collect())) == sorted(map(str, many.collect())), name
+        assert one.count() > 0
+
+
 def test_stream_ingest_equals_batch(spark, tmp_path):
     whole = _stream_files(spark, tmp_path)
     # unique content hashes per url: (url, title) pairs repeat only together
@@ -134,10 +155,17 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
 def test_stream_metrics_equal_batch(spark, tmp_path):
     whole = _stream_files(spark, tmp_path).withColumn("ts", F.col("published_date").cast("timestamp"))
     stream = _source(spark, tmp_path).withColumn("ts", F.col("published_date").cast("timestamp"))
-    final = drain(windowed_source_metrics(stream, "ts", 3.0, delay="1 hour"), "m")
-    latest = datetime(2024, 2, 6, 8)
-    batch = windowed_source_metrics(whole, "ts", 3.0).filter(F.col("window_end") <= F.lit(str(latest)).cast("timestamp_ntz"))
-    assert sorted(map(str, final.collect())) == sorted(map(str, batch.collect())) and final.count() > 10
+    start_windowed_metrics(stream, "ts", 3.0, f"{tmp_path}/m", f"{tmp_path}/c").awaitTermination()
+    found = windowed_metrics(spark, f"{tmp_path}/m")
+    assert found.agg(F.sum("articles")).first()[0] == 60
+    expected = whole.groupBy(F.window("ts", "6 hours").alias("w"), "source").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.nullif("eu_relevance", F.lit(0.0))), 2).alias("eu")
+    )
+    key = lambda r: (r[0], r[1])
+    assert sorted([(r.window_end, r.source, r.articles, r.avg_eu_relevance) for r in found.collect()], key=key) == sorted(
+        [(r.w.end, r.source, r.n, r.eu) for r in expected.collect()], key=key)
+    closed = {r.window_end for r in found.filter("final").collect()}
+    assert max(closed) <= datetime(2024, 2, 6, 8) < max(r.window_end for r in found.collect())
 
 
 def test_stream_unique_urls(spark, tmp_path):

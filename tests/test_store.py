@@ -97,7 +97,7 @@ def test_schema_align(spark):
 
 def test_ids_are_consecutive(spark):
     rows = spark.createDataFrame([(s, f"u{s}") for s in (90, 5, 17, 4000, 18)], "seq long, url string")
-    out = store.assign_ids(rows.repartition(3), 7, EngineConfig(budget_chunk=10)).orderBy("id").collect()
+    out = store.assign_ids(rows.repartition(3), 7).orderBy("id").collect()
     assert [(r.id, r.url) for r in out] == [(7, "u5"), (8, "u17"), (9, "u18"), (10, "u90"), (11, "u4000")]
 
 
