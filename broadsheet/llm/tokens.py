@@ -38,10 +38,10 @@ SECTION_IDS = 2_000_000
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 65536
 MOST_SYMBOLS = 65536
-ROUNDS = 8
-RULES_PER_ROUND = 2_000
+ROUNDS = 5
+RULES_PER_ROUND = 3_000
 LEAST_USES = 8
-MOST_CACHED = 600_000
+MOST_CACHED = 1_000_000
 MANIFEST = ("shard int, section int, file string, offset long, bytes long, documents long, "
             "ids long, symbols long, rules long")
 _UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -232,17 +232,19 @@ class Grammar:
     """Full expansions of all symbols of a section."""
 
     def __init__(self, terminals: int, lefts: np.ndarray, rights: np.ndarray) -> None:
-        expanded: list[np.ndarray] = []
-        for a, b in zip(lefts.tolist(), rights.tolist()):
-            expanded.append(np.concatenate([
-                expanded[s - terminals] if s >= terminals else np.array([s], dtype=np.uint32)
-                for s in (a, b)
-            ]))
+        pairs = np.stack([lefts, rights], axis=1).astype(np.int64)
+        rule, symbol = np.repeat(np.arange(len(pairs)), 2), pairs.ravel()
+        while (open_ := symbol >= terminals).any():  # a pass per round of the grammar at most
+            times = open_ + 1
+            second = np.cumsum(times)[open_] - 1
+            rule, found = np.repeat(rule, times), symbol[open_] - terminals
+            symbol = np.repeat(symbol, times)
+            symbol[second - 1], symbol[second] = pairs[found, 0], pairs[found, 1]
         self.length = np.concatenate([
-            np.ones(terminals, dtype=np.int64), np.array([len(x) for x in expanded], dtype=np.int64)
+            np.ones(terminals, dtype=np.int64), np.bincount(rule, minlength=len(pairs))
         ])
         self.begin = np.cumsum(self.length) - self.length
-        self.pool = np.concatenate([np.arange(terminals, dtype=np.uint32), *expanded])
+        self.pool = np.concatenate([np.arange(terminals), symbol]).astype(np.uint32)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         length = self.length[symbols]
