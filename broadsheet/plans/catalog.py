@@ -106,12 +106,14 @@ def feed_channel(spark, folder):
 
 @query
 def landed_feeds(spark, folder):
-    """The same items as files of feeds, written and read back."""
+    """The same items as files of feeds, a source's items of each thousand ids together, written and read back."""
     path = scratch_path(spark, "landed")
-    B.feed_items(spark, folder).select(F.concat(
-        F.lit("<rss><channel><title>"), "feed_title", F.lit("</title>"), "xml",
+    B.feed_items(spark, folder).groupBy("feed_title", F.floor(F.col("idx") / 1_000)).agg(
+        F.concat_ws("", F.collect_list("xml")).alias("items")
+    ).select(F.concat(
+        F.lit("<rss><channel><title>"), "feed_title", F.lit("</title>"), "items",
         F.lit("</channel></rss>"),
-    ).alias("value")).write.text(path)
+    ).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     rows, _ = feeds.read_feeds(spark, path)
     return ingest.feed_entries(rows).select(
         "feed_title", "title", "link", "published", F.get("media_content", F.lit(0))["url"].alias("media_url"),
