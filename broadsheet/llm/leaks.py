@@ -75,6 +75,7 @@ class Index:
 
     def __post_init__(self) -> None:
         self.reps = repetitions()
+        self.sets = [set(w.tolist()) for w in self.words]
         gap = np.zeros(STEPS + 1, dtype=np.uint64)
         joined = np.concatenate([x for w in self.words for x in (w, gap)])
         sizes = np.array([len(w) for w in self.words])
@@ -140,6 +141,9 @@ class Index:
             k = allowed(len(item))
             a = max(int(low) - k, int(before[t]))
             b = min(int(high) + len(item) + k, int(before[t + 1]))
+            # each edit spares all but one of the item's words
+            if len(self.sets[n].difference(words[a:b].tolist())) > k:
+                continue
             distance, end = edit_distance(item, words[a:b])
             if distance <= k:
                 start = max(a + end - len(item) - int(before[t]), 0)
