@@ -310,7 +310,15 @@ def content_fallback(spark, folder):
 
 @query
 def page_extract(spark, folder):
-    return ingest.page_extract(B.table(spark, folder, "pages")).select(
+    number = F.col("page_id").cast("string")
+    # every third page has the elements that the given pages lack
+    head = F.when(F.col("page_id") % 3 == 0, F.concat(
+        F.lit('<meta name="description" content="About &amp; page '), number,
+        F.lit('"><meta content="https://img.example/'), number,
+        F.lit('.png" property="og:image"><time datetime="2024-01-05T10:00:00Z"></time>'),
+    )).otherwise(F.lit(""))
+    pages = B.table(spark, folder, "pages").withColumn("html", F.concat(head, "html"))
+    return ingest.page_extract(pages).select(
         "page_id", "page_title", "page_text", "page_summary", "page_published", "page_image"
     )
 

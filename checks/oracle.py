@@ -298,8 +298,10 @@ ORACLE["feed_text"] = WITH + ITEMS + f" SELECT idx, coalesce(nullif({_clean('ful
 ORACLE["content_fallback"] = WITH + A + """ SELECT seq, CASE WHEN length(p) < 200 AND length(f) > length(p) THEN f ELSE p END AS content FROM
  (SELECT seq, coalesce(CASE WHEN seq % 2 = 0 THEN 'a page in short' WHEN seq % 3 = 0 THEN content END, '') AS p,
  CASE WHEN seq % 5 <> 0 THEN content END AS f FROM a)"""
-ORACLE["page_extract"] = f"""SELECT page_id, {_PAGE_TITLE} AS page_title, {_PAGE_TEXT} AS page_text, '' AS page_summary,
- NULL::timestamp AS page_published, NULL::varchar AS page_image FROM pages"""
+ORACLE["page_extract"] = f"""SELECT page_id, {_PAGE_TITLE} AS page_title, {_PAGE_TEXT} AS page_text,
+ CASE WHEN page_id % 3 = 0 THEN 'About & page ' || page_id::varchar ELSE '' END AS page_summary,
+ CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-05 10:00:00' END AS page_published,
+ CASE WHEN page_id % 3 = 0 THEN 'https://img.example/' || page_id::varchar || '.png' END AS page_image FROM pages"""
 ORACLE["resolve_urls"] = WITH + HREFS + f" SELECT page_id, place, {_resolved('href')} AS link FROM hr"
 ORACLE["render_prompt"] = WITH + A + rf""" SELECT seq, 'Outlet: ' || source || chr(10) || 'Headline: ' || title || chr(10) || '---' || chr(10)
  || substr({_clean('content')}, 1, 1500) || chr(10) || '---' || chr(10) || 'Answer in JSON.' AS prompt FROM a"""

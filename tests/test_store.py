@@ -200,3 +200,17 @@ def test_sample(spark, sizes, n, short, want_short):
         assert {r.source for r in rows} == set(sizes)
     rest = evaluate.sample_remainder(pool, sample)
     assert rest.count() == sum(sizes.values()) - len(rows)
+
+
+def test_serving_predicates_reach_the_scan_of_a_written_store(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(i, "policy" if i % 2 else "other", 5.0, i / 10) for i in range(10)],
+        "id long, category string, eu_relevance double, quality_score double",
+    )
+    served = serve.write_served(rows, str(tmp_path / "served"))
+    shown = serve.facet_filter(serve.published_view(served), category="policy")
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "category" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(quality_score" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert sorted(r.id for r in shown.collect()) == [r.id for r in rows.collect()
+                                                     if r.id % 2 and r.quality_score >= EngineConfig().list_gate]
