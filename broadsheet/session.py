@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The folder that scratch of a run goes to, by application.
-_SCOPES: dict[str, str] = {}
+# The folder that scratch goes to; by thread, as each stream runs its batches in its own.
+_SCOPE = threading.local()
 
 # What the engine relies on; a cluster's own settings for partitions and memory win.
 SESSION_CONF = {
@@ -56,7 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     run = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/broadsheet/{run}/{_SCOPES.get(run, '')}{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/broadsheet/{run}/{getattr(_SCOPE, 'name', '')}{label}-{uuid.uuid4().hex}"
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -75,12 +76,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     For one batch of a stream or one run: frames made inside are gone after it.
     """
     context = spark.sparkContext
-    outer = _SCOPES.get(context.applicationId, "")
-    _SCOPES[context.applicationId] = name = f"{outer}run-{uuid.uuid4().hex}/"
+    outer = getattr(_SCOPE, "name", "")
+    _SCOPE.name = name = f"{outer}run-{uuid.uuid4().hex}/"
     try:
         yield
     finally:
-        _SCOPES[context.applicationId] = outer
+        _SCOPE.name = outer
         path = f"{shared_folder(spark)}/broadsheet/{context.applicationId}/{name}"
         _delete(spark, path)
 
