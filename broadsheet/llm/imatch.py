@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import running_total
+from broadsheet.llm.common import running_total, shuffle_width, small
 from broadsheet.session import materialize
 
 BREAKS = r"[^\p{L}\p{N}]+"
@@ -14,8 +14,8 @@ LEAST_SHARE, MOST_SHARE = 0.001, 0.1
 # Three granularities of 32 subsets: a term is in a subset with chance 2**-4, 2**-7, 2**-10.
 LEVELS = (4, 7, 10)
 SUBSETS = 32
+HASH = 1 << 24
 EVIDENCE = 8
-BROADCAST_ROWS = 4_000_000
 
 
 def terms_of(text: Column) -> Column:
@@ -51,22 +51,16 @@ def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataF
     """``keys``, side, marks: the subset hashes of each text.
 
     ``texts`` has ``keys`` and ``sides``, an array of texts; the side is a text's place in it.
-    A mark is the subset and a hash of its terms in the text; sorting the distinct terms is
-    spared by a hash that doesn't depend on their order. A text's terms lie in one task, so
+    A mark is a number made of the subset and 24 bits of a hash of its terms in the text;
+    sorting the distinct terms is spared by a hash that doesn't depend on their order. A text's terms lie in one task, so
     they are folded into its few marks before anything is shuffled.
     """
     terms = texts.select(*keys, F.posexplode("sides").alias("side", "text")).select(
         *keys, "side", F.explode_outer(terms_of(F.col("text"))).alias("term")
     ).select(*keys, "side", F.xxhash64("term").alias("h"))
-    if lexicon.count() <= BROADCAST_ROWS:
-        lexicon = F.broadcast(lexicon)
-    level = F.substring(F.lit("abc"), (F.col("subset") / SUBSETS).cast("int") + 1, F.lit(1))
-    mark = F.concat(
-        level, F.lpad((F.col("subset") % SUBSETS).cast("string"), 2, "0"),
-        F.substring(F.lpad(F.lower(F.hex("x")), 16, "0"), 1, 8),
-    )
+    mark = (F.col("subset") * F.lit(HASH) + F.pmod("x", F.lit(HASH))).cast("int")
     return (
-        terms.join(lexicon, "h", "left")
+        terms.join(small(lexicon), "h", "left")
         .groupBy(*keys, "side", "subset").agg(F.bit_xor(F.xxhash64("h")).alias("x"))
         .groupBy(*keys, "side")
         .agg(F.sort_array(F.collect_list(F.when(F.col("subset").isNotNull(), mark))).alias("marks"))
@@ -79,14 +73,15 @@ def likeness(a: Column, b: Column) -> Column:
     Subsets without a term of either text say nothing. Of the granularities the finest one
     with at least ``EVIDENCE`` telling subsets is read, else the coarsest.
     """
-    def at(level: str) -> tuple[Column, Column]:
-        mine = F.filter(a, lambda m: m.startswith(level))
-        theirs = F.filter(b, lambda m: m.startswith(level))
-        names = F.array_union(F.transform(mine, lambda m: F.substring(m, 1, 3)),
-                              F.transform(theirs, lambda m: F.substring(m, 1, 3)))
+    def at(level: int) -> tuple[Column, Column]:
+        low, high = level * SUBSETS * HASH, (level + 1) * SUBSETS * HASH
+        mine = F.filter(a, lambda m: m.between(low, high - 1))
+        theirs = F.filter(b, lambda m: m.between(low, high - 1))
+        names = F.array_union(F.transform(mine, lambda m: F.shiftright(m, 24)),
+                              F.transform(theirs, lambda m: F.shiftright(m, 24)))
         return F.size(F.array_intersect(mine, theirs)), F.size(names)
 
-    (ca, na), (cb, nb), (cc, nc) = at("a"), at("b"), at("c")
+    (ca, na), (cb, nb), (cc, nc) = at(0), at(1), at(2)
     return (
         F.when(nc >= EVIDENCE, cc / nc).when(nb >= EVIDENCE, cb / nb).when(na > 0, ca / na)
         .when(nb > 0, cb / nb).when(nc > 0, cc / nc)
@@ -119,10 +114,12 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         placed.withColumn("next_place", (F.col("before") + 1) % max(total, 1))
         .join(after, "next_place").select("doc_id", "rk", "n", "rows", "next_rk"), "imatch-next"
     )
+    # texts are dealt out once; both joins read that exchange
+    dealt = base.select("rk", "text").repartition(shuffle_width(base.sparkSession), "rk")
     heads = pairs.select("rk", "next_rk", F.floor(F.col("n") / 4).cast("int").alias("k")).join(
-        base.select(F.col("rk").alias("next_rk"), F.col("text").alias("next_text")), "next_rk"
+        dealt.select(F.col("rk").alias("next_rk"), F.col("text").alias("next_text")), "next_rk"
     ).select("rk", F.substring("next_text", F.lit(1), F.col("k")).alias("head"), "k")
-    texts = base.select("rk", "text").join(heads, "rk").dropDuplicates(["rk"]).select(
+    texts = dealt.join(heads, "rk").dropDuplicates(["rk"]).select(
         "rk",
         F.array("text", F.concat(
             F.substring("text", F.lit(1), F.length("text") - F.col("k")), F.col("head")
@@ -134,34 +131,34 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     )
     marks = fingerprints(texts, learn_lexicon(base), ["rk", "edited_sha256", "own", "edit"])
 
-    def printed(found: Column, whole: Column) -> Column:
-        return F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(
-            F.concat(F.lit("t"), F.lower(F.hex(whole)))
-        )
-
     prints = materialize(
         marks.groupBy("rk", "edited_sha256", "own", "edit").agg(
             F.max(F.when(F.col("side") == 0, F.col("marks"))).alias("marks"),
             F.max(F.when(F.col("side") == 1, F.col("marks"))).alias("edited"),
-        ).withColumns({
-            "fingerprint": printed(F.col("marks"), F.col("own")),
-            "edited_fingerprint": printed(F.col("edited"), F.col("edit")),
-        }), "imatch-prints",
+        ), "imatch-prints",
     )
+    # the next document's marks travel to their reader; everything else stays by rk
     following = prints.select(F.col("rk").alias("next_rk"), F.col("marks").alias("next_marks"),
-                              F.col("fingerprint").alias("next_fingerprint"))
+                              F.col("own").alias("next_own"))
+    met = pairs.join(following, "next_rk").drop("next_rk")
+
+    def printed(found: Column, whole: Column) -> Column:
+        return F.when(
+            F.size(found) > 0, F.array_join(F.transform(found, lambda m: F.lower(F.hex(m))), " ")
+        ).otherwise(F.concat(F.lit("t"), F.lower(F.hex(whole))))
 
-    def near(a: str, b: str, pa: str, pb: str) -> Column:
-        return F.coalesce(likeness(F.col(a), F.col(b)),
-                          (F.col(pa) == F.col(pb)).cast("double"))
+    def near(found: Column, whole: Column) -> Column:
+        """Without marks on either side, equal texts are alike."""
+        return F.coalesce(likeness(F.col("marks"), found), (F.col("own") == whole).cast("double"))
 
     return (
-        prints.join(pairs, "rk").join(following, "next_rk")
+        met.join(prints, "rk")
         .select(
-            "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint",
-            "edited_fingerprint", near("marks", "edited", "fingerprint", "edited_fingerprint").alias(
-                "near_edited"),
-            near("marks", "next_marks", "fingerprint", "next_fingerprint").alias("near_next"),
+            "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256",
+            printed(F.col("marks"), F.col("own")).alias("fingerprint"),
+            printed(F.col("edited"), F.col("edit")).alias("edited_fingerprint"),
+            near(F.col("edited"), F.col("edit")).alias("near_edited"),
+            near(F.col("next_marks"), F.col("next_own")).alias("near_next"),
             F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_row"),
         ).drop("_row")
     )
