@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import _powers, mix, slices_for, text_pieces, word_hashes
+from broadsheet.llm.common import (
+    _powers, by_bucket, flat_column, lists_of, mix, slices_for, text_pieces, word_hashes,
+)
 from broadsheet.session import materialize
 
 ROUNDS = 3
@@ -154,27 +156,19 @@ class Parse:
         return np.union1d(np.flatnonzero(both), self.alone[among(self.alone_key, self.alone)])
 
 
-def _lists(values: np.ndarray, group: np.ndarray, groups: int, kind: pa.DataType) -> pa.ListArray:
-    """Values, sorted by group, as one list per group."""
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+def _per_owner(sent: DataFrame, name: str, kind: pa.DataType, ddl: str) -> DataFrame:
+    """rk and the list of all its values, from the rows of :func:`by_bucket`."""
 
+    def merge(table: pa.Table) -> pa.Table:
+        owner, value = flat_column(table, "owners"), flat_column(table, name)
+        order = np.argsort(owner, kind="stable")
+        owners, group = np.unique(owner[order], return_inverse=True)
+        return pa.table({
+            "rk": pa.array(owners, pa.int64()),
+            name: lists_of(value[order], group, len(owners), kind),
+        })
 
-def _column(table: pa.Table, name: str) -> np.ndarray:
-    return np.concatenate(
-        [np.zeros(0, dtype=np.int64)]
-        + [c.flatten().to_numpy(zero_copy_only=False) for c in table.column(name).chunks]
-    )
-
-
-def _per_owner(owner: np.ndarray, value: np.ndarray, name: str, kind: pa.DataType) -> pa.Table:
-    """One row per owner with the list of its values."""
-    order = np.argsort(owner, kind="stable")
-    owners, group = np.unique(owner[order], return_inverse=True)
-    return pa.table({
-        "rk": pa.array(owners, pa.int64()),
-        name: _lists(value[order], group, len(owners), kind),
-    })
+    return sent.groupBy("bucket").applyInArrow(merge, f"rk long, {name} array<{ddl}>")
 
 
 def _in_slices(key: np.ndarray, slices: int) -> np.ndarray:
@@ -209,27 +203,27 @@ def _repeated_marks(rows: DataFrame, size: int, slices: int) -> DataFrame:
                 piece_number += 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(slices), pa.int32()),
-                    _lists(key[new][order].view(np.int64), home, slices, pa.int64()),
-                    _lists(owner[new][order], home, slices, pa.int64()),
-                    _lists(key[sure].view(np.int64), turn, slices, pa.int64()),
-                    _lists(owner[sure], turn, slices, pa.int64()),
+                    lists_of(key[new][order].view(np.int64), home, slices, pa.int64()),
+                    lists_of(owner[new][order], home, slices, pa.int64()),
+                    lists_of(key[sure].view(np.int64), turn, slices, pa.int64()),
+                    lists_of(owner[sure], turn, slices, pa.int64()),
                 ], names=["slice", "keys", "owners", "sure_keys", "sure_owners"])
 
     def gather(table: pa.Table) -> pa.Table:
-        key, owner = _column(table, "keys"), _column(table, "owners")
+        key, owner = flat_column(table, "keys"), flat_column(table, "owners")
         ordered = np.sort(key)
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         at = np.searchsorted(again, key)
         hit = again[np.minimum(at, len(again) - 1)] == key if len(again) else np.zeros(len(key), bool)
-        return _per_owner(
-            np.concatenate([owner[hit], _column(table, "sure_owners")]),
-            np.concatenate([key[hit], _column(table, "sure_keys")]), "keys", pa.int64(),
+        return by_bucket(
+            np.concatenate([owner[hit], flat_column(table, "sure_owners")]),
+            np.concatenate([key[hit], flat_column(table, "sure_keys")]), slices, "keys", pa.int64(),
         )
 
-    return (
-        rows.mapInArrow(send, schema).groupBy("slice").applyInArrow(gather, "rk long, keys array<long>")
-        .groupBy("rk").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    sent = rows.mapInArrow(send, schema).groupBy("slice").applyInArrow(
+        gather, "bucket int, owners array<long>, keys array<long>"
     )
+    return _per_owner(sent, "keys", pa.int64(), "long")
 
 
 def _later_windows(rows: DataFrame, size: int, slices: int) -> DataFrame:
@@ -273,27 +267,27 @@ def _later_windows(rows: DataFrame, size: int, slices: int) -> DataFrame:
                 number += 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(slices), pa.int32()),
-                    _lists(key[new][by].view(np.int64), home, slices, pa.int64()),
-                    _lists(doc[new][by], home, slices, pa.int64()),
-                    _lists(start[new][by], home, slices, pa.int32()),
-                    _lists(rk[new][by], home, slices, pa.int64()),
-                    _lists(rk[later], turn, slices, pa.int64()),
-                    _lists(start[later], turn, slices, pa.int32()),
+                    lists_of(key[new][by].view(np.int64), home, slices, pa.int64()),
+                    lists_of(doc[new][by], home, slices, pa.int64()),
+                    lists_of(start[new][by], home, slices, pa.int32()),
+                    lists_of(rk[new][by], home, slices, pa.int64()),
+                    lists_of(rk[later], turn, slices, pa.int64()),
+                    lists_of(start[later], turn, slices, pa.int32()),
                 ], names=[c.strip().split(" ")[0] for c in schema.split(",")])
 
     def gather(table: pa.Table) -> pa.Table:
-        key, doc, start = (_column(table, c) for c in ("keys", "docs", "starts"))
+        key, doc, start = (flat_column(table, c) for c in ("keys", "docs", "starts"))
         order, _, later = after_first(key, doc, start)
-        return _per_owner(
-            np.concatenate([_column(table, "owners")[order][later], _column(table, "later_owners")]),
-            np.concatenate([start[order][later], _column(table, "later_starts")]),
-            "starts", pa.int32(),
+        return by_bucket(
+            np.concatenate([flat_column(table, "owners")[order][later], flat_column(table, "later_owners")]),
+            np.concatenate([start[order][later], flat_column(table, "later_starts")]),
+            slices, "starts", pa.int32(),
         )
 
-    return (
-        rows.mapInArrow(send, schema).groupBy("slice").applyInArrow(gather, "rk long, starts array<int>")
-        .groupBy("rk").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    sent = rows.mapInArrow(send, schema).groupBy("slice").applyInArrow(
+        gather, "bucket int, owners array<long>, starts array<int>"
     )
+    return _per_owner(sent, "starts", pa.int32(), "int")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
