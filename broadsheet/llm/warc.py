@@ -119,18 +119,22 @@ def _write(folder: str, file_bytes: int):
         )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        now, seen_by, original = None, None, None
         for rows in batches:
             for r in rows.to_pylist():
+                page = (r["page_id"], r["digest"])
+                if r["member"] is None:  # the page's decision comes before its records
+                    seen_by, original = page, r["refers_to"]
+                    continue
                 if now is None or now.shard != r["shard"]:
                     if now is not None and (done := list(now.roll())):
                         yield batch(done)
                     now = _Shard(folder, r["shard"], file_bytes)
                 member = r["member"]
-                if member is None:
+                if page == seen_by:
                     member = _gzip(encode_record(
                         r["page_id"], r["url"], None, bytes.fromhex(r["digest"]),
-                        r["payload_bytes"], r["refers_to"],
+                        r["payload_bytes"], original,
                     ))
                 if done := list(now.add(member)):
                     yield batch(done)
@@ -174,39 +178,48 @@ def write_warc(
         .agg(F.min("page_id").alias("start")).orderBy("shard").collect()
     ]
 
+    kept = (
+        rows.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest", "payload_bytes")
+        .agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("copies"))
+        .where("copies > 1 AND kept IS NOT NULL").drop("copies")
+    )
+    # What is a revisit is decided on ids and digests; a hot digest's rows are split by
+    # adaptive execution. Decisions then travel along with the records.
+    revisits = rows.drop("html", "url").join(kept, ["digest", "payload_bytes"]).where(
+        ~F.col("page_id").eqNullSafe(F.col("kept"))
+    ).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"),
+             "digest", "kept").distinct()
+    none = F.lit(None)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             out = []
-            for page_id, url, html in zip(*(rows.column(k).to_pylist() for k in range(3))):
-                payload = html.encode("utf-8", "surrogatepass")
-                digest = _sha1(payload)
+            for page_id, url, html, digest, original in zip(
+                *(rows.column(k).to_pylist() for k in range(5))
+            ):
                 shard = 0 if page_id is None else max(0, bisect_right(starts, page_id) - 1)
-                record = encode_record(page_id, url, payload, digest, len(payload), None)
-                out.append((shard, page_id, url, digest.hex(), len(payload), _gzip(record)))
+                if html is None:
+                    out.append((shard, page_id, None, digest, None, original, None))
+                    continue
+                payload = html.encode("utf-8", "surrogatepass")
+                sha = _sha1(payload)
+                record = encode_record(page_id, url, payload, sha, len(payload), None)
+                out.append((shard, page_id, url, sha.hex(), len(payload), None, _gzip(record)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], t) for k, t in enumerate((
-                    pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()))],
-                names=["shard", "page_id", "url", "digest", "payload_bytes", "member"],
+                    pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(),
+                    pa.binary()))],
+                names=["shard", "page_id", "url", "digest", "payload_bytes", "refers_to", "member"],
             )
 
-    kept = (
-        rows.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest", "payload_bytes")
-        .agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1 AND kept IS NOT NULL").drop("copies")
-    )
-    # Pages travel as compressed records, and as none once they turn out to be revisits. Rows
-    # without a match keep their place: adaptive execution splits a hot digest's rows.
-    records = rows.select("page_id", "url", "html").mapInArrow(
-        encode, "shard int, page_id long, url string, digest string, payload_bytes long, "
-                "member binary"
-    )
-    marked = records.join(kept, ["digest", "payload_bytes"], "left").withColumn(
-        "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
-    ).withColumn("member", F.when(F.col("refers_to").isNull(), F.col("member")))
     manifest = (
-        marked.select("shard", "page_id", "url", "digest", "payload_bytes", "refers_to", "member")
+        rows.select("page_id", "url", "html", none.cast("string").alias("digest"),
+                    none.cast("long").alias("kept"))
+        .unionByName(revisits)
+        .mapInArrow(encode, "shard int, page_id long, url string, digest string, "
+                            "payload_bytes long, refers_to long, member binary")
         .repartition(max(1, min(len(starts), shuffle_width(spark))), "shard")
-        .sortWithinPartitions("shard", "page_id", "digest", "url")
+        .sortWithinPartitions("shard", "page_id", "digest", F.col("member").isNotNull(), "url")
         .mapInArrow(_write(folder, file_bytes), MANIFEST)
     )
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
