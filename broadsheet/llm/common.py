@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,12 @@ def slices_for(rows: int, per_slice: int) -> int:
     return max(1, -(-rows // per_slice))
 
 
+def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Narrow rows of a written table, to be broadcast if they are few: they are counted
+    first. More of them meet the other side in a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def running_total(rows: DataFrame, order: list[str], value: str, label: str) -> DataFrame:
     """``rows`` with ``before``: the sum of ``value`` over all rows that come earlier.
 
@@ -115,7 +122,7 @@ LETTERS = np.array(
 _BYTE_CODES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * 2 + 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -178,3 +185,31 @@ def text_pieces(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list
             start, held, size = k + 1, [], 0
     if held:
         yield ids[start:], held
+
+
+# --- arrays of many rows in one ----------------------------------------------------------
+
+def lists_of(values: np.ndarray, group: np.ndarray, groups: int, kind: pa.DataType) -> pa.ListArray:
+    """Values, sorted by group, as one list per group."""
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+
+
+def flat_column(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate(
+        [np.zeros(0, dtype=np.int64)]
+        + [c.flatten().to_numpy(zero_copy_only=False) for c in table.column(name).chunks]
+    )
+
+
+def by_bucket(
+    owner: np.ndarray, value: np.ndarray, buckets: int, name: str, kind: pa.DataType
+) -> pa.Table:
+    """One row per bucket of owners, so that what slices send back is few rows."""
+    home = (mix(owner.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    return pa.table({
+        "bucket": pa.array(np.arange(buckets), pa.int32()),
+        "owners": lists_of(owner[order], home, buckets, pa.int64()),
+        name: lists_of(value[order], home, buckets, kind),
+    })

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import (
-    LOWER, components, gram_hashes, mix, running_total, slices_for, text_pieces, word_hashes,
+    LOWER, by_bucket, components, flat_column, gram_hashes, lists_of, mix, running_total,
+    slices_for, small, text_pieces, word_hashes,
 )
 from broadsheet.session import materialize
 
 # The part of all n-grams that the first filter looks at, in sixteenths.
 SAMPLED_16THS = 5
-KEYS_PER_SLICE = 2_000_000
-BLOCK_GRAMS = 1_000_000
+KEYS_PER_SLICE = 1_500_000
+BLOCK_GRAMS = 400_000
 
 
 def gram_sets(ids: list, texts: list, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -74,14 +75,12 @@ def _shared(docs: DataFrame, size: int, slices: int) -> DataFrame:
 
             def rows() -> pa.RecordBatch:
                 keys, own = np.concatenate(held), np.concatenate(owners)
-                where = ((keys >> np.uint64(20)) % np.uint64(slices)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=slices))])
-                offsets = pa.array(cuts, pa.int32())
+                home = ((keys >> np.uint64(20)) % np.uint64(slices)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
                 return pa.RecordBatch.from_arrays([
                     pa.array(np.arange(slices), pa.int32()),
-                    pa.ListArray.from_arrays(offsets, pa.array(keys[order].view(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(own[order])),
+                    lists_of(keys[order].view(np.int64), home, slices, pa.int64()),
+                    lists_of(own[order], home, slices, pa.int64()),
                 ], names=["slice", "keys", "owners"])
 
             for i, g in gram_sets(ids, texts, size):
@@ -96,21 +95,25 @@ def _shared(docs: DataFrame, size: int, slices: int) -> DataFrame:
             if total:
                 yield rows()
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate(group["keys"].to_list()).view(np.uint64)
-        owners = np.concatenate(group["owners"].to_list())
+    def count(table: pa.Table) -> pa.Table:
+        keys, owners = flat_column(table, "keys").view(np.uint64), flat_column(table, "owners")
         ordered = np.sort(keys)
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         at = np.searchsorted(again, keys)
         hit = again[np.minimum(at, len(again) - 1)] == keys if len(again) else at < 0
         ids, times = np.unique(owners[hit], return_counts=True)
-        return pd.DataFrame({"doc_id": ids, "shared": times})
+        return by_bucket(ids, times, slices, "shared", pa.int64())
+
+    def add(table: pa.Table) -> pa.Table:
+        ids, place = np.unique(flat_column(table, "owners"), return_inverse=True)
+        shared = np.bincount(place, weights=flat_column(table, "shared")).astype(np.int64)
+        return pa.table({"doc_id": ids, "shared": shared})
 
     sent = docs.mapInArrow(send, "slice int, keys array<long>, owners array<long>")
-    return (
-        sent.groupBy("slice").applyInPandas(count, "doc_id long, shared long")
-        .groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    counted = sent.groupBy("slice").applyInArrow(
+        count, "bucket int, owners array<long>, shared array<long>"
     )
+    return counted.groupBy("bucket").applyInArrow(add, "doc_id long, shared long")
 
 
 class Trie:
@@ -148,14 +151,16 @@ class Trie:
         self.weight[rank] = weight
         order = np.lexsort((kind_of, member))
         cuts = np.searchsorted(member[order], np.arange(m + 1))
-        self.paths = [kind_of[order][cuts[k]:cuts[k + 1]] for k in range(self.count)]
+        by_set = kind_of[order]
+        self.paths = [by_set[cuts[k]:cuts[k + 1]] for k in range(self.count)]
         # who holds an element, or, if most do, who doesn't
         order = np.lexsort((member, kind_of))
         cuts = np.searchsorted(kind_of[order], np.arange(len(kinds) + 1))
+        by_kind = member[order]
         self.base = np.zeros(len(kinds), dtype=np.int64)
         lists, signs = [], []
         for k in range(len(kinds)):
-            holds = member[order][cuts[k]:cuts[k + 1]]
+            holds = by_kind[cuts[k]:cuts[k + 1]]
             if 2 * len(holds) > m:
                 self.base[k] = self.weight[k]
                 holds = np.setdiff1d(np.arange(m), holds, assume_unique=True)
@@ -220,7 +225,7 @@ def link_block(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """key, root, links of a task's sets, for each candidate group in it."""
     out = []
     for _, rows in group.groupby("root"):
-        rows = rows.sort_values(["side", "key"])
+        rows = rows.drop_duplicates(["side", "key"]).sort_values(["side", "key"])
         keys, copies = rows["key"].to_numpy(), rows["copies"].to_numpy()
         sets = [np.asarray(g).view(np.uint64) for g in rows["grams"]]
         mine = int((rows["side"] == 0).sum())
@@ -272,23 +277,24 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     near = materialize(
         classes.where("doc_id IS NOT NULL").join(shared, "doc_id", "left")
         .where(F.coalesce("shared", F.lit(0)) >= F.col("u") - lacking)
-        .select("doc_id", "key", "copies"), "jaccard-near",
+        .select("doc_id", "key", "n", "copies"), "jaccard-near",
     )
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(set_key(g), g) for _, g in
+            found = [(i, set_key(g), g) for i, g in
                      gram_sets(b.column(0).to_pylist(), b.column(1).to_pylist(), size) if len(g)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([k for k, _ in found], pa.int64()),
-                pa.array([g.view(np.int64) for _, g in found], pa.list_(pa.int64())),
-            ], names=["key", "grams"])
+                pa.array([i for i, _, _ in found], pa.int64()),
+                pa.array([k for _, k, _ in found], pa.int64()),
+                pa.array([g.view(np.int64) for _, _, g in found], pa.list_(pa.int64())),
+            ], names=["doc_id", "key", "grams"])
 
+    # a repeated row gives its set twice, which nothing below minds
     sets = materialize(
-        docs.join(near.select("doc_id"), "doc_id", "left_semi")
-        .mapInArrow(grams, "key long, grams array<long>").dropDuplicates(["key"])
-        .join(near.select("key", "copies"), "key")
-        .withColumn("n", F.size("grams").cast("long")), "jaccard-grams",
+        docs.join(small(near.select("doc_id")), "doc_id", "left_semi")
+        .mapInArrow(grams, "doc_id long, key long, grams array<long>")
+        .join(small(near), ["doc_id", "key"]).drop("doc_id"), "jaccard-grams",
     )
     elements = sets.select("key", "n", F.explode("grams").alias("gram"))
     frequent = elements.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -310,7 +316,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     )
     placed = materialize(
         running_total(
-            grouped.join(sets.select("key", "n"), "key"), ["root", "n", "key"], "n", "jaccard-order"
+            grouped.join(near.select("key", "n"), "key"), ["root", "n", "key"], "n", "jaccard-order"
         ).select("key", "root", "n", F.floor(F.col("before") / BLOCK_GRAMS).alias("block")),
         "jaccard-blocks",
     )
@@ -324,8 +330,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     second = placed.select("key", "root", F.col("block").alias("block2")).join(
         pairs.where("block < block2"), ["root", "block2"]
     ).select("key", "root", "block", "block2", F.lit(1).alias("side"))
+    parts = materialize(first.unionByName(second), "jaccard-parts")
     linked = materialize(
-        first.unionByName(second).join(sets.select("key", "copies", "grams"), "key")
+        sets.select("key", "copies", "grams").join(small(parts), "key")
         .groupBy("block", "block2").applyInPandas(
             lambda group: link_block(group, percent), "key long, root long, links long"
         ), "jaccard-links",
