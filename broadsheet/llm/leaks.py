@@ -188,10 +188,11 @@ def leaks(text: Column, index: Index) -> Column:
     @F.pandas_udf(LEAK)
     def find(texts: pd.Series) -> pd.Series:
         out: list[list[tuple]] = []
-        lowered = [t if t is None else t.lower() for t in texts]
-        for _, piece in text_pieces(lowered, lowered):
-            words, before = word_hashes(piece, LETTERS)
-            out += index.find(words, before)
+        for k in range(0, len(texts), 200):
+            lowered = [t if t is None else t.lower() for t in texts.iloc[k:k + 200]]
+            for _, piece in text_pieces(lowered, lowered):
+                words, before = word_hashes(piece, LETTERS)
+                out += index.find(words, before)
         return pd.Series([
             [dict(zip(("item_id", "start", "distance", "words"), leak)) for leak in found]
             for found in out

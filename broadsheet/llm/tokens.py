@@ -41,7 +41,7 @@ MOST_SYMBOLS = 65536
 ROUNDS = 5
 RULES_PER_ROUND = 3_000
 LEAST_USES = 8
-MOST_CACHED = 1_000_000
+MOST_CACHED = 600_000
 MANIFEST = ("shard int, section int, file string, offset long, bytes long, documents long, "
             "ids long, symbols long, rules long")
 _UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -369,7 +369,7 @@ def _write(folder: str, tokenizer: str, section_ids: int):
                     out = store.open_output_stream(temp, compression=None)
                 held.append((doc_id, text))
                 chars += len(text)
-                if chars >= 2_000_000:
+                if chars >= 1_000_000:
                     tokens()
             if done:
                 yield _arrow(done, MANIFEST)
