@@ -18,8 +18,8 @@ from broadsheet.session import materialize
 
 # The part of all n-grams that the first filter looks at, in sixteenths.
 SAMPLED_16THS = 5
-KEYS_PER_SLICE = 1_500_000
-BLOCK_GRAMS = 400_000
+KEYS_PER_SLICE = 800_000
+BLOCK_GRAMS = 200_000
 
 
 def gram_sets(ids: list, texts: list, size: int) -> Iterator[tuple[int | None, np.ndarray]]:

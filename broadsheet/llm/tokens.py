@@ -34,7 +34,7 @@ from broadsheet.llm.warc import _store
 
 MAGIC = b"RPG1"
 END_ID = 0
-SECTION_IDS = 2_000_000
+SECTION_IDS = 1_000_000
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 65536
 MOST_SYMBOLS = 65536
