@@ -18,7 +18,11 @@ SAMPLED = 3
 TARGET_RECALL = 0.99
 # Share of embedding steps on which texts at the edit bound agree, at least on average.
 AGREEING = 0.5
+# Words between the places of an item from which a walk starts, and words kept for the last walk.
+ANCHOR_WORDS = 6
+WALK_WORDS = 10
 ITEMS_PER_BLOCK = 5_000
+CHARS_PER_BLOCK = 1_500_000
 LEAK = "array<struct<item_id:long,start:int,distance:int,words:int>>"
 
 
@@ -66,9 +70,18 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def anchors(words: int) -> np.ndarray:
+    """Places of an item from which it is embedded: all along it, so that edits that crowd in
+    some stretches leave walks over the others."""
+    return np.append(np.arange(0, max(words - WALK_WORDS, 1), ANCHOR_WORDS), max(words - WALK_WORDS, 0))
+
+
 @dataclass
 class Index:
-    """The items of one block: words, LSH keys of both halves and the pairs of words."""
+    """The items of one block: words, LSH keys of walks all along them, the pairs of words.
+
+    Items that allow one edit at most are met by an exact half (the whole, if they allow none).
+    """
 
     ids: list[int]
     words: list[np.ndarray]
@@ -77,21 +90,39 @@ class Index:
         self.reps = repetitions()
         self.sets = [set(w.tolist()) for w in self.words]
         gap = np.zeros(STEPS + 1, dtype=np.uint64)
-        joined = np.concatenate([x for w in self.words for x in (w, gap)])
-        sizes = np.array([len(w) for w in self.words])
-        begin = np.cumsum(sizes + len(gap)) - sizes - len(gap)
-        # an item is met by its first or its second half: edits can't crowd in both
-        starts = np.concatenate([begin, begin + sizes // 2])
-        keys = embed(joined, starts, self.reps)
-        number = np.repeat(np.tile(np.arange(len(sizes)), 2), self.reps)
-        shift = np.repeat(np.concatenate([0 * sizes, sizes // 2]), self.reps)
-        order = np.argsort(keys.ravel(), kind="stable")
-        self.keys, self.number, self.shift = keys.ravel()[order], number[order], shift[order]
+        long = [k for k, w in enumerate(self.words) if allowed(len(w)) > 1]
+        joined = np.concatenate([gap, *[x for k in long for x in (self.words[k], gap)]])
+        sizes = np.array([len(self.words[k]) for k in long], dtype=np.int64)
+        begin = len(gap) + np.cumsum(sizes + len(gap)) - sizes - len(gap)
+        places = [anchors(n) for n in sizes.tolist()]
+        per_item = [len(p) for p in places]
+        shift = np.concatenate([np.zeros(0, dtype=np.int64), *places])
+        keys = embed(joined, np.repeat(begin, per_item) + shift, self.reps).ravel()
+        number = np.repeat(np.repeat(np.array(long, dtype=np.int32), per_item), self.reps)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.number = keys[order], number[order]
+        self.shift = np.repeat(shift.astype(np.int32), self.reps)[order]
+        self.parts = self._parts()
         pairs = np.concatenate([gram_hashes(w, 2) for w in self.words])
         self.bits = np.uint64(64 - max(16, int(8 * max(len(pairs), 1)).bit_length()))
         self.pairs = np.zeros(1 << int(64 - self.bits), dtype=bool)
         self.pairs[(pairs >> self.bits).astype(np.int64)] = True
-        self.sizes = np.unique(sizes)
+        self.sizes = np.unique(sizes)  # of the items that are met by walks
+
+    def _parts(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By length: sorted hashes of the exact parts of short items, item numbers, shifts."""
+        parts: dict[int, list[tuple]] = {}
+        for k, w in enumerate(self.words):
+            half = len(w) // 2
+            cuts = {0: [(0, len(w))], 1: [(0, half), (half, len(w))]}.get(allowed(len(w)), [])
+            for a, b in cuts:
+                parts.setdefault(b - a, []).append((gram_hashes(w[a:b], b - a)[0], k, a))
+        out = {}
+        for n, found in parts.items():
+            hashes = np.array([h for h, _, _ in found], dtype=np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            out[n] = (hashes[order], *[np.array([f[j] for f in found])[order] for j in (1, 2)])
+        return out
 
     def near(self, words: np.ndarray) -> np.ndarray:
         """Places that an item-sized window covers which could hold an item.
@@ -116,23 +147,37 @@ class Index:
             np.add.at(change, np.minimum(at + size + k, len(words)), -1)
         return np.flatnonzero(np.cumsum(change[:-1]))
 
-    def find(self, words: np.ndarray, before: np.ndarray) -> list[list[tuple]]:
-        """For each text of a piece (words ``before[i]`` to ``before[i + 1]``) the items in it."""
-        out: list[list[tuple]] = [[] for _ in range(len(before) - 1)]
-        starts = self.near(words)
-        if not len(starts):
-            return out
-        keys = embed(np.concatenate([words, np.zeros(STEPS + 1, dtype=np.uint64)]), starts, self.reps)
+    @staticmethod
+    def _meet(
+        keys: np.ndarray, starts: np.ndarray, known: np.ndarray, number: np.ndarray, shift: np.ndarray
+    ) -> np.ndarray:
+        """(start, item, shift) of all entries whose key is met; ``keys`` is [start, repetition]."""
         flat = keys.ravel()
-        lo, hi = np.searchsorted(self.keys, flat), np.searchsorted(self.keys, flat, side="right")
+        lo, hi = np.searchsorted(known, flat), np.searchsorted(known, flat, side="right")
         met = np.flatnonzero(hi > lo)
         count = (hi - lo)[met]
         entry = np.repeat(lo[met], count) + np.arange(count.sum()) - np.repeat(
             np.cumsum(count) - count, count
         )
-        place = np.repeat(starts[met // self.reps], count) - self.shift[entry]
-        text = np.searchsorted(before, np.repeat(starts[met // self.reps], count), side="right") - 1
-        found = np.unique(np.stack([text, self.number[entry], place], axis=1), axis=0)
+        return np.stack([np.repeat(starts[met // keys.shape[1]], count), number[entry], shift[entry]])
+
+    def find(self, words: np.ndarray, before: np.ndarray) -> list[list[tuple]]:
+        """For each text of a piece (words ``before[i]`` to ``before[i + 1]``) the items in it."""
+        out: list[list[tuple]] = [[] for _ in range(len(before) - 1)]
+        met = [
+            self._meet(gram_hashes(words, n)[:, None], np.arange(len(words) - n + 1), *part)
+            for n, part in self.parts.items() if len(words) >= n
+        ]
+        starts = self.near(words)
+        if len(starts):
+            padded = np.concatenate([words, np.zeros(STEPS + 1, dtype=np.uint64)])
+            keys = embed(padded, starts, self.reps)
+            met.append(self._meet(keys, starts, self.keys, self.number, self.shift))
+        if not met:
+            return out
+        start, number, shift = np.concatenate(met, axis=1)
+        text = np.searchsorted(before, start, side="right") - 1
+        found = np.unique(np.stack([text, number, start - shift], axis=1), axis=0)
         # candidates of one item that lie close together are verified in one stretch
         same = (np.diff(found[:, 0]) == 0) & (np.diff(found[:, 1]) == 0) & (np.diff(found[:, 2]) <= 64)
         for group in np.split(found, np.flatnonzero(~same) + 1) if len(found) else []:
@@ -156,7 +201,7 @@ def build_index(benchmark: DataFrame) -> list[Index]:
 
     Null ids or texts and texts without a word are no items.
     """
-    blocks, ids, texts = [], [], []
+    blocks, ids, texts, chars = [], [], [], 0
 
     def close() -> None:
         if ids:
@@ -170,8 +215,10 @@ def build_index(benchmark: DataFrame) -> list[Index]:
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         ids.append(row.item_id)
         texts.append(row.text)
-        if len(ids) == ITEMS_PER_BLOCK:
+        chars += len(row.text)
+        if len(ids) == ITEMS_PER_BLOCK or chars >= CHARS_PER_BLOCK:
             close()
+            chars = 0
     close()
     return blocks
 

@@ -198,3 +198,25 @@ def test_leaks_edge_cases(spark):
     assert leaks.find_leaks(frame(spark, rows), none).collect() == []
     assert leaks.find_leaks(frame(spark, []), benchmark).collect() == []
     assert leaks.without_leaks(frame(spark, rows), none).count() == len(rows)
+
+
+def test_long_items_with_edits_in_blocks_are_found(spark):
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(2_000)]
+    items = [[r.choice(words) for _ in range(n)] for n in (100, 150, 200, 250, 300) for _ in range(8)]
+    rows = []
+    for k, item in enumerate(items):
+        n, edits = len(item), len(item) // 5
+        for j, starts in enumerate(([0, n // 2], [0], [n - edits])):
+            text = list(item)
+            for at in starts:
+                for p in range(at, at + edits // len(starts)):
+                    text[p] = r.choice(words)
+            rows.append((10 * k + j, " ".join(words[:20] + text + words[20:40])))
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)],
+                                      "item_id long, text string")
+    expected = {(i, k) for i, text in rows for k, item in [(i // 10, items[i // 10])]
+                if brute_distance(item, text.split()) <= len(item) // 5}
+    assert len(expected) == len(rows)
+    found = {(x.doc_id, x.item_id) for x in leaks.find_leaks(frame(spark, rows), benchmark).collect()}
+    assert found <= expected and len(found) >= 0.98 * len(expected)
