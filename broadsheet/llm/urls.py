@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import ascii_lower
+from broadsheet.session import materialize
 
 # (verdict, rule): a rule is a host and the start of a path.
 RULES = (
@@ -76,6 +77,98 @@ def shape_of(path: Column) -> Column:
     )
 
 
+def _above(s: Column | str, level: int) -> Column:
+    """One string for the segments before ``level``."""
+    return F.array_join(F.slice(s, 1, level), "/")
+
+
+def _generalised(shapes: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``shapes`` with ``*`` at the variable places found so far, in order of their levels."""
+    for level, places in levels:
+        shapes = shapes.withColumn("above", F.when(F.size("s") > level, _above("s", level))).join(
+            places, ["host", "above"], "left"
+        ).withColumn("s", F.when(
+            F.col("variable"), F.transform("s", lambda x, k: F.when(k == level, "*").otherwise(x))
+        ).otherwise(F.col("s"))).drop("above", "variable")
+    return shapes
+
+
+def _variable_levels(
+    shapes: DataFrame, variable_children: int, variable_support: int
+) -> list[tuple[int, DataFrame]]:
+    """For each level with variable places: (level, (host, above, variable)).
+
+    A place with fewer than ``variable_children`` shapes below it holds no variable place, so
+    a level's round takes the rest only, and rounds end where there is none.
+    """
+    levels: list[tuple[int, DataFrame]] = []
+    left, level = shapes.select("host", "n", "s"), 1
+    while True:
+        at = left.where(F.size("s") > level).withColumn("above", _above("s", level))
+        crowded = at.groupBy("host", "above").agg(F.count(F.lit(1)).alias("c")).where(
+            F.col("c") >= variable_children)
+        left = materialize(at.join(crowded, ["host", "above"], "left_semi"), f"url-left-{level}")
+        if left.isEmpty():
+            return levels
+        places = materialize(
+            left.groupBy("host", "above", F.col("s")[level].alias("seg")).agg(F.sum("n").alias("n"))
+            .groupBy("host", "above")
+            .agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("total"))
+            .where((F.col("children") >= variable_children)
+                   & (F.col("total") <= variable_support * F.col("children")))
+            .select("host", "above", F.lit(True).alias("variable")), f"url-places-{level}",
+        )
+        left = left.drop("above")
+        if not places.isEmpty():
+            levels.append((level, places))
+            left = _generalised(left, [(level, places)])
+        level += 1
+
+
+def _merged(templates: DataFrame, overall: DataFrame, weight: int) -> DataFrame:
+    """``templates`` with branches that look alike under one name, the last level first."""
+    whole = templates.groupBy("host", "s").agg(F.count(F.lit(1)).alias("c"))
+    nodes = whole.select(
+        "host", "s", F.explode(F.sequence(F.lit(1), F.size("s") - 1)).alias("level")
+    ).select("host", "level", F.array_join(F.slice("s", F.lit(1), F.col("level")), "/").alias("above"),
+             F.element_at("s", F.col("level") + 1).alias("seg"))
+    branching = (
+        nodes.groupBy("host", "level", "above", "seg").agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("host", "level", "above").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        .groupBy("level").agg(F.count(F.lit(1)).alias("c"))
+    )
+    for level in sorted((r.level for r in branching.collect()), reverse=True):
+        at = templates.withColumns({
+            "above": F.when(F.size("s") > level, _above("s", level)),
+            "branch": F.try_element_at("s", F.lit(level + 1)),
+            "below": F.array_join(F.slice("s", level + 2, F.greatest(F.size("s"), F.lit(1))), "/"),
+        })
+        branches = at.where("above IS NOT NULL").groupBy("host", "above", "branch").agg(
+            F.count_distinct(F.struct(F.size("s"), "below")).alias("k"),
+            F.min("below").alias("lo"), F.max("below").alias("hi"),
+            F.min(F.size("s")).alias("short"), F.sum("b").alias("bb"), F.sum("l").alias("bl"),
+        )
+        alike = branches.groupBy("above", "branch").agg(
+            F.sum("bb").alias("ab"), F.sum("bl").alias("al"))
+        branches = (
+            branches.join(alike, ["above", "branch"]).crossJoin(F.broadcast(overall))  # a single row
+            .withColumn("kin_p", (F.col("ab") + weight * F.col("p0")) / (F.col("al") + weight))
+            .withColumn("quarter", F.floor(
+                4 * (F.col("bb") + weight * F.col("kin_p")) / (F.col("bl") + weight)))
+        )
+        look = ["host", "above", "k", "lo", "hi", "short", "quarter"]
+        merged = branches.groupBy(*look).agg(F.min("branch").alias("kin"))
+        kin = branches.join(merged, look).where("kin <> branch").select(
+            "host", "above", "branch", "kin")
+        templates = materialize(
+            at.join(kin, ["host", "above", "branch"], "left").withColumn("s", F.when(
+                F.col("kin").isNotNull(),
+                F.transform("s", lambda x, k: F.when(k == level, F.col("kin")).otherwise(x)),
+            ).otherwise(F.col("s"))).drop("above", "branch", "below", "kin"), f"url-merged-{level}",
+        )
+    return templates
+
+
 def template_purity(
     urls: DataFrame, variable_children: int = 8, variable_support: int = 2, weight: int = 4
 ) -> DataFrame:
@@ -84,61 +177,31 @@ def template_purity(
     ``urls`` has host, path and label (1 blocked, 0 allowed, null unlabelled). Per host:
 
     1. digits and hex ids become wildcards; rows collapse to (host, shape) with counts;
-    2. a segment becomes ``*`` where its place in the tree has at least
+    2. level by level, a segment becomes ``*`` where its place in the tree has at least
        ``variable_children`` different values that are met ``variable_support`` times or
-       less on average;
-    3. first-level branches of a host merge if they look alike: as many templates below, the
-       same first and last one, and smoothed purity in the same quarter;
+       less on average; a place is what generalised segments lead to;
+    3. from the last level to the first, branches at one place merge if they look alike: as
+       many templates below, the same first and last one, and smoothed purity in the same
+       quarter;
     4. purity is smoothed towards the same template (in step 3 the same branch) over all
        hosts, and that towards the share over all labelled urls.
 
     Everything after step 1 works on counts, so a host with most of the rows is no hot key.
+    A level is a round of aggregations; only places that could still change take part.
     """
     shapes = (
         urls.withColumn("shape", shape_of(F.col("path"))).groupBy("host", "shape")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("label", F.lit(0))).alias("b"),
              F.count("label").alias("l"))
     )
-    parts = F.split("shape", "/")
-    nodes = shapes.select(
-        "host", "shape", "n", "b", "l", F.posexplode(parts).alias("d", "seg"), parts.alias("parts")
-    ).withColumn("above", F.array_join(F.slice("parts", 1, F.col("d")), "/")).drop("parts")
-    variable = (
-        nodes.groupBy("host", "d", "above", "seg").agg(F.sum("n").alias("n"))
-        .groupBy("host", "d", "above")
-        .agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("total"))
-        .where((F.col("children") >= variable_children)
-               & (F.col("total") <= variable_support * F.col("children")))
-        .select("host", "d", "above", F.lit(True).alias("variable"))
-    )
-    templates = (
-        nodes.join(variable, ["host", "d", "above"], "left")
-        .withColumn("seg", F.when(F.col("variable"), "*").otherwise(F.col("seg")))
-        .groupBy("host", "shape", "n", "b", "l")
-        .agg(F.array_sort(F.collect_list(F.struct("d", "seg"))).alias("s"))
-        .withColumn("s", F.transform("s", lambda x: x.seg))
-        .select("host", "shape", "b", "l", F.try_element_at("s", F.lit(2)).alias("branch"),
-                F.array_join(F.slice("s", 3, F.greatest(F.size("s"), F.lit(1))), "/").alias("below"))
-        .withColumn("branch", F.coalesce("branch", F.lit("")))
+    shapes = materialize(
+        shapes.withColumn("s", F.split("shape", "/")).withColumn("s", F.when(
+            F.size("s") > 1, F.col("s")).otherwise(F.array(F.col("s")[0], F.lit("")))), "url-shapes"
     )
+    levels = _variable_levels(shapes, variable_children, variable_support)
+    templates = materialize(_generalised(shapes, levels), "url-templates")
     overall = templates.agg(((F.sum("b") + 1) / (F.sum("l") + 2)).alias("p0"))
-    branches = (
-        templates.groupBy("host", "branch")
-        .agg(F.count_distinct("below").alias("k"), F.min("below").alias("lo"),
-             F.max("below").alias("hi"), F.sum("b").alias("bb"), F.sum("l").alias("bl"))
-    )
-    alike = branches.groupBy("branch").agg(F.sum("bb").alias("ab"), F.sum("bl").alias("al"))
-    branches = (
-        branches.join(alike, "branch").crossJoin(F.broadcast(overall))  # a single row
-        .withColumn("kin_p", (F.col("ab") + weight * F.col("p0")) / (F.col("al") + weight))
-        .withColumn("quarter", F.floor(
-            4 * (F.col("bb") + weight * F.col("kin_p")) / (F.col("bl") + weight)))
-    )
-    merged = branches.groupBy("host", "k", "lo", "hi", "quarter").agg(F.min("branch").alias("kin"))
-    kin = branches.join(merged, ["host", "k", "lo", "hi", "quarter"]).select("host", "branch", "kin")
-    named = templates.join(kin, ["host", "branch"]).withColumn(
-        "template", F.concat_ws("/", F.lit(""), "kin", "below")
-    )
+    named = _merged(templates, overall, weight).withColumn("template", F.array_join("s", "/"))
     own = named.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("l").alias("l"))
     anywhere = own.groupBy("template").agg(F.sum("b").alias("ab"), F.sum("l").alias("al"))
     purity = (

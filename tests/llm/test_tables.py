@@ -104,6 +104,27 @@ def test_a_place_with_many_rare_segments_is_a_wildcard(spark):
     assert {r.template for r in found.collect()} == {"/user/*/post", "/about/us"}
 
 
+def test_variable_segments_below_variable_segments(spark):
+    def name(k):
+        return "".join(chr(97 + int(c)) for c in f"{k:03d}")
+
+    rows = [("h", f"/u/u{name(k)}/p/s{name(7 * k)}", 1 if k < 10 else None) for k in range(60)]
+    rows += [("h", "/about/us", 0)] * 40
+    found = urls.template_purity(spark.createDataFrame(rows, "host string, path string, label int"))
+    purity = {r.template: r.purity for r in found.collect()}
+    assert set(purity) == {"/u/*/p/*", "/about/us"}
+    assert purity["/u/*/p/*"] > 0.6 > 0.2 > purity["/about/us"]
+
+
+def test_branches_that_look_alike_merge_at_each_level(spark):
+    rows = [("h", f"/docs/{v}/{leaf}", label) for v in ("old", "new") for leaf in ("guide", "api")
+            for label in ([1] * 5 if leaf == "guide" else [0] * 5)]
+    rows += [("h", f"/shop/{leaf}", 0) for leaf in ("cart", "pay", "list")] * 5
+    found = urls.template_purity(spark.createDataFrame(rows, "host string, path string, label int"))
+    assert {r.template for r in found.collect()} == {
+        "/docs/new/api", "/docs/new/guide", "/shop/cart"}
+
+
 # --- toxicity ---------------------------------------------------------------------------------
 
 def test_folding():
