@@ -220,3 +220,16 @@ def test_long_items_with_edits_in_blocks_are_found(spark):
     assert len(expected) == len(rows)
     found = {(x.doc_id, x.item_id) for x in leaks.find_leaks(frame(spark, rows), benchmark).collect()}
     assert found <= expected and len(found) >= 0.98 * len(expected)
+
+
+def test_exact_copies_of_very_short_items_are_found(spark):
+    items = [(10 * n + j, " ".join(f"s{n}x{j}y{k}" for k in range(n))) for n in range(1, 10) for j in range(4)]
+    rows = [(i, f"before it {text} after it all") for i, text in items]
+    # one edit is allowed from five words on
+    rows += [(1_000 + i, " ".join(["new", *text.split()[1:], "end"])) for i, text in items]
+    found = leaks.find_leaks(
+        frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {(x.doc_id, x.item_id, x.distance) for x in found} == (
+        {(i, i, 0) for i, _ in items} | {(1_000 + i, i, 1) for i, _ in items if i >= 50}
+    )
