@@ -71,6 +71,20 @@ def test_a_fingerprint_follows_the_terms_in_the_band_alone(spark):
     assert marks[0] == marks[1] != marks[2] and marks[3] == []
 
 
+def test_near_copies_of_a_large_group_are_alike(spark):
+    r = random.Random(5)
+    group = [f"shared{k}" for k in range(80)]
+    rows = []
+    for i in range(40):
+        text = list(group)
+        text[i + 10] = f"edit{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, " ".join(f"own{r.randrange(3_000)}" for _ in range(80))) for i in range(80)]
+    found = {x.doc_id: x for x in imatch.compare_edited(docs(spark, rows)).collect()}
+    assert all(found[i].near_next > 0.5 for i in range(39))
+    assert all(found[i].near_next < 0.3 for i in range(100, 179))
+
+
 # --- urls -------------------------------------------------------------------------------------
 
 def test_urls_take_the_longest_rule_and_else_their_template(spark):
