@@ -134,3 +134,41 @@ SELECT s.doc_id, len(s.s) AS n_shingles, (SELECT count(*) FROM links l WHERE l.a
        (SELECT min(r) FROM reach WHERE reach.a = s.doc_id) AS component_id
 FROM s
 """
+
+ORACLE["op12_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+         [coalesce(role, ''), coalesce(text, '')] AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, xor(list_reduce(
+           list_prepend(4294967295::BIGINT,
+                        list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z:
+             CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+         4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT i.conv_id, b.pos, b.said FROM ids i
+  JOIN t b ON b.conv_id = i.conv_id - i.conv_id % 20 AND b.pos <= i.h
+  UNION ALL SELECT conv_id, pos, said FROM t JOIN ids USING (conv_id) WHERE pos > h),
+c AS (
+  SELECT i.conv_id, coalesce(list(r.said ORDER BY r.pos) FILTER (r.pos IS NOT NULL), []) AS path
+  FROM ids i LEFT JOIN r USING (conv_id) GROUP BY i.conv_id),
+m AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM c),
+n AS (
+  SELECT path[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth) AS ends
+  FROM m GROUP BY path[1:depth], depth),
+k AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+g AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN depth = 0 THEN 0
+           ELSE len(regexp_extract_all(p[depth][2], '[^\x20\x09-\x0D]+')) END AS gain
+  FROM n LEFT JOIN k USING (p)),
+s AS (
+  SELECT p[1:up] AS p, sum(gain) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM g) GROUP BY 1)
+SELECT g.conv_id, g.depth, o.conv_id AS parent_conv_id, g.n_convs, g.n_children, s.n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(g.ends, '')) AS ends_sha256
+FROM g JOIN s USING (p) LEFT JOIN n o ON g.depth > 0 AND o.p = g.p[1:g.depth - 1]
+"""

@@ -14,9 +14,12 @@ from broadsheet.llm.jaccard import jaccard_components
 from broadsheet.llm.language import language, learn_profiles
 from broadsheet.llm.leaks import find_leaks
 from broadsheet.llm.mixing import mix_sources
+from broadsheet.llm.packing import pack_documents
 from broadsheet.llm.repeats import remove_repeats
+from broadsheet.llm.structure import damage, repair_conversations, summaries
 from broadsheet.llm.tokens import read_digests, write_tokens
 from broadsheet.llm.toxicity import learn, toxicity
+from broadsheet.llm.trie import rebuilt_trie
 from broadsheet.llm.urls import judge_urls
 from broadsheet.llm.warc import read_warc, write_warc
 from broadsheet.session import scratch_path
@@ -110,3 +113,23 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(table(spark, sf_dir, "conversations")).drop("d1", "d2")
+
+
+@query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    ids = conversations.where("conv_id IS NOT NULL").select("conv_id").distinct()
+    return summaries(repair_conversations(damage(conversations)), ids)
