@@ -6,6 +6,51 @@ ORACLE: dict[str, str] = {}
 
 SP = r"[^\x20\x09-\x0D]+"
 
+def _url_levels(deepest: int) -> str:
+    """Wildcards from the first level down, merged branches from the last one up; the paths of
+    the given pages have fewer levels than ``deepest``."""
+    steps = []
+    for k in range(1, deepest + 1):
+        steps.append(f"""places{k} AS (
+  SELECT host, s[1:{k}] AS above FROM wild{k - 1} WHERE len(s) > {k} GROUP BY ALL
+  HAVING count(DISTINCT s[{k + 1}]) >= 8 AND sum(n) <= 2 * count(DISTINCT s[{k + 1}])),
+wild{k} AS (
+  SELECT w.* REPLACE (CASE WHEN p.host IS NULL THEN w.s
+                      ELSE w.s[1:{k}] || ['*'] || w.s[{k + 2}:] END AS s)
+  FROM wild{k - 1} w LEFT JOIN places{k} p
+    ON p.host = w.host AND len(w.s) > {k} AND p.above = w.s[1:{k}])""")
+    steps.append(f"""overall AS (SELECT (sum(b) + 1) / (sum(l) + 2) AS p0 FROM wild{deepest}),
+named{deepest + 1} AS (SELECT * FROM wild{deepest})""")
+    for k in range(deepest, 0, -1):
+        steps.append(f"""branches{k} AS (
+  SELECT host, s[1:{k}] AS above, s[{k + 1}] AS branch,
+         count(DISTINCT (len(s), array_to_string(s[{k + 2}:], '/'))) AS k,
+         min(array_to_string(s[{k + 2}:], '/')) AS lo, max(array_to_string(s[{k + 2}:], '/')) AS hi,
+         min(len(s)) AS short, sum(b) AS bb, sum(l) AS bl
+  FROM named{k + 1} WHERE len(s) > {k} GROUP BY ALL),
+everywhere{k} AS (SELECT above, branch, sum(bb) AS ab, sum(bl) AS al FROM branches{k} GROUP BY ALL),
+evidence{k} AS (
+  SELECT branches{k}.*, greatest(bl + 4, 16) AS el,
+         bb + (greatest(bl + 4, 16) - bl) * ((ab + 4 * p0) / (al + 4)) AS eb
+  FROM branches{k} JOIN everywhere{k} USING (above, branch), overall),
+pooled{k} AS (
+  SELECT *, sum(eb) OVER (PARTITION BY host, above, k, lo, hi, short)
+            / sum(el) OVER (PARTITION BY host, above, k, lo, hi, short) AS q
+  FROM evidence{k}),
+kin{k} AS (
+  SELECT host, above, branch, min(branch) OVER (PARTITION BY host, above, k, lo, hi, short,
+           CASE WHEN (eb - el * q) * (eb - el * q) > 3.84 * (el * q * (1 - q))
+           THEN sign(eb - el * q) ELSE 0 END) AS kin
+  FROM pooled{k}),
+named{k} AS (
+  SELECT t.* REPLACE (CASE WHEN y.kin IS NULL THEN t.s
+                      ELSE t.s[1:{k}] || [y.kin] || t.s[{k + 2}:] END AS s)
+  FROM named{k + 1} t LEFT JOIN kin{k} y
+    ON y.host = t.host AND len(t.s) > {k} AND y.above = t.s[1:{k}] AND y.branch = t.s[{k + 1}])""")
+    return ",\n".join(steps)
+
+
+_HEX = r"""'(^|/)[0-9a-fA-F-]{16,}($|/)', '\1{h}\2', 'g')"""
 ORACLE["op3_url_filters"] = r"""
 WITH parsed AS (
   SELECT page_id,
@@ -21,44 +66,19 @@ ruled AS (
   SELECT page_id, host, path,
          (SELECT r.rule FROM rules r WHERE (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost))
           AND starts_with(p.path, r.rpath) ORDER BY length(r.rule) DESC LIMIT 1) AS rule,
-         regexp_replace(regexp_replace(path, '(^|/)[0-9a-fA-F-]{16,}($|/)', '\1{h}\2', 'g'),
-                        '[0-9]+', '{n}', 'g') AS shape
+         -- a match takes the slash behind it, so every second of neighbours needs another pass
+         regexp_replace(regexp_replace(regexp_replace(path, HEX, HEX, '[0-9]+', '{n}', 'g') AS shape
   FROM parsed p),
 judged AS (
   SELECT u.*, r.verdict AS rv, CASE r.verdict WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS label
   FROM ruled u LEFT JOIN rules r ON u.rule = r.rule),
-shapes AS (
-  SELECT host, shape, string_split(shape, '/') AS parts, count(*) AS n,
-         sum(coalesce(label, 0)) AS b, count(label) AS l
+wild0 AS (
+  SELECT host, shape, CASE WHEN contains(shape, '/') THEN string_split(shape, '/')
+                      ELSE [shape, ''] END AS s,
+         count(*) AS n, sum(coalesce(label, 0)) AS b, count(label) AS l
   FROM judged GROUP BY ALL),
-nodes AS (
-  SELECT host, shape, n, d, parts[d + 1] AS seg, array_to_string(parts[1:d], '/') AS above
-  FROM (SELECT *, unnest(range(len(parts))) AS d FROM shapes)),
-variable AS (
-  SELECT host, d, above FROM nodes GROUP BY ALL
-  HAVING count(DISTINCT seg) >= 8 AND sum(n) <= 2 * count(DISTINCT seg)),
-renamed AS (
-  SELECT n.host, n.shape,
-         list(CASE WHEN v.host IS NULL THEN n.seg ELSE '*' END ORDER BY n.d) AS s
-  FROM nodes n LEFT JOIN variable v USING (host, d, above) GROUP BY ALL),
-templates AS (
-  SELECT r.host, r.shape, t.b, t.l, coalesce(s[2], '') AS branch,
-         array_to_string(s[3:], '/') AS below
-  FROM renamed r JOIN shapes t USING (host, shape)),
-overall AS (SELECT (sum(b) + 1) / (sum(l) + 2) AS p0 FROM templates),
-counted AS (
-  SELECT host, branch, count(DISTINCT below) AS k, min(below) AS lo, max(below) AS hi,
-         sum(b) AS bb, sum(l) AS bl
-  FROM templates GROUP BY host, branch),
-alike AS (SELECT branch, sum(bb) AS ab, sum(bl) AS al FROM counted GROUP BY branch),
-branches AS (
-  SELECT host, branch, k, lo, hi,
-         floor(4 * (bb + 4 * ((ab + 4 * p0) / (al + 4))) / (bl + 4)) AS quarter
-  FROM counted JOIN alike USING (branch), overall),
-kin AS (
-  SELECT host, branch, min(branch) OVER (PARTITION BY host, k, lo, hi, quarter) AS kin FROM branches),
-named AS (
-  SELECT t.*, '/' || kin || '/' || below AS template FROM templates t JOIN kin USING (host, branch)),
+LEVELS,
+named AS (SELECT host, shape, b, l, array_to_string(s, '/') AS template FROM named1),
 own AS (SELECT host, template, sum(b) AS b, sum(l) AS l FROM named GROUP BY ALL),
 anywhere AS (SELECT template, sum(b) AS ab, sum(l) AS al FROM own GROUP BY ALL),
 purity AS (
@@ -67,7 +87,7 @@ purity AS (
 SELECT j.page_id, j.host, j.path, j.rule, n.template, p.purity,
        coalesce(j.rv, CASE WHEN p.purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j JOIN named n USING (host, shape) JOIN purity p USING (host, template)
-"""
+""".replace("HEX", _HEX).replace("LEVELS", _url_levels(6))
 
 ORACLE["op10_mix_sources"] = r"""
 WITH d AS (

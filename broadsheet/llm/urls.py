@@ -18,6 +18,9 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
+# two shares differ if the square of their distance exceeds this many variances (95 %, one degree
+# of freedom)
+CHI_SQUARE = 3.84
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -153,10 +156,16 @@ def _merged(templates: DataFrame, overall: DataFrame, weight: int) -> DataFrame:
         branches = (
             branches.join(alike, ["above", "branch"]).crossJoin(F.broadcast(overall))  # a single row
             .withColumn("kin_p", (F.col("ab") + weight * F.col("p0")) / (F.col("al") + weight))
-            .withColumn("quarter", F.floor(
-                4 * (F.col("bb") + weight * F.col("kin_p")) / (F.col("bl") + weight)))
+            .withColumn("el", F.greatest(F.col("bl") + weight, F.lit(4 * weight)))
+            .withColumn("eb", F.col("bb") + (F.col("el") - F.col("bl")) * F.col("kin_p"))
         )
-        look = ["host", "above", "k", "lo", "hi", "short", "quarter"]
+        shape = ["host", "above", "k", "lo", "hi", "short"]
+        pooled = branches.groupBy(*shape).agg((F.sum("eb") / F.sum("el")).alias("q"))
+        off = F.col("eb") - F.col("el") * F.col("q")
+        spread = F.col("el") * F.col("q") * (1 - F.col("q"))
+        branches = branches.join(pooled, shape).withColumn(
+            "side", F.when(off * off > CHI_SQUARE * spread, F.signum(off)).otherwise(F.lit(0.0)))
+        look = [*shape, "side"]
         merged = branches.groupBy(*look).agg(F.min("branch").alias("kin"))
         kin = branches.join(merged, look).where("kin <> branch").select(
             "host", "above", "branch", "kin")
@@ -181,10 +190,12 @@ def template_purity(
        ``variable_children`` different values that are met ``variable_support`` times or
        less on average; a place is what generalised segments lead to;
     3. from the last level to the first, branches at one place merge if they look alike: as
-       many templates below, the same first and last one, and smoothed purity in the same
-       quarter;
-    4. purity is smoothed towards the same template (in step 3 the same branch) over all
-       hosts, and that towards the share over all labelled urls.
+       many templates below, the same first and last one, and counts of blocked urls that a
+       chi-square test can't tell from those of all such branches together; the ones clearly
+       above or below these form groups of their own;
+    4. purity is smoothed towards the same template over all hosts, and that towards the share
+       over all labelled urls; in step 3 the same branch on all hosts counts as ``weight`` urls, and
+       as more where a branch has fewer than three times as many labels of its own.
 
     Everything after step 1 works on counts, so a host with most of the rows is no hot key.
     A level is a round of aggregations; only places that could still change take part.

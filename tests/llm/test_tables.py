@@ -338,3 +338,20 @@ def test_pipeline_stages_take_effect(spark):
     assert {10_000, 10_003} <= ids and 10_002 not in ids and kept.columns == given.columns
     out = stage["token_ids"](spark, stage["mix"](spark, kept, SMALL), SMALL)
     assert {r.doc_id for r in out.collect()} <= ids
+
+
+def test_branches_merge_by_counts_not_by_steps_of_purity(spark):
+    """Shares on two sides of a quarter merge where counts can't tell them apart, and the same
+    shares part where they can."""
+    def branch(name, blocked, allowed):
+        return [("h", f"/p/{name}", 1)] * blocked + [("h", f"/p/{name}", 0)] * allowed
+
+    def templates(rows):
+        found = urls.template_purity(
+            spark.createDataFrame(rows, "host string, path string, label int"))
+        return {r.template for r in found.collect()}
+
+    rest = [("h", "/q/x/y", 0)] * 20 + [("h", "/q/x/y", 1)] * 7
+    assert templates(branch("a", 5, 16) + branch("b", 6, 15) + rest) == {"/p/a", "/q/x/y"}
+    assert templates(branch("a", 300, 1500) + branch("b", 600, 1200) + rest) == {
+        "/p/a", "/p/b", "/q/x/y"}
