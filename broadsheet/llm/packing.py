@@ -157,8 +157,7 @@ def pack_documents(
 
         def tokens() -> None:
             nonlocal chars, waiting
-            ids, lengths = encode.encode([t for _, t in held])
-            ids[np.cumsum(lengths) - 1] = end_id
+            ids, lengths = encode.encode([t for _, t in held], end_id)
             doc_ids.extend(d for d, _ in held)
             parts.append((ids, lengths))
             waiting += len(ids)

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import running_total, shuffle_width
+from broadsheet.llm.common import mix, running_total, shuffle_width
 from broadsheet.llm.warc import _store
 
 MAGIC = b"RPG1"
@@ -41,20 +40,59 @@ MOST_SYMBOLS = 65536
 ROUNDS = 5
 RULES_PER_ROUND = 3_000
 LEAST_USES = 8
-MOST_CACHED = 600_000
+MOST_CACHED = 1_500_000
+TABLE_BITS = 22
+LONGEST_KEPT = 64
 MANIFEST = ("shard int, section int, file string, offset long, bytes long, documents long, "
             "ids long, symbols long, rules long")
-_UNSAFE = re.compile(r" (?:\s|\Z)")
-_BREAK = re.compile(r" (?=\S)")
+# Classes of bytes in UTF-8: letters (ASCII and Latin with marks), digits, punctuation, spaces;
+# all others may be anything.
+LETTER, DIGIT, MARK, SPACE = 1, 2, 3, 4
+CLASS = np.array([
+    SPACE if b in (9, 10, 11, 12, 13, 32) else 0 if b < 33 or b == 127 else
+    DIGIT if 48 <= b < 58 else LETTER if b in (0xC3, 0xC4, 0xC5) or b < 128 and chr(b).isalpha()
+    else MARK if b < 128 else 0 for b in range(256)
+], dtype=np.uint8)
+# bytes that surely open a visible character: no lead byte of a space's code
+VISIBLE = np.array([32 < b < 127 or (b > 0xC2 and not 0xE1 <= b <= 0xE3) for b in range(256)])
+
+
+def piece_starts(raw: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 text where the byte-level pattern surely begins a new token, whatever
+    stands further off: between letters, digits, punctuation and spaces, but that one space
+    before a visible character stands apart, and a blank goes with what follows. An apostrophe
+    may hold on to the letters after it."""
+    kind = CLASS[raw]
+    after = np.flatnonzero((raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC5)) + 1
+    sign = (raw[after - 1] == 0xC3) & ((raw[after] == 0x97) | (raw[after] == 0xB7))
+    kind[after] = np.where(sign, 0, LETTER)
+    kind[after[sign] - 1] = 0
+    was, now = kind[:-1], kind[1:]
+    out = np.zeros(len(raw), dtype=bool)
+    known = (was > 0) & (was < SPACE)
+    out[1:] = known & (now > 0) & (was != now) & ~((raw[:-1] == 39) & (now == LETTER))
+    shown = VISIBLE[raw[1:]]
+    out[:-1] |= (kind[:-1] == SPACE) & shown
+    out[1:] |= (was == SPACE) & (raw[:-1] != 32) & shown
+    return out
+
+
+def _kind(piece: bytes) -> int:
+    """How a piece may be encoded with others: 1 one after another, as it opens with a blank,
+    2 on lines of their own, 0 not at all."""
+    if len(piece) > 1 and piece[0] == 32 and VISIBLE[piece[1]]:
+        return 1
+    return 2 if piece and VISIBLE[piece[0]] and 0 < CLASS[piece[-1]] < SPACE else 0
 
 
 class Encoder:
-    """Ids of whole texts, each distinct word encoded once by the tokenizers library.
+    """Ids of whole texts, each distinct piece encoded once by the tokenizers library.
 
-    Byte-level BPE with its usual pattern never joins text across a blank that a visible
-    character follows, and that blank opens the next token. So a text is cut there, and what
-    the library gives for a piece is kept. Tokenizers of another make, and texts that hold a
-    special token's string, are encoded whole.
+    Byte-level BPE cuts text by its usual pattern first. A text is cut where that pattern
+    surely cuts (:func:`piece_starts`), and what the library gives for a piece is kept under
+    two 64-bit hashes of its bytes. All but the new pieces is a handful of array operations
+    over the bytes of many texts. Tokenizers of another make, and texts that hold a special
+    token's string, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -77,91 +115,159 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known = _Numbered()
+        """Forget all pieces."""
+        self.table = np.full(1 << TABLE_BITS, -1, dtype=np.int32)
+        self.hash = np.zeros(1 << 12, dtype=np.uint64)
+        self.check = np.zeros(1 << 12, dtype=np.uint64)
+        self.begin = np.zeros(1 << 12, dtype=np.int64)
+        self.length = np.zeros(1 << 12, dtype=np.int64)
         self.pool = np.zeros(1 << 16, dtype=np.int32)
-        self.begin = np.zeros(1 << 16, dtype=np.int64)
-        self.length = np.zeros(1 << 16, dtype=np.int64)
         self.pieces = self.used = 0
 
-    def _keep(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Ids of pieces, one after another in ``ids``, under the pieces' numbers."""
+    def _find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The numbers of kept pieces, -1 for others: linear probing of all at once."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        left = np.arange(len(hashes))
+        slot = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(left):
+            entry = self.table[slot]
+            met = entry >= 0
+            left, slot, entry = left[met], slot[met], entry[met]
+            same = (self.hash[entry] == hashes[left]) & (self.check[entry] == checks[left])
+            out[left[same]] = entry[same]
+            left, slot = left[~same], (slot[~same] + 1) & ((1 << TABLE_BITS) - 1)
+        return out
+
+    def _keep(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Append pieces' ids, one after another; their numbers."""
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while len(self.known) > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        while self.pieces + len(lengths) > len(self.begin):
+            for name in ("hash", "check", "begin", "length"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        numbers = np.arange(self.pieces, self.pieces + len(lengths))
         self.pool[self.used:self.used + len(ids)] = ids
         self.begin[numbers] = self.used + np.cumsum(lengths) - lengths
         self.length[numbers] = lengths
         self.used += len(ids)
+        self.pieces += len(lengths)
+        return numbers
 
-    def _learn(self, pieces: list[str], first: int) -> None:
-        """Encode new pieces, numbered from ``first``: those that open a text one by one, the
-        others joined, as a token never spans two of them."""
-        numbers = np.arange(first, first + len(pieces))
-        opens = np.fromiter((p[:1] == "\0" for p in pieces), dtype=bool, count=len(pieces))
-        alone = [p[1:] for p, o in zip(pieces, opens) if o]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
-        self._keep(
-            numbers[opens], np.array([i for ids in found for i in ids], dtype=np.int32),
+    def _whole(self, texts: list[str]) -> np.ndarray:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._keep(
+            np.fromiter(chain.from_iterable(found), dtype=np.int32, count=sum(map(len, found))),
             np.fromiter(map(len, found), dtype=np.int64, count=len(found)),
         )
-        rest, numbers = [p for p, o in zip(pieces, opens) if not o], numbers[~opens]
-        for k in range(0, len(rest), 4096):
-            part = rest[k:k + 4096]
-            joined = self.tokenizer.encode_batch_fast(
-                [" " + " ".join(part)], add_special_tokens=False
-            )[0]
-            ids = np.array(joined.ids, dtype=np.int32)
-            sizes = np.cumsum(np.fromiter(
-                (len(p.encode()) + 1 for p in part), dtype=np.int64, count=len(part)
-            ))
-            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), sizes) + 1
-            self._keep(numbers[k:k + 4096], ids, np.diff(upto, prepend=0))
-
-    def _cut(self, text: str) -> list[str]:
-        """The text's pieces but for the blanks between them; the first one is marked."""
-        if not self.cuttable or "\0" in text or any(s in text for s in self.special):
-            return ["\0" + text]
-        parts = _BREAK.split(text) if _UNSAFE.search(text) else text.split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text closed by ``END_ID``, and the number of ids of each text."""
-        if len(self.known) > MOST_CACHED:
+
+    def _joined(self, pieces: list[bytes], gap: bytes) -> np.ndarray:
+        """Encode pieces, many in one call: no token spans two of them, nor the gap."""
+        numbers = []
+        for k in range(0, len(pieces), 4096):
+            part = pieces[k:k + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(
+                [gap.join(part).decode()], add_special_tokens=False)[0].ids, dtype=np.int32)
+            sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+            upto = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum(sizes + len(gap)) - len(gap)
+            stop = np.searchsorted(upto, ends) + 1
+            length = np.diff(stop, prepend=-len(gap)) - len(gap)  # a gap is one byte and one id
+            if gap:
+                inside = np.ones(len(ids), dtype=bool)
+                inside[stop[:-1]] = False
+                ids = ids[inside]
+            numbers.append(self._keep(ids, length))
+        return np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces; their numbers in order."""
+        kind = np.fromiter(map(_kind, pieces), dtype=np.int8, count=len(pieces))
+        out = np.zeros(len(pieces), dtype=np.int64)
+        for k, encode in enumerate((
+            lambda part: self._whole([p.decode() for p in part]),
+            lambda part: self._joined(part, b""), lambda part: self._joined(part, b"\n"),
+        )):
+            of = np.flatnonzero(kind == k)
+            out[of] = encode([pieces[i] for i in of.tolist()])
+        return out
+
+    def _numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pieces of cuttable texts in order, and pieces per text."""
+        data = b"\0".join(texts) + bytes(9)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+        opens = np.cumsum(sizes) - sizes
+        at = piece_starts(raw)
+        at[opens] = True
+        starts = np.flatnonzero(at[:int(sizes.sum())])
+        first = np.searchsorted(starts, opens)
+        ends = np.append(starts[1:], int(sizes.sum()))
+        ends[np.append(first[1:], len(starts)) - 1] -= 1  # the mark between two texts
+        size = ends - starts
+        # two hashes, eight bytes at a time
+        state, check = mix(size.astype(np.uint64)), np.zeros(len(starts), dtype=np.uint64)
+        eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        inside = np.flatnonzero(size <= LONGEST_KEPT)
+        for k in range(0, LONGEST_KEPT, 8):
+            inside = inside[size[inside] > k]
+            rest = np.minimum(size[inside] - k, 8).astype(np.uint64)
+            chunk = eight[starts[inside] + k] << (np.uint64(64) - rest * np.uint64(8))
+            state[inside] = mix(state[inside] ^ chunk)
+            check[inside] = check[inside] * np.uint64(0x9E3779B97F4A7C15) + chunk
+        numbers = self._find(state, check)
+        numbers[size > LONGEST_KEPT] = -1
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            # a long piece is encoded where it stands, equal short ones once
+            long = size[new] > LONGEST_KEPT
+            own = np.where(long, mix(~new.astype(np.uint64)), state[new])
+            _, lead, group = np.unique(own, return_index=True, return_inverse=True)
+            lead = new[lead]
+            got = self._learn(
+                [data[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist())])
+            self.hash[got], self.check[got] = state[lead], check[lead]
+            self._enter(got[size[lead] <= LONGEST_KEPT])
+            numbers[new] = got[group]
+        return numbers, np.diff(first, append=len(starts))
+
+    def _enter(self, numbers: np.ndarray) -> None:
+        left = numbers
+        slot = (self.hash[left] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]  # of several in one slot the last one stays
+            waits = self.table[slot] != left
+            left, slot = left[waits], (slot[waits] + 1) & ((1 << TABLE_BITS) - 1)
+
+    def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text closed by ``end_id``, and the number of ids of each text."""
+        if not texts:
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        if self.pieces > MOST_CACHED or self.used > 8 * MOST_CACHED:
             self.clear()
-        cut = [self._cut(t) for t in texts]
-        counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        first = len(self.known)
-        pieces = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)),
-                             dtype=np.int64, count=int(counts.sum()))
-        if self.known.new:
-            self._learn(self.known.new, first)
-            self.known.new = []
+        cut = np.array([
+            self.cuttable and "\0" not in t and not any(s in t for s in self.special) for t in texts
+        ])
+        counts = np.ones(len(texts), dtype=np.int64)
+        whole = self._whole([t for t, c in zip(texts, cut) if not c])
+        if cut.any():
+            found, counts[cut] = self._numbered([t.encode() for t, c in zip(texts, cut) if c])
+            pieces = np.zeros(int(counts.sum()), dtype=np.int64)
+            of = np.repeat(cut, counts)
+            pieces[of], pieces[~of] = found, whole
+        else:
+            pieces = whole
         begin, length = self.begin[pieces], self.length[pieces]
         # one more place after each text's last piece for the end id
         last = np.cumsum(counts) - 1
         room = length.copy()
         room[last] += 1
         ends = np.cumsum(room)
-        out = np.full(int(ends[-1]) if len(ends) else 0, END_ID, dtype=np.int32)
+        out = np.full(int(ends[-1]), end_id, dtype=np.int32)
         at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         out[at + np.repeat(ends - room, length)] = self.pool[at + np.repeat(begin, length)]
-        return out, np.diff(ends[last], prepend=0) if len(texts) else np.zeros(0, np.int64)
-
-
-class _Numbered(dict):
-    """Numbers pieces as they are first met and lists the new ones."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = number = len(self)
-        return number
+        return out, np.diff(ends[last], prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
