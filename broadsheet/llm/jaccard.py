@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import (
@@ -47,31 +47,38 @@ def _sampled(grams: np.ndarray) -> np.ndarray:
     return grams[(grams >> np.uint64(60)) < SAMPLED_16THS]
 
 
+def _row_key() -> Column:
+    """What tells rows apart: equal only for repeated rows."""
+    return F.xxhash64("doc_id", "text").alias("rk")
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, key, n, u: size of the set and of its sampled part."""
+    """doc_id, rk, key, n, u: size of the set and of its sampled part."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, set_key(g), len(g), len(_sampled(g))) for i, g in
-                    gram_sets(b.column(0).to_pylist(), b.column(1).to_pylist(), size)]
+            pairs = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            rows = [(*i, set_key(g), len(g), len(_sampled(g))) for i, g in
+                    gram_sets(pairs, b.column(2).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)],
-                names=["doc_id", "key", "n", "u"],
+                [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)],
+                names=["doc_id", "rk", "key", "n", "u"],
             )
 
-    return docs.mapInArrow(measure, "doc_id long, key long, n long, u long")
+    return docs.select("doc_id", _row_key(), "text").mapInArrow(
+        measure, "doc_id long, rk long, key long, n long, u long")
 
 
 def _shared(docs: DataFrame, size: int, slices: int) -> DataFrame:
-    """doc_id, shared: how many of a document's sampled n-grams another document has too.
+    """key, shared: how many of a set's sampled n-grams another set has too.
 
     N-grams travel as arrays, one row per piece of a task's texts and slice of the hash range,
     so a row is small and no key, however frequent, is a partition of its own.
     """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            held, owners, total = [], [], 0
+            texts = b.column(0).to_pylist()
+            held, owners, total, known = [], [], 0, set()
 
             def rows() -> pa.RecordBatch:
                 keys, own = np.concatenate(held), np.concatenate(owners)
@@ -83,9 +90,11 @@ def _shared(docs: DataFrame, size: int, slices: int) -> DataFrame:
                     lists_of(own[order], home, slices, pa.int64()),
                 ], names=["slice", "keys", "owners"])
 
-            for i, g in gram_sets(ids, texts, size):
-                if i is None or not len(g):
+            for _, g in gram_sets(texts, texts, size):
+                i = set_key(g)
+                if i is None or i in known:
                     continue
+                known.add(i)
                 held.append(_sampled(g))
                 owners.append(np.full(len(held[-1]), i, dtype=np.int64))
                 total += len(held[-1])
@@ -97,23 +106,29 @@ def _shared(docs: DataFrame, size: int, slices: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         keys, owners = flat_column(table, "keys").view(np.uint64), flat_column(table, "owners")
-        ordered = np.sort(keys)
-        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        at = np.searchsorted(again, keys)
-        hit = again[np.minimum(at, len(again) - 1)] == keys if len(again) else at < 0
+        order = np.lexsort((owners, keys))
+        keys, owners = keys[order], owners[order]
+        if len(keys):  # equal sets that came from several pieces are one
+            own = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])])
+            keys, owners = keys[own], owners[own]
+        same = keys[1:] == keys[:-1]
+        hit = np.zeros(len(keys), dtype=bool)
+        hit[1:] |= same
+        hit[:-1] |= same
         ids, times = np.unique(owners[hit], return_counts=True)
         return by_bucket(ids, times, slices, "shared", pa.int64())
 
     def add(table: pa.Table) -> pa.Table:
         ids, place = np.unique(flat_column(table, "owners"), return_inverse=True)
         shared = np.bincount(place, weights=flat_column(table, "shared")).astype(np.int64)
-        return pa.table({"doc_id": ids, "shared": shared})
+        return pa.table({"key": ids, "shared": shared})
 
-    sent = docs.mapInArrow(send, "slice int, keys array<long>, owners array<long>")
+    sent = docs.select("text").mapInArrow(
+        send, "slice int, keys array<long>, owners array<long>")
     counted = sent.groupBy("slice").applyInArrow(
         count, "bucket int, owners array<long>, shared array<long>"
     )
-    return counted.groupBy("bucket").applyInArrow(add, "doc_id long, shared long")
+    return counted.groupBy("bucket").applyInArrow(add, "key long, shared long")
 
 
 class Trie:
@@ -244,57 +259,40 @@ def link_block(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"key": [], "root": [], "links": []})
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, n_links, component_id for every row of ``docs`` (doc_id, text).
-
-    Two documents link when 100 * intersection >= ``percent`` * union of their sets of
-    ``size``-word n-grams of lower-cased words (A-Z); component_id is the smallest doc_id that
-    links reach. All links are found:
-
-    1. equal sets are one class from here on;
-    2. a document whose partner has at least ``percent`` of its n-grams lacks few of them; by
-       a fixed part of all n-grams, those that share too few with any other are left out;
-    3. the remaining sets are ordered by document frequency, rarest first; linked sets share
-       an element of their prefixes, so prefixes give groups of candidates;
-    4. groups are cut into blocks of bounded size; each pair of blocks whose set sizes are
-       compatible is joined with a :class:`Trie`.
-
-    A null or wordless text has the empty set and links with nothing. Rows that share a doc_id
-    are documents of their own; a row without doc_id takes part, but is never a component's
-    name (alone, its component_id is null). Repeated rows are copies. An empty table gives no
-    rows; other columns are ignored.
-    """
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes) of documents (doc_id, text): doc_id, rk, key, n of each row; key, root,
+    component_id, n_links of each set that is not empty. Sets of one component share a root."""
     docs = docs.select("doc_id", "text")
     measured = materialize(_sets(docs, size), "jaccard-sets")
     classes = materialize(
         measured.where("key IS NOT NULL").groupBy("key", "n", "u").agg(
-            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")
+            F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"),
+            F.count(F.lit(1)).alias("copies")
         ), "jaccard-classes",
     )
     total = measured.agg(F.sum("u")).first()[0] or 0
     shared = _shared(docs, size, slices_for(total, KEYS_PER_SLICE))
     lacking = F.col("n") - F.ceil(F.col("n") * percent / 100)
     near = materialize(
-        classes.where("doc_id IS NOT NULL").join(shared, "doc_id", "left")
+        classes.join(shared, "key", "left")
         .where(F.coalesce("shared", F.lit(0)) >= F.col("u") - lacking)
-        .select("doc_id", "key", "n", "copies"), "jaccard-near",
+        .select("rk", "key", "n", "copies"), "jaccard-near",
     )
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, set_key(g), g) for i, g in
-                     gram_sets(b.column(0).to_pylist(), b.column(1).to_pylist(), size) if len(g)]
+            found = [(set_key(g), g) for _, g in
+                     gram_sets(b.column(0).to_pylist(), b.column(0).to_pylist(), size) if len(g)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([i for i, _, _ in found], pa.int64()),
-                pa.array([k for _, k, _ in found], pa.int64()),
-                pa.array([g.view(np.int64) for _, _, g in found], pa.list_(pa.int64())),
-            ], names=["doc_id", "key", "grams"])
+                pa.array([k for k, _ in found], pa.int64()),
+                pa.array([g.view(np.int64) for _, g in found], pa.list_(pa.int64())),
+            ], names=["key", "grams"])
 
     # a repeated row gives its set twice, which nothing below minds
     sets = materialize(
-        docs.join(small(near.select("doc_id")), "doc_id", "left_semi")
-        .mapInArrow(grams, "doc_id long, key long, grams array<long>")
-        .join(small(near), ["doc_id", "key"]).drop("doc_id"), "jaccard-grams",
+        docs.select(_row_key(), "text").join(small(near.select("rk")), "rk", "left_semi")
+        .select("text").mapInArrow(grams, "key long, grams array<long>")
+        .join(small(near.drop("rk")), "key"), "jaccard-grams",
     )
     elements = sets.select("key", "n", F.explode("grams").alias("gram"))
     frequent = elements.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -346,19 +344,67 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     ).withColumn("root", F.coalesce("root", "key"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classed = named.join(smallest, "root").select(
-        "key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "key", "root", "component_id",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    return measured.join(classed, "key", "left").select(
+    return measured, classed
+
+
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id for every row of ``docs`` (doc_id, text).
+
+    Two documents link when 100 * intersection >= ``percent`` * union of their sets of
+    ``size``-word n-grams of lower-cased words (A-Z); component_id is the smallest doc_id that
+    links reach. All links are found:
+
+    1. equal sets are one class from here on;
+    2. a document whose partner has at least ``percent`` of its n-grams lacks few of them; by
+       a fixed part of all n-grams, those that share too few with any other are left out;
+    3. the remaining sets are ordered by document frequency, rarest first; linked sets share
+       an element of their prefixes, so prefixes give groups of candidates;
+    4. groups are cut into blocks of bounded size; each pair of blocks whose set sizes are
+       compatible is joined with a :class:`Trie`.
+
+    A null or wordless text has the empty set and links with nothing. Rows that share a doc_id
+    are documents of their own; a row without doc_id takes part, but is never a component's
+    name (alone, its component_id is null). Repeated rows are copies. An empty table gives no
+    rows; other columns are ignored.
+    """
+    rows, classes = _classes(docs, size, percent)
+    return rows.join(classes, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component, one row for each, and all rows
-    without a doc_id; all columns stay."""
-    kept = jaccard_components(docs.where("doc_id IS NOT NULL"), size, percent).where(
-        "doc_id = component_id"
-    ).select("doc_id").distinct()
-    named = docs.join(materialize(kept, "jaccard-kept"), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component of ``docs``, all rows without words, and all rows without a
+    doc_id; all columns stay.
+
+    The row with the smallest doc_id stays; of different texts under that id the one with the
+    smallest hash; of repeated rows the one whose columns have the smallest hash. Texts that
+    don't link stay apart, whatever ids they share.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    rows, classes = _classes(named, size, percent)
+    known = rows.join(classes.select("key", "root"), "key")
+    kept = materialize(
+        known.groupBy("root").agg(F.min(F.struct("doc_id", "rk")).alias("r")).select("r.rk"),
+        "jaccard-kept",
+    )
+    repeated = materialize(
+        known.groupBy("rk").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("rk")
+        .join(kept, "rk", "left_semi"), "jaccard-repeated",
+    )
+    empty = rows.where("key IS NULL").select("rk").distinct()
+    keyed = named.withColumn("_rk", _row_key())
+    here = F.col("_rk") == F.col("rk")
+    once = keyed.join(
+        kept.join(repeated, "rk", "left_anti").unionByName(empty), here, "left_semi")
+    copies = keyed.join(repeated, here, "left_semi").groupBy("_rk").agg(
+        F.min(F.struct(F.xxhash64(*docs.columns).alias("h"), *docs.columns)).alias("r"))
+    return (
+        once.select(*docs.columns)
+        .unionByName(copies.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
+        .unionByName(docs.where("doc_id IS NULL"))
+    )

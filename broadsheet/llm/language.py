@@ -25,7 +25,12 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased letters as 16-bit codes with 0 for a gap, and the text each belongs to."""
     joined = np.frombuffer("\0".join(texts).lower().encode("utf-32-le", "surrogatepass"), "<u4")
     codes = np.where(joined < 65536, joined, 32768 + (joined & 32767)).astype(np.uint16)
-    codes = np.where((joined >= 65536) | _LETTERS[codes], codes, 0).astype(np.uint64)
+    letter = (joined < 65536) & _LETTERS[codes]
+    high = np.flatnonzero(joined >= 65536)
+    if len(high):  # few in most texts
+        met, place = np.unique(joined[high], return_inverse=True)
+        letter[high] = np.array([chr(c).isalpha() for c in met.tolist()])[place]
+    codes = np.where(letter, codes, 0).astype(np.uint64)
     # texts are told apart by the characters between them; lower() can change lengths
     owner = np.cumsum(joined == 0)
     return codes, owner
@@ -76,17 +81,21 @@ def learn_profiles(
 ) -> dict[str, list[int]]:
     """For each value of lang its ``size`` most frequent n-grams, in rank order.
 
-    Learned from text and lang alone; of each language about ``most_per_lang`` documents are
-    used, picked by a hash of the text. Null texts and languages teach nothing; equal counts
-    rank by the n-gram's number.
+    Learned from text and lang alone; of each language about ``most_per_lang`` distinct texts
+    are used, picked by their hash. Copies teach once, null texts and languages nothing; equal
+    counts rank by the n-gram's number.
     """
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    shares = known.groupBy("lang").agg((most_per_lang / F.count(F.lit(1))).alias("share"))
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(
+        "text", "lang", F.xxhash64("text").alias("h"))
+    shares = known.select("lang", "h").distinct().groupBy("lang").agg(
+        (most_per_lang / F.count(F.lit(1))).alias("share"))
     shares = {r.lang: r.share for r in shares.collect()}  # one row per language
     if not shares:
         return {}
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6 < share[F.col("lang")])
+    sample = known.where(
+        F.pmod("h", F.lit(1_000_000)) / 1e6 < share[F.col("lang")]
+    ).dropDuplicates(["lang", "h"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -235,13 +235,16 @@ def _later_windows(rows: DataFrame, size: int, slices: int) -> DataFrame:
     schema = ("slice int, keys array<long>, docs array<long>, starts array<int>, "
               "owners array<long>, later_owners array<long>, later_starts array<int>")
 
-    def after_first(key, doc, start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """An order by key and place; there, each key's first row, and what comes after it."""
-        order = np.lexsort((start, doc, key))
-        key, doc, start = key[order], doc[order], start[order]
+    def after_first(key, doc, start, rk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order by key and place; there, the rows at each key's first place, one per text,
+        and what comes after it."""
+        order = np.lexsort((rk, start, doc, key))
+        key, doc, start, rk = key[order], doc[order], start[order], rk[order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         begin = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
-        return order, new, (doc != doc[begin]) | (start != start[begin])
+        later = (doc != doc[begin]) | (start != start[begin])
+        again = np.concatenate([[False], rk[1:] == rk[:-1]]) if len(key) else new
+        return order, ~later & (new | ~again), later
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
@@ -259,7 +262,7 @@ def _later_windows(rows: DataFrame, size: int, slices: int) -> DataFrame:
                 doc = np.array([NO_ID if docs[k] is None else docs[k] for k in part], np.int64)[text]
                 rk = np.array([rks[k] for k in part], np.int64)[text]
                 start = (at - parse.words.before[text]).astype(np.int32)
-                order, new, later = after_first(key, doc, start)
+                order, new, later = after_first(key, doc, start, rk)
                 key, doc, rk, start = key[order], doc[order], rk[order], start[order]
                 home = _in_slices(key[new], slices)
                 by = np.argsort(home, kind="stable")
@@ -277,7 +280,7 @@ def _later_windows(rows: DataFrame, size: int, slices: int) -> DataFrame:
 
     def gather(table: pa.Table) -> pa.Table:
         key, doc, start = (flat_column(table, c) for c in ("keys", "docs", "starts"))
-        order, _, later = after_first(key, doc, start)
+        order, _, later = after_first(key, doc, start, flat_column(table, "owners"))
         return by_bucket(
             np.concatenate([flat_column(table, "owners")[order][later], flat_column(table, "later_owners")]),
             np.concatenate([start[order][later], flat_column(table, "later_starts")]),

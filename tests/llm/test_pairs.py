@@ -99,6 +99,32 @@ def test_jaccard_edge_cases(spark):
     kept = jaccard.one_of_each(frame(spark, [r for r in rows if r[0] != 7]))
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6]
     assert kept.columns == ["doc_id", "text", "n_links", "keys"]
+    kept = jaccard.one_of_each(frame(spark, [*rows, (6, long)]))
+    assert sorted((r.doc_id or 0, (r.text or "")[:7]) for r in kept.collect()) == [
+        (0, "one two"), (1, ""), (2, ""), (3, " \t\n"), (4, "one two"), (6, "x0 x1 x"), (7, "another")]
+
+
+def test_links_over_rows_without_an_id(spark):
+    """Two texts that only meet over a third one, which has no id."""
+    words = [f"x{k}" for k in range(60)]
+    rows = [(1, " ".join(words[:57])), (2, " ".join(words[3:])), (None, " ".join(words)),
+            (None, "a text of its own here")]
+    for parts in (1, 4):
+        found = sorted(
+            (r.doc_id or 0, r.n_links, r.component_id)
+            for r in jaccard.jaccard_components(
+                frame(spark, rows).repartition(parts), percent=94).collect())
+        assert found == [(0, 0, None), (0, 2, 1), (1, 1, 1), (2, 1, 1)]
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_texts_that_share_an_id_are_judged_apart(spark, parts):
+    long = " ".join(f"y{k}" for k in range(100))
+    rows = [(7, long), (7, "quite another text under it"), (7, long + " z"), (8, long + " w z"),
+            (8, "a text that only eight has"), (9, "quite another text under it")]
+    kept = jaccard.one_of_each(frame(spark, rows).repartition(parts)).collect()
+    assert len(kept) == 3 and {r.text for r in kept} >= {rows[1][1], rows[4][1]}
+    assert {r.doc_id for r in kept if r.text.startswith("y0")} == {7}
 
 
 def brute_repeats(rows, size):
@@ -145,6 +171,18 @@ def test_repeats_edge_cases(spark):
     assert repeats.remove_repeats(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_equal_places_under_one_id_fare_alike_in_any_partition(spark, parts):
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [(5, passage + " one"), (5, passage + " two"), (1, "z " + passage),
+            (None, "n " + " ".join(f"q{k}" for k in range(30))),
+            (2, " ".join(f"q{k}" for k in range(30)))]
+    found = sorted((r.doc_id or 0, r.n_removed, r.kept) for r in repeats.remove_repeats(
+        frame(spark, rows).repartition(parts)).collect())
+    assert [x[:2] for x in found] == [(0, 0), (1, 0), (2, 30), (5, 25), (5, 25)]
+    assert [x[2] for x in found[3:]] == ["one", "two"]
+
+
 def brute_distance(item, words):
     row = [0] * (len(words) + 1)
     for k, w in enumerate(item, 1):

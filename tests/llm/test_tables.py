@@ -355,3 +355,17 @@ def test_branches_merge_by_counts_not_by_steps_of_purity(spark):
     assert templates(branch("a", 5, 16) + branch("b", 6, 15) + rest) == {"/p/a", "/q/x/y"}
     assert templates(branch("a", 300, 1500) + branch("b", 600, 1200) + rest) == {
         "/p/a", "/p/b", "/q/x/y"}
+
+
+def test_language_of_texts_without_letters_and_of_copies(spark):
+    rows = [(i, "der die das und nicht ein", "de") for i in range(200)]
+    rows += [(300 + i, f"the and of to in that it was {i}", "en") for i in range(30)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language.learn_profiles(known, most_per_lang=5)
+    assert len(profiles["de"]) > 10  # a text with all of a language's rows still teaches
+    texts = ["😀😀 🎉", "12 %", "𝐝𝐞𝐫 und das", "the and", "", None, "der 😀 die"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = [r.p for r in frame.select(
+        "i", language.language(F.col("text"), profiles).alias("p")).orderBy("i").collect()]
+    assert [p.lang_pred for p in found] == ["und", "und", "de", "en", "und", "und", "de"]
+    assert found[0].score == 0
