@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.tokens import Encoder, encoder
+from broadsheet.llm.tokens import TEXT_CHARS, Encoder, encoder, rows_of
 
 SEQUENCE = 2048
 END_ID = 1
@@ -176,14 +176,13 @@ def pack_documents(
             waiting = 0
             return out
 
-        for batch in batches:
-            for doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                held.append((doc_id, text))
-                chars += len(text)
-                if chars >= 1_000_000:
-                    tokens()
-                    if waiting >= section_ids:
-                        yield section()
+        for doc_id, text in rows_of(batches):
+            held.append((doc_id, text))
+            chars += len(text)
+            if chars >= TEXT_CHARS:
+                tokens()
+                if waiting >= section_ids:
+                    yield section()
         if held:
             tokens()
         if parts:

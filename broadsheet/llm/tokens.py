@@ -3,10 +3,11 @@
 A file is a shard of the documents in ascending doc_id order. Its sections hold whole
 documents of about ``SECTION_IDS`` ids each, one grammar each:
 
-    magic "RPG1" | documents, rules, symbols, terminals (u64 each)
+    magic "RPG2" | documents, rules, symbols, terminals, bytes of a symbol (u64 each)
     doc_ids (i64) | null flags (u8) | ids per document (u64) | symbols per document (u64)
-    left, right of each rule (u16) | expansion length of each rule (u32) | symbols (u16)
+    left, right of each rule | expansion length of each rule (u32) | symbols
 
+A symbol takes two bytes where terminals and rules number at most 65,536, else four.
 All numbers are little-endian. A symbol below ``terminals`` is a token id, one above it a rule
 for a pair of earlier symbols. Pairs never cross documents, so a document is decoded alone, and
 the expansion lengths tell which of its symbols cover a range of ids. The manifest lists each
@@ -31,17 +32,19 @@ from pyspark.sql import functions as F
 from broadsheet.llm.common import mix, running_total, shuffle_width
 from broadsheet.llm.warc import _store
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 END_ID = 0
 SECTION_IDS = 1_000_000
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 65536
-MOST_SYMBOLS = 65536
-ROUNDS = 5
-RULES_PER_ROUND = 3_000
+NO_ID = -(2**63)
 LEAST_USES = 8
-MOST_CACHED = 1_500_000
-TABLE_BITS = 22
+PAIR_BITS = 20
+MOST_CACHED = 1_000_000
+TABLE_BITS = 21
+# characters encoded in one go, and rows of a batch made Python objects at a time
+TEXT_CHARS = 500_000
+ROWS_AT_ONCE = 64
 LONGEST_KEPT = 64
 MANIFEST = ("shard int, section int, file string, offset long, bytes long, documents long, "
             "ids long, symbols long, rules long")
@@ -280,58 +283,125 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches as tuples, a few made at a time: a batch may hold long texts."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(k, ROWS_AT_ONCE)
+            yield from zip(*(c.to_pylist() for c in part.columns))
+
+
+def _frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the pairs, rank) of those met ``least`` times or more; the most frequent
+    pair has rank 0."""
+    ordered = np.sort(pairs)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    uses = np.diff(np.append(first, len(ordered)))
+    often = np.flatnonzero(uses >= least)
+    often = often[np.argsort(-uses[often], kind="stable")]
+    chosen = ordered[first[often]]
+    # most places are found by a table over a hash of the pair, those that share one by search
+    slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    home = (chosen * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    table = np.full(1 << PAIR_BITS, -1, dtype=np.int32)
+    table[home[::-1]] = np.arange(len(chosen))[::-1]
+    rank = table[slot]
+    at = np.flatnonzero(rank >= 0)
+    rank = rank[at]
+    other = chosen[rank] != pairs[at] if len(chosen) else np.zeros(0, dtype=bool)
+    if other.any():
+        sort = np.argsort(chosen)
+        asked = pairs[at[other]]
+        found = np.minimum(np.searchsorted(chosen, asked, sorter=sort), len(chosen) - 1)
+        found = sort[found]
+        rank[other] = np.where(chosen[found] == asked, found, -1)
+        at, rank = at[rank >= 0], rank[rank >= 0]
+    return at, rank
+
+
+def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which pairs to replace, given their places in order and ranks: of a run of one pair every
+    second, of neighbours the more frequent one, and so on among those left."""
+    taken = np.zeros(len(at), dtype=bool)
+    left = np.arange(len(at))
+    for _ in range(3):
+        if not len(left):
+            break
+        p, r = at[left], rank[left]
+        near = np.diff(p) == 1
+        head = np.concatenate([[True], ~near | (r[1:] != r[:-1])])
+        order = np.arange(len(p))
+        left = left[(order - np.maximum.accumulate(np.where(head, order, 0))) % 2 == 0]
+        p, r = at[left], rank[left]
+        near = np.diff(p) == 1
+        beaten = np.zeros(len(p), dtype=bool)
+        beaten[1:] |= near & (r[:-1] < r[1:])
+        beaten[:-1] |= near & (r[1:] < r[:-1])
+        won = left[~beaten]
+        taken[won] = True
+        gone = np.zeros(len(at) + 2, dtype=bool)
+        gone[won + 1] = True
+        # a neighbour in place is a neighbour in the list
+        beside = np.zeros(len(at), dtype=bool)
+        beside[1:] |= taken[:-1] & (np.diff(at) == 1)
+        beside[:-1] |= taken[1:] & (np.diff(at) == 1)
+        left = left[~taken[left] & ~beside[left]]
+    return taken
+
+
 def repair(
-    ids: np.ndarray, lengths: np.ndarray, terminals: int,
-    rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = LEAST_USES,
+    ids: np.ndarray, lengths: np.ndarray, terminals: int, least: int = LEAST_USES
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rule lefts, rule rights) of ids cut by ``lengths``.
 
-    Each round counts all neighbouring pairs within documents and replaces the most frequent
-    ones at once, from left to right where two overlap. Rounds end when no pair is met
-    ``least`` times or symbols run out of 16 bits.
+    Each round counts neighbouring pairs within documents and replaces the frequent ones at
+    once, the more frequent one where two overlap. The first round looks at all pairs, later
+    ones only at those with a new symbol and at frequent ones that had to wait, as all other
+    counts can only fall. Rounds end when no pair is met ``least`` times, or none of those
+    could be replaced half as often.
     """
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), dtype=bool)  # a document's last symbol opens no pair
     last[np.cumsum(lengths) - 1] = True
-    lefts, rights = [], []
-    for _ in range(rounds):
-        room = min(per_round, MOST_SYMBOLS - terminals - len(lefts))
-        if len(symbols) < 2 or room <= 0:
+    lefts, rights, count = [], [], terminals
+    active = np.flatnonzero(~last)
+    while len(active) >= least:
+        pairs = symbols[active].astype(np.uint64) << np.uint64(32) | symbols[active + 1]
+        hit, rank = _frequent(pairs, least)
+        if not len(hit):
             break
-        pairs = symbols[:-1] << np.uint32(16) | symbols[1:]
-        ordered = np.sort(pairs[~last[:-1]])
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        uses = np.diff(np.append(first, len(ordered)))
-        often = np.flatnonzero(uses >= least)
-        if not len(often) or not len(ordered):
+        at = active[hit]
+        taken = _apart(at, rank)
+        uses = np.bincount(rank[taken], minlength=int(rank.max()) + 1)
+        good = uses >= max(2, least // 2)  # a rule costs two symbols and a length
+        if not good.any():
             break
-        often = often[np.argsort(-uses[often], kind="stable")[:room]]
-        chosen = ordered[first[often]]
-        # a table by a hash of the pair; of two pairs in one place the frequent one stays
-        place = ((chosen * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int64)
-        rule_of = np.full(1 << 18, -1, dtype=np.int32)
-        rule_of[place[::-1]] = np.arange(len(chosen))[::-1]
-        rule = rule_of[((pairs * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int64)]
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        same = (chosen[rule] == pairs[at]) & ~last[at]
-        at, rule = at[same], rule[same]
-        # of hits in a row every second one overlaps the one before
-        starts = np.concatenate([[True], np.diff(at) > 1])
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-        at, rule = at[run % 2 == 0], rule[run % 2 == 0]
-        used = np.flatnonzero(np.bincount(rule, minlength=len(chosen)))
-        number = np.zeros(len(chosen), dtype=np.uint32)
-        number[used] = np.arange(len(used)) + terminals + len(lefts)
-        symbols[at] = number[rule]
-        last[at] = last[at + 1]
-        lefts += (chosen[used] >> np.uint32(16)).tolist()
-        rights += (chosen[used] & np.uint32(0xFFFF)).tolist()
+        taken &= good[rank]
+        number = np.cumsum(good) - 1 + count
+        where = at[taken]
+        first = np.zeros(len(good), dtype=np.int64)
+        first[rank[taken]] = where  # any place tells what a rule stands for
+        lefts.append(symbols[first[good]])
+        rights.append(symbols[first[good] + 1])
+        count += int(good.sum())
+        symbols[where] = number[rank[taken]]
+        last[where] = last[where + 1]
         keep = np.ones(len(symbols), dtype=bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
-    return (symbols.astype("<u2"), np.diff(np.flatnonzero(last), prepend=-1),
-            np.array(lefts, dtype="<u2"), np.array(rights, dtype="<u2"))
+        keep[where + 1] = False
+        # counts of other pairs can only fall: next come pairs with a new symbol, and frequent
+        # ones that had to wait
+        again = np.zeros(len(symbols), dtype=bool)
+        again[at[~taken]] = True
+        again[where] = True
+        before = np.cumsum(keep) - 1
+        symbols, last, again = symbols[keep], last[keep], again[keep]
+        new = before[where]
+        again[new[new > 0] - 1] = True
+        again &= ~last
+        active = np.flatnonzero(again)
+    nothing = [np.zeros(0, dtype=np.uint32)]
+    return (symbols, np.diff(np.flatnonzero(last), prepend=-1),
+            np.concatenate(lefts or nothing), np.concatenate(rights or nothing))
 
 
 class Grammar:
@@ -364,8 +434,8 @@ class Section:
     def __init__(self, data: bytes) -> None:
         if data[:4] != MAGIC:
             raise ValueError("not a section of token ids")
-        docs, rules, symbols, terminals = np.frombuffer(data, "<u8", 4, 4).tolist()
-        at = 36
+        docs, rules, symbols, terminals, width = np.frombuffer(data, "<u8", 5, 4).tolist()
+        at = 44
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -375,9 +445,9 @@ class Section:
 
         self.doc_ids, self.nulls = take("<i8", docs), take("u1", docs).astype(bool)
         self.lengths, self.per_doc = take("<u8", docs), take("<u8", docs)
-        lefts, rights = take("<u2", rules), take("<u2", rules)
+        lefts, rights = take(f"<u{width}", rules), take(f"<u{width}", rules)
         self.rule_lengths = take("<u4", rules)
-        self.symbols = take("<u2", symbols)
+        self.symbols = take(f"<u{width}", symbols)
         self.grammar = Grammar(terminals, lefts, rights)
         self.begin = np.cumsum(self.per_doc) - self.per_doc
 
@@ -402,14 +472,15 @@ def encode_section(
     """A section's bytes, and its numbers of symbols and rules."""
     symbols, per_doc, lefts, rights = repair(ids, lengths, terminals)
     grammar_lengths = Grammar(terminals, lefts, rights).length[terminals:]
-    head = np.array([len(doc_ids), len(lefts), len(symbols), terminals], dtype="<u8")
+    width = 2 if terminals + len(lefts) <= 65536 else 4
+    head = np.array([len(doc_ids), len(lefts), len(symbols), terminals, width], dtype="<u8")
     return b"".join([
         MAGIC, head.tobytes(),
         np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes(),
         np.array([d is None for d in doc_ids], dtype="u1").tobytes(),
         lengths.astype("<u8").tobytes(), per_doc.astype("<u8").tobytes(),
-        lefts.tobytes(), rights.tobytes(), grammar_lengths.astype("<u4").tobytes(),
-        symbols.tobytes(),
+        *(x.astype(f"<u{width}").tobytes() for x in (lefts, rights)),
+        grammar_lengths.astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes(),
     ]), len(symbols), len(lefts)
 
 
@@ -466,17 +537,16 @@ def _write(folder: str, tokenizer: str, section_ids: int):
 
         offset = number = 0
         name = temp = ""
-        for batch in batches:
-            for s, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if s != shard:
-                    close()
-                    shard, offset, number = s, 0, 0
-                    name, temp = f"shard-{s:05d}.rpg", f"{path}/_tmp-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(temp, compression=None)
-                held.append((doc_id, text))
-                chars += len(text)
-                if chars >= 1_000_000:
-                    tokens()
+        for s, doc_id, text in rows_of(batches):
+            if s != shard:
+                close()
+                shard, offset, number = s, 0, 0
+                name, temp = f"shard-{s:05d}.rpg", f"{path}/_tmp-{uuid.uuid4().hex}"
+                out = store.open_output_stream(temp, compression=None)
+            held.append((doc_id, text))
+            chars += len(text)
+            if chars >= TEXT_CHARS:
+                tokens()
             if done:
                 yield _arrow(done, MANIFEST)
                 done.clear()
@@ -496,35 +566,43 @@ def write_tokens(
     Shards are cut at fixed places of the doc_id order, about ``shard_bytes`` of text each, so
     a rerun makes the same files. They are written under temporary names and renamed; only
     what the manifest table lists is committed. A null text is empty (its end id alone). Rows
-    that share a doc_id follow each other by a hash of their texts; a null doc_id comes first.
+    that share a doc_id follow each other by a hash of their texts, so many of them are cut
+    into shards as well; a null doc_id comes first.
     An empty table gives an empty manifest. Other columns are ignored.
     """
     spark = docs.sparkSession
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long") + 1).alias("size"))
-    placed = running_total(sizes, ["doc_id"], "size", "token-order")
+    rows = docs.select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("doc_id", "h").agg(
+        F.sum(F.octet_length("text").cast("long") + 1).alias("size"))
+    placed = running_total(sizes, ["doc_id", "h"], "size", "token-order")
     total = placed.agg(F.sum("size")).first()[0] or 0
     shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))  # bounds the list of cuts
-    starts = np.array([
-        r.start for r in placed.where("doc_id IS NOT NULL")
-        .groupBy(F.floor(F.col("before") / shard_bytes).alias("shard"))
-        .agg(F.min("doc_id").alias("start")).orderBy("shard").collect()
-    ], dtype=np.int64)
+    cuts = [r.start for r in placed.groupBy(F.floor(F.col("before") / shard_bytes).alias("shard"))
+            .agg(F.min(F.struct("doc_id", "h")).alias("start")).orderBy("shard").collect()]
+    start_ids = np.array([NO_ID if c.doc_id is None else c.doc_id for c in cuts], dtype=np.int64)
+    start_hashes = np.array([c.h for c in cuts], dtype=np.int64)
 
     @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), dtype=np.int32)
-        found = np.searchsorted(starts, ids[known].astype("int64").to_numpy(), side="right") - 1
-        out[known] = np.maximum(found, 0)
-        return pd.Series(out)
+    def shard_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        """The last shard that starts at or before (doc_id, h)."""
+        known = ids.fillna(NO_ID).astype("int64").to_numpy()
+        low = np.searchsorted(start_ids, known, side="left")
+        high = np.searchsorted(start_ids, known, side="right")
+        out = high - 1
+        for k in np.unique(low[low < high]).tolist():  # shards that start at a row's own id
+            own = np.flatnonzero((low == k) & (low < high))
+            inside = start_hashes[k:high[own[0]]]
+            out[own] = k + np.searchsorted(inside, hashes.to_numpy()[own], side="right") - 1
+        return pd.Series(np.maximum(out, 0).astype(np.int32))
 
     manifest = (
-        rows.select(shard_of("doc_id").alias("shard"), "doc_id", "text")
-        .repartition(max(1, min(len(starts), 4 * shuffle_width(spark))), "shard")
-        .sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
+        rows.select(shard_of("doc_id", "h").alias("shard"), "doc_id", "h", "text")
+        .repartitionById(max(1, len(cuts)), "shard")  # a task per shard
+        .sortWithinPartitions("shard", "doc_id", "h").select("shard", "doc_id", "text")
         .mapInArrow(_write(folder, tokenizer, section_ids), MANIFEST)
     )
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")

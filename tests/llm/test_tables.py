@@ -369,3 +369,68 @@ def test_language_of_texts_without_letters_and_of_copies(spark):
         "i", language.language(F.col("text"), profiles).alias("p")).orderBy("i").collect()]
     assert [p.lang_pred for p in found] == ["und", "und", "de", "en", "und", "und", "de"]
     assert found[0].score == 0
+
+
+# --- token ids: encoder and grammar -----------------------------------------------------------
+
+def test_encoder_gives_the_library_s_ids_for_any_text():
+    r = random.Random(12)
+    bits = ["a", "b", " ", "  ", "\n", "\t", "é", "«", "»", " ", " ", "　", "中", "😀", "'s", "'", "'re",
+            "1", "23", ".", "!", "\x1c", "\x85", "the", " of", "x" * 70, "<|endoftext|>", "\0", "", "é.", "×", "÷",
+            "don't", "\r\n", "\n\n", "(", ")", "9é", "ſ", "İ", "_", "ß9"]
+    encode, library = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
+    for k in range(600):
+        texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 8))]
+        if k == 300:
+            encode.clear()
+        ids, sizes = encode.encode(texts)
+        ends = np.cumsum(sizes)
+        for text, a, b in zip(texts, ends - sizes, ends):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids + [0], text
+
+
+def test_grammars_expand_to_their_ids():
+    r = np.random.default_rng(2)
+    for _ in range(120):
+        n = int(r.integers(1, 400))
+        ids = r.integers(0, int(r.integers(1, 6)), n)
+        ends = np.unique(np.append(r.integers(1, n + 1, 3), n))
+        lengths = np.diff(ends, prepend=0)
+        symbols, per_doc, lefts, rights = tokens.repair(ids, lengths, 10, int(r.integers(2, 6)))
+        grammar = tokens.Grammar(10, lefts, rights)
+        assert grammar.expand(symbols).tolist() == ids.tolist()
+        begin = np.cumsum(per_doc) - per_doc
+        for k in range(len(lengths)):
+            part = grammar.expand(symbols[begin[k]:begin[k] + per_doc[k]])
+            assert part.tolist() == ids[ends[k] - lengths[k]:ends[k]].tolist()
+
+
+def test_repeats_of_any_length_become_rules():
+    stretch = np.random.default_rng(3).integers(0, 50_000, 64)
+    for ids in (np.tile(stretch, 4000), np.zeros(200_000, dtype=np.int64)):
+        symbols, _, lefts, rights = tokens.repair(ids, np.array([len(ids)]), 50_257)
+        assert len(symbols) < 100
+        assert tokens.Grammar(50_257, lefts, rights).expand(symbols).tolist() == ids.tolist()
+
+
+def test_sections_hold_large_vocabularies():
+    r = np.random.default_rng(4)
+    ids = np.concatenate([r.integers(0, 128_000, 5000), np.tile([70_000, 127_999], 500)])
+    lengths = np.array([2000, len(ids) - 2000])
+    data, _, rules = tokens.encode_section([1, None], ids, lengths, 128_000)
+    section = tokens.Section(data)
+    assert rules > 0 and section.all_ids().tolist() == ids.tolist()
+    assert section.document(1, 100, 200).tolist() == ids[2100:2200].tolist()
+
+
+def test_rows_under_one_id_are_cut_into_shards(spark, tmp_path):
+    rows = [(i, f"text {k} " * 50) for i in (None, 4) for k in range(60)] + [(9, "the last")]
+    folder = f"{tmp_path}/t"
+    manifest = tokens.write_tokens(docs(spark, rows).repartition(3), folder, PATH, shard_bytes=4_000)
+    assert manifest.select("shard").distinct().count() > 8
+    found = tokens.read_digests(spark, folder).orderBy("start").collect()
+    assert [x.doc_id for x in found] == [None] * 60 + [4] * 60 + [9]
+    library = Tokenizer.from_file(PATH)
+    sums = sorted(zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
+                  for _, t in rows)
+    assert sorted(x.ids_crc32 for x in found) == sums
