@@ -112,11 +112,15 @@ def _pieces(
     starts = np.concatenate([[0], stops[:-1]])
     doc = np.searchsorted(ends, starts, side="right")
     window = np.searchsorted(cuts, starts, side="right")
-    data = memoryview(ids.astype("<u4").tobytes())
+    # pieces follow each other without gaps, so the ids are one buffer cut at their ends
+    own = pa.Array.from_buffers(pa.binary(), len(starts), [
+        None, pa.py_buffer(np.append(0, 4 * stops).astype(np.int32)),
+        pa.py_buffer(ids.astype("<u4").tobytes()),
+    ])
     return pa.RecordBatch.from_arrays([
         pa.array([doc_ids[d] for d in doc.tolist()], pa.int64()),
         pa.array(starts - (ends - lengths)[doc]), pa.array(stops - starts),
-        pa.array([data[4 * a:4 * b] for a, b in zip(starts.tolist(), stops.tolist())], pa.binary()),
+        own,
         pa.array(lengths[doc]), pa.array(sequence + window),
         pa.array(starts - np.concatenate([[0], cuts])[window]),
     ], names=[c.strip().split(" ")[0] for c in PIECES.split(",")])
