@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.config import DEFAULT_CONFIG, EngineConfig
+from broadsheet.operators.components import components
 from broadsheet.session import materialize
 
 
@@ -17,14 +18,30 @@ def _known(key: str) -> Column:
     return F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n"))
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    first, second, kept = set(), set(), []
-    for order, a, b in rows.sort_values("o")[["o", "a", "b"]].itertuples(index=False):
-        if a not in first and b not in second:
-            first.add(a)
-            second.add(b)
-            kept.append(order)
-    return pd.DataFrame({"o": pd.Series(kept, dtype="int64")})
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The order values kept of rows sorted by component and order; only the keys kept of one
+    component are held."""
+    component, first, second = None, set(), set()
+    for batch in batches:
+        kept = []
+        for root, order, a, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if root != component:
+                component, first, second = root, set(), set()
+            if a not in first and b not in second:
+                first.add(a)
+                second.add(b)
+                kept.append(order)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["o"])
+
+
+def _by_component(undecided: DataFrame) -> DataFrame:
+    """``undecided`` pairs with ``root``: pairs that share keys, also over others, share it."""
+    node = undecided.select(
+        F.xxhash64(F.lit("a"), "a").alias("a"), F.xxhash64(F.lit("b"), "b").alias("b"))
+    roots = components(node, "clashes").withColumnRenamed("id", "node")
+    own = F.xxhash64(F.lit("a"), "a")
+    return undecided.join(roots, own == roots["node"], "left").withColumn(
+        "root", F.coalesce("root", own)).drop("node")
 
 
 def kept_order_values(
@@ -42,11 +59,14 @@ def kept_order_values(
     one row before anything is shuffled.
 
     If no value of ``second`` occurs with two values of ``first`` - the usual case - the
-    walk keeps the first row per ``first``. Otherwise each round keeps the rows that
-    lead both of their groups and removes the rows that share a key with them; the leading
-    undecided row always wins, so every round progresses. Once no more than
-    ``config.walk_rows`` rows are undecided, a single task walks over them.
+    walk keeps the first row per ``first``. Otherwise the rows that lead both of their groups
+    are kept and those that share a key with them are dropped. What is left undecided are
+    chains of clashes: up to ``config.walk_rows`` of them are walked over in one task, more
+    by their connected components, which don't touch each other. The number of jobs grows with
+    the logarithm of the longest chain, whatever its length. Within one component the walk is
+    sequential by nature; it streams through the sorted rows.
     """
+    spark = keys.sparkSession
     # read several times below, and its real size then guides the joins
     pairs = materialize(
         keys.select(_known(first).alias("a"), _known(second).alias("b"), F.col(order).alias("o"))
@@ -56,20 +76,22 @@ def kept_order_values(
     if clashes.filter("low <> high").isEmpty():
         return pairs.groupBy("a").agg(F.min("o").alias(order)).select(order)
 
-    undecided, kept = pairs, []
-    while undecided.count() > config.walk_rows:
-        lead_a = undecided.groupBy("a").agg(F.min("o").alias("o")).select("o")
-        lead_b = undecided.groupBy("b").agg(F.min("o").alias("o")).select("o")
-        leaders = lead_a.join(lead_b, "o", "left_semi")
-        winners = materialize(undecided.join(leaders, "o", "left_semi"), "winners")
-        kept.append(winners.select("o"))
-        undecided = materialize(
-            undecided.join(winners.select("a"), "a", "left_anti")
-            .join(winners.select("b"), "b", "left_anti"), "undecided",
-        )
-    # its size has just been checked
-    kept.append(undecided.groupBy().applyInPandas(_walk, "o long"))
-    return reduce(DataFrame.unionByName, kept).select(F.col("o").alias(order))
+    lead_a = pairs.groupBy("a").agg(F.min("o").alias("o")).select("o")
+    lead_b = pairs.groupBy("b").agg(F.min("o").alias("o")).select("o")
+    leaders = lead_a.join(lead_b, "o", "left_semi")
+    winners = materialize(pairs.join(leaders, "o", "left_semi"), "winners")
+    undecided = materialize(
+        pairs.join(winners.select("a"), "a", "left_anti")
+        .join(winners.select("b"), "b", "left_anti"), "undecided",
+    )
+    if undecided.count() <= config.walk_rows:  # its size has just been checked
+        rows = undecided.withColumn("root", F.lit(0).cast("long")).coalesce(1)
+    else:
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = _by_component(undecided).repartition(width, "root")
+    walked = rows.sortWithinPartitions("root", "o").select("root", "o", "a", "b").mapInArrow(
+        _walk, "o long")
+    return winners.select("o").unionByName(walked).select(F.col("o").alias(order))
 
 
 def ordered_dedup(

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.config import DEFAULT_RULES, RuleSet
+from broadsheet.config import DEFAULT_CONFIG, DEFAULT_RULES, EngineConfig, RuleSet
 from broadsheet.functions.text import content_hash, falsy_to_null, preview
 from broadsheet.operators.budget import total_before
+from broadsheet.operators.dedup import new_rows
 from broadsheet.operators.ingest import normalize_source, timestamp
-from broadsheet.session import materialize
 
 
 def store_recent(store: DataFrame, limit: int = 0) -> DataFrame:
@@ -54,17 +54,16 @@ def store_upsert(
     articles: DataFrame,
     store: DataFrame | None,
     as_of: datetime | str | Column,
+    config: EngineConfig = DEFAULT_CONFIG,
 ) -> DataFrame:
-    """Rows to append to the store, still carrying ``seq``: of each unknown url the first.
+    """Rows to append to the store, still carrying ``seq``.
 
-    The content hash is a hash of url and title, so a known hash means a known url, and the
-    url alone decides. That happens on (seq, url); whole rows are joined to the decision once.
+    An article is new if the store knows neither its url nor its content hash, and no article
+    taken before it has either. A hash is no function of the url: ("u|a", "b") and ("u", "a|b")
+    have one hash and two urls. All of that is decided on (seq, url, content_hash); whole rows
+    are joined to the decision once.
     """
-    rows = to_store_rows(articles, as_of)
-    first = rows.groupBy("url").agg(F.min("seq").alias("seq"))
-    if store is not None:
-        first = first.join(store.select("url").distinct(), "url", "left_anti")
-    return rows.join(materialize(first.select("seq"), "new-rows"), "seq", "left_semi")
+    return new_rows(to_store_rows(articles, as_of), store, config=config)
 
 
 def assign_ids(rows: DataFrame, first_id: int) -> DataFrame:

@@ -237,7 +237,22 @@ UPSERT = S + f""", b AS (SELECT seq, {STORE_COLS}, published_date, TIMESTAMP '20
 old AS (SELECT * FROM b WHERE seq % 5 = 0),
 n AS (SELECT * FROM b WHERE seq % 5 <> 0 AND url NOT IN (SELECT url FROM old) AND content_hash NOT IN (SELECT content_hash FROM old)),
 ins AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1)"""
-ORACLE["store_upsert"] = WITH + UPSERT + " SELECT * FROM ins"
+BATCH = S + """, few AS (SELECT * FROM s WHERE seq % 5 <> 0 AND seq % 9 = 2), others AS (SELECT * FROM s WHERE seq % 5 <> 0 AND seq % 9 = 4),
+batch AS (SELECT * FROM s WHERE seq % 5 <> 0
+ UNION ALL SELECT * REPLACE (seq + (1::bigint << 40) AS seq, url || '/2|x' AS url) FROM few
+ UNION ALL SELECT * REPLACE (seq + (2::bigint << 40) AS seq, url || '/2' AS url, 'x|' || title AS title) FROM few
+ UNION ALL SELECT * REPLACE (seq + (3::bigint << 40) AS seq, url || '/2' AS url) FROM few
+ UNION ALL SELECT * REPLACE (seq + (4::bigint << 40) AS seq, url || '/3|y' AS url) FROM others),
+old AS (SELECT url, sha256(url || '|' || title) AS content_hash FROM (SELECT url, title FROM s WHERE seq % 5 = 0
+ UNION ALL SELECT url || '/3', 'y|' || title FROM others))"""
+# the sequential walk over what the store doesn't know, one row per step
+ORACLE["store_upsert"] = "WITH RECURSIVE " + BATCH + f""", b AS (SELECT seq, {STORE_COLS}, published_date, TIMESTAMP '2024-03-01' AS created_at, TIMESTAMP '2024-03-01' AS updated_at FROM batch),
+ o AS (SELECT *, hash(url) AS u, hash(content_hash) AS t, row_number() OVER (ORDER BY seq) AS n FROM b
+ WHERE url NOT IN (SELECT url FROM old) AND content_hash NOT IN (SELECT content_hash FROM old)),
+ walk AS (SELECT 0::bigint AS n, []::ubigint[] AS us, []::ubigint[] AS ts, false AS kept
+ UNION ALL SELECT x.n, CASE WHEN k THEN list_append(us, x.u) ELSE us END, CASE WHEN k THEN list_append(ts, x.t) ELSE ts END, k
+ FROM (SELECT w.us, w.ts, NOT list_contains(w.us, o.u) AND NOT list_contains(w.ts, o.t) AS k, o.n, o.u, o.t FROM walk w JOIN o ON o.n = w.n + 1) AS x)
+ SELECT o.* EXCLUDE (u, t, n) FROM o JOIN walk USING (n) WHERE kept"""
 
 
 def _mean(column: str) -> str:

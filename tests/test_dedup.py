@@ -85,6 +85,35 @@ def test_long_chain(spark):
     assert _dedup(spark, rows[:24], ROUNDS) == _walk(rows[:24])
 
 
+def test_a_chain_takes_jobs_by_its_logarithm(spark, monkeypatch):
+    """Four times the chain adds a few rounds, not four times as many."""
+    from broadsheet.operators import components as C
+
+    def rounds(n):
+        seen = []
+        real = C.materialize
+        monkeypatch.setattr(C, "materialize", lambda df, label: seen.append(label) or real(df, label))
+        keys = spark.range(2 * n).selectExpr(
+            "id AS seq", "concat('u', (id + 1) div 2) AS url", "concat('h', id div 2) AS article_hash")
+        kept = ordered_dedup(keys, config=ROUNDS)
+        assert kept.count() == n and kept.filter("seq % 2 = 1").count() == 0
+        monkeypatch.setattr(C, "materialize", real)
+        return len(seen)
+
+    assert rounds(2000) <= rounds(500) + 8
+
+
+def test_many_components_at_once(spark):
+    rows, seq = [], 0
+    for k in range(60):
+        for j in range(k % 7 + 2):
+            rows += [(seq, f"u{k}-{j}", f"h{k}-{j // 2}"), (seq + 1, f"u{k}-{j}", f"h{k}-{j // 2 + 1}")]
+            seq += 2
+    random.Random(1).shuffle(rows)
+    rows = [(i, a, b) for i, (_, a, b) in enumerate(rows)]
+    assert _dedup(spark, rows, ROUNDS) == _walk(rows)
+
+
 def test_store_conflicts_on_either_key(spark):
     schema = "seq long, url string, content_hash string"
     store = spark.createDataFrame([(0, "u1", "h1"), (0, "u2", "h2")], schema)

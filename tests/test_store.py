@@ -214,3 +214,21 @@ def test_serving_predicates_reach_the_scan_of_a_written_store(spark, tmp_path):
     assert "GreaterThanOrEqual(quality_score" in plan.split("PushedFilters: [")[1].split("]")[0]
     assert sorted(r.id for r in shown.collect()) == [r.id for r in rows.collect()
                                                      if r.id % 2 and r.quality_score >= EngineConfig().list_gate]
+
+
+def test_upsert_knows_articles_by_either_key(spark):
+    """One hash for two urls, within a batch and against the store."""
+    row = dict(source="s", category="c", country="", quality_score=0.5, eu_relevance=0.0,
+               confidence=0.0, content="", summary="", published_date=None)
+    keys = [(1, "http://x/a|b", "c"), (2, "http://x/a", "b|c"), (3, "http://x/a", "d"),
+            (4, "http://y|z", "t"), (5, "http://w", "t")]
+    schema = ("seq long, url string, title string, source string, category string, country string, "
+              "quality_score double, eu_relevance double, confidence double, content string, "
+              "summary string, published_date timestamp_ntz")
+    articles = spark.createDataFrame(
+        [dict(seq=s, url=u, title=t, **row) for s, u, t in keys], schema)
+    known = store.to_store_rows(articles.limit(0).unionByName(spark.createDataFrame(
+        [dict(seq=0, url="http://y", title="z|t", **row)], schema)), "2024-01-01 00:00:00")
+    rows = store.store_upsert(articles, known, "2024-01-01 00:00:00")
+    assert sorted(r.seq for r in rows.collect()) == [1, 3, 5]
+    assert sorted(r.seq for r in store.store_upsert(articles, None, "2024-01-01 00:00:00").collect()) == [1, 3, 4, 5]
