@@ -145,35 +145,78 @@ def valid_image_url(url: Column) -> Column:
     return let(strip(url), checked)
 
 
-def _accent_pairs() -> tuple[str, str]:
-    """Latin letters with a mark and their base letters, derived from Unicode."""
-    marked, plain = [], []
-    for code in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(code))[0]
-        if base.isascii() and base.isalpha():
-            marked.append(chr(code))
-            plain.append(base)
-    return "".join(marked), "".join(plain)
-
-
-_MARKED, _PLAIN = _accent_pairs()
+# --- Fixed values: Latin spellings of letters -----------------------------------------
 _LIGATURES = (
     ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("þ", "th"), ("ð", "d"),
     ("đ", "d"), ("ł", "l"), ("ı", "i"),
 )
+_GREEK = (
+    ("α", "a"), ("β", "b"), ("γ", "g"), ("δ", "d"), ("ε", "e"), ("ζ", "z"), ("η", "e"),
+    ("θ", "th"), ("ι", "i"), ("κ", "k"), ("λ", "l"), ("μ", "m"), ("ν", "n"), ("ξ", "x"),
+    ("ο", "o"), ("π", "p"), ("ρ", "r"), ("ς", "s"), ("σ", "s"), ("τ", "t"), ("υ", "u"),
+    ("φ", "ph"), ("χ", "kh"), ("ψ", "ps"), ("ω", "o"),
+)
+_CYRILLIC = (
+    ("а", "a"), ("б", "b"), ("в", "v"), ("г", "g"), ("д", "d"), ("е", "e"), ("ж", "zh"),
+    ("з", "z"), ("и", "i"), ("к", "k"), ("л", "l"), ("м", "m"), ("н", "n"), ("о", "o"),
+    ("п", "p"), ("р", "r"), ("с", "s"), ("т", "t"), ("у", "u"), ("ф", "f"), ("х", "kh"),
+    ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"), ("ъ", ""), ("ы", "y"), ("ь", ""),
+    ("э", "e"), ("ю", "iu"), ("я", "ia"), ("ђ", "dj"), ("є", "ie"), ("ѕ", "dz"), ("і", "i"),
+    ("ј", "j"), ("љ", "lj"), ("њ", "nj"), ("ћ", "tsh"), ("џ", "dzh"), ("ґ", "g"), ("ѣ", "ie"),
+    ("ѳ", "f"), ("ѵ", "y"),
+)
+# --- end of fixed values --------------------------------------------------------------
+
+
+def _spellings() -> tuple[str, str, list[tuple[str, str]]]:
+    """Lower-case letters and their Latin spelling: one for one, and longer ones by themselves.
+
+    Letters with marks go by their base letter, as Unicode decomposes them.
+    """
+    known = dict(_LIGATURES + _GREEK + _CYRILLIC)
+    blocks = (range(0xC0, 0x250), range(0x370, 0x530), range(0x1E00, 0x2000))
+    for code in (c for block in blocks for c in block):
+        letter = chr(code)
+        base = unicodedata.normalize("NFKD", letter)[0]
+        plain = base.lower() if base.isascii() and base.isalpha() else known.get(base.lower())
+        if plain is not None and letter not in known:
+            known[letter] = plain
+    known |= {chr(mark): "" for mark in range(0x300, 0x370)}
+    # letters without a spelling come last: translate() removes what has no counterpart
+    single = sorted((k for k in known if len(known[k]) < 2), key=lambda k: -len(known[k]))
+    return "".join(single), "".join(known[k] for k in single), [
+        (k, v) for k, v in known.items() if len(v) > 1]
+
+
+_MARKED, _PLAIN, _LONGER = _spellings()
+
+
+def to_latin(text: Column) -> Column:
+    """Lower-cased text with Latin, Greek and Cyrillic letters spelled in a-z.
+
+    Letters and digits of other scripts become the number of their code point, so texts that
+    differ stay different.
+    """
+    text = F.lower(text)
+    spelled = F.translate(text, _MARKED, _PLAIN)
+    for letter, plain in _LONGER:
+        spelled = F.replace(spelled, F.lit(letter), F.lit(plain))
+
+    def numbered(char: Column) -> Column:
+        other = char.rlike(r"[\p{L}\p{N}]") & (F.ascii(char) > 127)
+        return F.when(other, F.concat(F.lit("u"), F.lower(F.hex(F.ascii(char))))).otherwise(char)
 
+    def rest(text: Column) -> Column:
+        chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+        return F.when(text.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(chars, numbered), "")
+                      ).otherwise(text)
 
-def fold_accents(text: Column) -> Column:
-    """Lower-cased text with Latin letters reduced to a-z."""
-    text = F.translate(F.lower(text), _MARKED, _PLAIN)
-    for letter, plain in _LIGATURES:
-        text = F.replace(text, F.lit(letter), F.lit(plain))
-    return F.lower(text)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), let(spelled, rest)).otherwise(text)
 
 
 def slug(title: Column) -> Column:
     """Url-safe form of a title; thousands separators vanish, the rest becomes '-'."""
-    text = F.regexp_replace(fold_accents(title), r"(?<=\d),(?=\d)", "")
+    text = F.regexp_replace(to_latin(title), r"(?<=\d),(?=\d)", "")
     return F.btrim(F.regexp_replace(text, "[^a-z0-9]+", "-"), F.lit("-"))
 
 

@@ -229,7 +229,12 @@ def eval_set_csv(spark, folder):
 
 @query
 def markdown_docs(spark, folder):
-    return publish.markdown_docs(B.scored(spark, folder), B.AS_OF, B.CONFIG)
+    """A quarter of the titles are in Greek letters, a quarter in Cyrillic ones."""
+    title, quarter = F.col("title"), F.col("seq") % 4
+    rows = B.scored(spark, folder).withColumn(
+        "title", F.when(quarter == 1, B.other_script(title, "greek"))
+        .when(quarter == 2, B.other_script(title, "cyrillic")).otherwise(title))
+    return publish.markdown_docs(rows, B.AS_OF, B.CONFIG)
 
 
 @query
@@ -350,7 +355,11 @@ def resolve_urls(spark, folder):
 
 @query
 def slug(spark, folder):
-    return B.articles(spark, folder).select("seq", T.slug(F.col("title")).alias("slug"))
+    title = F.col("title")
+    return B.articles(spark, folder).select(
+        "seq", T.slug(title).alias("slug"), T.slug(B.other_script(title, "greek")).alias("greek"),
+        T.slug(B.other_script(title, "cyrillic")).alias("cyrillic"),
+    )
 
 
 @query

@@ -48,6 +48,11 @@ RULES = RuleSet(
         ("policy", ("and", "und", "que")),
     ),
 )
+# letters and what stands for them in titles of another script
+SCRIPTS = {
+    "greek": ("abgdeziklmnoprstufhxqwyc", "αβγδεζικλμνοπρστυφηξθωψχ"),
+    "cyrillic": ("abvgdeziklmnoprstufhcyjqwx", "абвгдезиклмнопрстуфхцыйюящ"),
+}
 AS_OF = "2024-03-01 00:00:00"
 CONFIG = EngineConfig(
     classification_enabled=True, summary_enabled=True, token_cap=100_000,
@@ -91,6 +96,12 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return quality_score(keyword_labels(articles(spark, folder), RULES), RULES)
 
 
+def other_script(title: Column, script: str) -> Column:
+    """A title with plain Latin letters in Greek or Cyrillic ones."""
+    latin, letters = SCRIPTS[script]
+    return F.translate(F.lower(title), latin, letters)
+
+
 def store(spark: SparkSession, folder: str) -> DataFrame:
     """Scored articles in store form, with the document id as id."""
     rows = scored(spark, folder)

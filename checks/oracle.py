@@ -286,16 +286,33 @@ ORACLE["eval_set_csv"] = WITH + COMPARE + """ SELECT url, title, source, substr(
  model_country AS llm_country, coalesce(model_eu_relevance::varchar, '') AS llm_eu_relevance, '' AS human_category, '' AS human_country,
  '' AS human_eu_relevance, '' AS notes FROM cmp"""
 SLUG = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(strip_accents(lower(title)), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'), '([0-9]),([0-9])', '\1\2', 'g'), '[^a-z0-9]+', '-', 'g'), '-')"""
+
+
+def _spelled(pairs: str) -> str:
+    """SLUG of a title in another script: what its letters are spelled as, one after another."""
+    text = "lower(title)"
+    for pair in pairs.split():
+        letter, spelling = pair.split("=")
+        text = f"replace({text}, '{letter}', '{spelling}')"
+    return SLUG.replace("lower(title)", text)
+
+
+GREEK_SLUG = _spelled("h=e f=ph q=th w=o y=ps c=kh")
+CYRILLIC_SLUG = _spelled("y=1y h=kh c=ts j=i q=iu w=ia x=shch 1y=y")
+GREEK_TITLE = "translate(lower(title), 'abgdeziklmnoprstufhxqwyc', 'αβγδεζικλμνοπρστυφηξθωψχ')"
+CYRILLIC_TITLE = "translate(lower(title), 'abvgdeziklmnoprstufhcyjqwx', 'абвгдезиклмнопрстуфхцыйюящ')"
 DOC_DATE = "strftime(coalesce(published_date, TIMESTAMP '2024-03-01'), '%Y-%m-%d')"
 HEADER = f"""'---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'date: "' || {DOC_DATE} || '"' || chr(10) || 'author: "Newsroom"' || chr(10)
  || 'source: "' || source || '"' || chr(10) || 'url: "' || url || '"' || chr(10) || 'pillar: "' || category || '"' || chr(10)
  || CASE WHEN country <> '' THEN 'country: "' || country || '"' || chr(10) ELSE '' END
  || CASE WHEN summary <> '' THEN 'description: "' || substr(summary, 1, 160) || '"' || chr(10) ELSE '' END
  || 'coverImage: "/assets/featured-story.jpg"' || chr(10) || 'isFeatured: false' || chr(10) || 'isAiGenerated: true' || chr(10) || '---'"""
-ORACLE["markdown_docs"] = WITH + S + f""" SELECT {DOC_DATE} || '-' || {SLUG} || '.md' AS filename, {DOC_DATE} AS doc_date, {HEADER} || chr(10) || chr(10) || content AS body
- FROM s QUALIFY row_number() OVER (PARTITION BY {DOC_DATE} || '-' || {SLUG} ORDER BY seq DESC) = 1"""
+ORACLE["markdown_docs"] = WITH + S + f""", named AS (SELECT * REPLACE (CASE seq % 4 WHEN 1 THEN {GREEK_TITLE} WHEN 2 THEN {CYRILLIC_TITLE} ELSE title END AS title),
+ {DOC_DATE} || '-' || CASE seq % 4 WHEN 1 THEN {GREEK_SLUG} WHEN 2 THEN {CYRILLIC_SLUG} ELSE {SLUG} END || '.md' AS filename FROM s)
+ SELECT filename, {DOC_DATE} AS doc_date, {HEADER} || chr(10) || chr(10) || content AS body
+ FROM named QUALIFY row_number() OVER (PARTITION BY filename ORDER BY seq DESC) = 1"""
 ORACLE["front_matter"] = WITH + S + f" SELECT seq, {HEADER} AS header FROM s"
-ORACLE["slug"] = WITH + A + f" SELECT seq, {SLUG} AS slug FROM a"
+ORACLE["slug"] = WITH + A + f" SELECT seq, {SLUG} AS slug, {GREEK_SLUG} AS greek, {CYRILLIC_SLUG} AS cyrillic FROM a"
 ORACLE["run_log"] = WITH + RUNS + " SELECT id, event_time, status, job_type, result_count, error_message, CASE WHEN status IN ('completed','failed') THEN event_time END AS completed_at FROM ev"
 ORACLE["schema_align"] = WITH + S + """ SELECT seq, url, source, NULL::double AS confidence, NULL::double AS eu_relevance, NULL::varchar AS image_url FROM a
  UNION ALL SELECT seq, url, source, nullif(confidence, 0), nullif(eu_relevance, 0), NULL FROM s"""

@@ -93,6 +93,16 @@ def test_slug_and_filename(spark, apply):
     assert (row.x, row.y) == ("2024-05-06-a-b.md", "2024-01-15-a-b.md")
 
 
+def test_slugs_of_other_scripts(apply):
+    titles = ["Ελληνικά νέα: Ψηφιακή εποχή", "Новини от България", "Щит и ёж, объём", "Ὀδυσσεύς",
+              "Київ — Ґанок", "中文 news", "Việt Nam", "日本", "𝐀 b", "été\u0301"]
+    found = apply(T.slug, titles)
+    assert found[:5] == ["ellenika-nea-psephiake-epokhe", "novini-ot-blgariia",
+                         "shchit-i-ezh-obem", "odusseus", "kiiv-ganok"]
+    assert found[5] == "u4e2du6587-news" and found[6] == "viet-nam" and found[7] == "u65e5u672c"
+    assert found[9] == "ete" and len(set(found)) == len(found)
+
+
 def test_frontmatter(spark):
     values = dict(title='Say "hi"', source="S", url="u", category="policy", country="", summary="s" * 200)
     columns = {k: F.lit(v) for k, v in values.items()}
