@@ -122,11 +122,12 @@ def landed_feeds(spark, folder):
 
 
 def _fetched(spark: SparkSession, folder: str) -> DataFrame:
-    """The page a first link leads to: the next page of the table."""
+    """The pages that the links of a page lead to: those that follow it in the table."""
     pages = B.table(spark, folder, "pages")
-    first = ingest.page_links(pages, B.RULES, 1).select("page_id", "link")
-    html = pages.select((F.col("page_id") - 1).alias("page_id"), "html")
-    fetched = ingest.page_extract(first.join(html, "page_id").select(F.col("link").alias("url"), "html"))
+    links = ingest.page_links(pages, B.RULES).select(
+        (F.col("page_id") + F.col("place") + 1).alias("page_id"), "link")
+    html = pages.select("page_id", "html")
+    fetched = ingest.page_extract(links.join(html, "page_id").select(F.col("link").alias("url"), "html"))
     return fetched.groupBy("url").agg(
         F.max(F.struct("page_title", "page_text", "page_summary", "page_published", "page_image")).alias("p")
     ).select("url", "p.*")
@@ -337,7 +338,12 @@ def page_extract(spark, folder):
         F.lit('"><meta content="https://img.example/'), number,
         F.lit('.png" property="og:image"><time datetime="2024-01-05T10:00:00Z"></time>'),
     )).otherwise(F.lit(""))
-    pages = B.table(spark, folder, "pages").withColumn("html", F.concat(head, "html"))
+    # every second page is one without <article>, but with a notice and a list of links instead
+    html = F.col("html")
+    for tag, other in (("<article>", "<div>"), ("</article>", "</div><ul>" + B.RELATED + "</ul><p>" + B.NOTICE)):
+        html = F.replace(html, F.lit(tag), F.lit(other))
+    html = F.when(F.col("page_id") % 2 == 1, html).otherwise(F.col("html"))
+    pages = B.table(spark, folder, "pages").withColumn("html", F.concat(head, html))
     return ingest.page_extract(pages).select(
         "page_id", "page_title", "page_text", "page_summary", "page_published", "page_image"
     )

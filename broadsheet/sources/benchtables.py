@@ -53,6 +53,9 @@ SCRIPTS = {
     "greek": ("abgdeziklmnoprstufhxqwyc", "αβγδεζικλμνοπρστυφηξθωψχ"),
     "cyrillic": ("abvgdeziklmnoprstufhcyjqwx", "абвгдезиклмнопрстуфхцыйюящ"),
 }
+# what surrounds the text of a page without <article>
+RELATED = "".join(f'<li><a href="/r/{k}">Another article to read, number {k}</a></li>' for k in range(5))
+NOTICE = "We use cookies."
 AS_OF = "2024-03-01 00:00:00"
 CONFIG = EngineConfig(
     classification_enabled=True, summary_enabled=True, token_cap=100_000,

@@ -224,7 +224,7 @@ LABELS = "category, country, eu_relevance, confidence"
 
 ORACLE["feed_entries"] = WITH + ITEMS + " SELECT * FROM e"
 ORACLE["page_scan"] = WITH + LK + f""", pe AS (SELECT page_id, {_PAGE_TITLE} AS page_title, {_PAGE_TEXT} AS page_text FROM pages),
-f0 AS (SELECT lk.link AS url, page_title, page_text FROM lk JOIN pe ON pe.page_id = lk.page_id + 1 WHERE lk.place = 0),
+f0 AS (SELECT lk.link AS url, page_title, page_text FROM lk JOIN pe ON pe.page_id = lk.page_id + 1 + lk.place),
 f AS (SELECT url, max((page_title, page_text)) AS x FROM f0 GROUP BY url)
 SELECT lk.page_id * 10 + lk.place AS seq, f.x[1] AS title, lk.link AS url, lk.url AS source, f.x[2] AS content,
  '' AS summary, NULL::timestamp AS published_date, NULL::varchar AS image_url
@@ -330,10 +330,26 @@ ORACLE["feed_text"] = WITH + ITEMS + f" SELECT idx, coalesce(nullif({_clean('ful
 ORACLE["content_fallback"] = WITH + A + """ SELECT seq, CASE WHEN length(p) < 200 AND length(f) > length(p) THEN f ELSE p END AS content FROM
  (SELECT seq, coalesce(CASE WHEN seq % 2 = 0 THEN 'a page in short' WHEN seq % 3 = 0 THEN content END, '') AS p,
  CASE WHEN seq % 5 <> 0 THEN content END AS f FROM a)"""
-ORACLE["page_extract"] = f"""SELECT page_id, {_PAGE_TITLE} AS page_title, {_PAGE_TEXT} AS page_text,
+RELATED = "".join(f'<li><a href="/r/{k}">Another article to read, number {k}</a></li>' for k in range(5))
+_HTML = f"""CASE WHEN page_id % 2 = 1 THEN replace(replace(html, '<article>', '<div>'), '</article>', '</div><ul>{RELATED}</ul><p>We use cookies.') ELSE html END"""
+_OWN = "html"
+for _tag in ("script", "style", "head", "nav", "footer"):
+    _OWN = rf"regexp_replace({_OWN}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}\s*>', ' ', 'g')"
+_OWN = f"regexp_replace({_OWN}, '(?s)<!--.*?-->', ' ', 'g')"
+# the run of blocks with the largest sum, out of all runs
+MAIN = rf"""h AS (SELECT page_id, {_HTML} AS html FROM pages),
+ bl AS (SELECT page_id, unnest(b) AS block, generate_subscripts(b, 1) AS i FROM
+ (SELECT page_id, string_split_regex({_OWN}, '(?i)</?(?:body|div|h1|html|li|p|ul)\b[^>]*>') AS b FROM h)),
+ bn AS (SELECT *, length(trim(regexp_replace(regexp_replace(block, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))) AS n FROM bl),
+ bs AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE n - 40 - 3 * coalesce(list_sum(list_transform(regexp_extract_all(block, '(?is)<a\b[^>]*>(.*?)</a\s*>', 1), lambda x: length(regexp_replace(x, '<[^>]*>', '', 'g')))), 0) END AS score FROM bn),
+ bp AS (SELECT *, sum(score) OVER (PARTITION BY page_id ORDER BY i) AS upto FROM bs),
+ br AS (SELECT f.page_id, f.i AS lo, l.i AS hi FROM bp f JOIN bp l ON l.page_id = f.page_id AND l.i >= f.i
+ QUALIFY row_number() OVER (PARTITION BY f.page_id ORDER BY l.upto - f.upto + f.score DESC, l.i, f.i DESC) = 1),
+ mt AS (SELECT page_id, string_agg(block, ' ' ORDER BY i) AS main FROM bl JOIN br USING (page_id) WHERE i BETWEEN lo AND hi GROUP BY 1)"""
+ORACLE["page_extract"] = f"""WITH {MAIN} SELECT page_id, {_PAGE_TITLE} AS page_title, CASE WHEN page_id % 2 = 1 THEN {_clean('main')} ELSE {_PAGE_TEXT} END AS page_text,
  CASE WHEN page_id % 3 = 0 THEN 'About & page ' || page_id::varchar ELSE '' END AS page_summary,
  CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-05 10:00:00' END AS page_published,
- CASE WHEN page_id % 3 = 0 THEN 'https://img.example/' || page_id::varchar || '.png' END AS page_image FROM pages"""
+ CASE WHEN page_id % 3 = 0 THEN 'https://img.example/' || page_id::varchar || '.png' END AS page_image FROM pages JOIN mt USING (page_id)"""
 ORACLE["resolve_urls"] = WITH + HREFS + f" SELECT page_id, place, {_resolved('href')} AS link FROM hr"
 ORACLE["render_prompt"] = WITH + A + rf""" SELECT seq, 'Outlet: ' || source || chr(10) || 'Headline: ' || title || chr(10) || '---' || chr(10)
  || substr({_clean('content')}, 1, 1500) || chr(10) || '---' || chr(10) || 'Answer in JSON.' AS prompt FROM a"""

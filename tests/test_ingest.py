@@ -152,3 +152,55 @@ def test_completer(spark):
     out = completer.complete(prompts, answer).orderBy("seq").collect()
     assert [(r.status, r.text, r.tokens_in) for r in out] == [("ok", "OK", 3), ("api_error", "", 0)]
     assert out[1].error == "no luck"
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style></head><body>
+<header>Site name and a long motto that nobody wants to read as text of an article at all</header>
+<ul><li><a href="/1">A long link to some other article</a></li><li><a href="/2">Yet another long link to follow</a></li></ul>
+<div class="cookies">We use cookies.</div>{}
+<div><a href="/more">Read more about all of these and many other things on the next page</a></div>
+<form>Subscribe to the newsletter with your address and never miss a single story of ours</form>
+<p>Share this.</p><footer>Imprint, privacy and a lot of other words that are on every single page</footer>
+<script>var text = "<p>not a paragraph but a very long string in a script of the page itself</p>";</script></body></html>"""
+
+
+def test_main_text_without_article_element(spark):
+    long = "A paragraph of the article that is long enough to be told from a short notice by its size. "
+    bodies = [
+        f"<h1>Headline of the page that is long enough to belong to the text, at any rate</h1><p>{long}</p><p>Short.</p><p>{long * 2}</p>",
+        f"<div><div><p>{long * 3}<b>bold</b> &amp; more <a href='x'>a link</a> inside.</p></div></div>",
+        "<p>Tiny.</p>", "",
+    ]
+    rows = [(k, PAGE.format(b)) for k, b in enumerate(bodies)]
+    rows += [(4, f"<article></article><p>{long}"), (5, None), (6, ""), (7, f"<section>{long * 2000}</section><nav>{long}</nav>")]
+    found = {r.k: r.page_text for r in ingest.page_extract(
+        spark.createDataFrame(rows, "k int, html string")).collect()}
+    head = "Headline of the page that is long enough to belong to the text, at any rate"
+    assert found[0] == f"{head} {long}Short. {long * 2}".strip()
+    assert found[1] == f"{long * 3}bold & more a link inside."
+    # nothing scores: all blocks are taken, without menus and scripts
+    assert found[2].endswith("Tiny. Read more about all of these and many other things on the next page Share this.")
+    assert "cookies" in found[3] and "Imprint" not in found[3]
+    assert found[4] == long.strip() and found[5] == found[6] == "" and found[7] == (long * 2000).strip()
+
+
+def test_main_text_equals_a_search_over_all_runs(spark):
+    import random
+    import re
+
+    r = random.Random(11)
+    rows = []
+    for k in range(60):
+        blocks = [r.choice(["", "w" * r.randint(1, 160), f"<a href='x'>{'l' * r.randint(1, 50)}</a> {'t' * r.randint(0, 90)}"])
+                  for _ in range(r.randint(1, 9))]
+        rows.append((k, "<p>".join(blocks), blocks))
+    found = {x.k: x.t for x in spark.createDataFrame([x[:2] for x in rows], "k int, html string")
+             .select("k", ingest.main_text(F.col("html")).alias("t")).collect()}
+    for k, _, blocks in rows:
+        plain = [re.sub("<[^>]*>", " ", b).strip() for b in blocks]
+        links = [sum(map(len, re.findall("<a[^>]*>(.*?)</a>", b))) for b in blocks]
+        score = [len(" ".join(p.split())) - 3 * n - 40 if p else 0 for p, n in zip(plain, links)]
+        runs = [(-sum(score[a:b + 1]), b, -a) for a in range(len(blocks)) for b in range(a, len(blocks))]
+        best, end, start = min(runs)
+        run = plain[-start:end + 1] if best < 0 else plain
+        assert found[k] == " ".join(" ".join(run).split())
