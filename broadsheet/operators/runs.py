@@ -61,6 +61,13 @@ def run_state(events: DataFrame, order: list[str] | None = None) -> DataFrame:
     )
 
 
+def completed_count(events: DataFrame, run_id: str) -> int | None:
+    """The stored articles of a run that has completed, else None."""
+    done = events.filter((F.col("id") == run_id) & (F.col("status") == "completed"))
+    row = done.agg(F.max("result_count").alias("n")).first()
+    return row.n
+
+
 def stuck_runs(states: DataFrame, as_of: datetime | str | Column, minutes: int) -> DataFrame:
     """Runs that have been running for longer than ``minutes``."""
     oldest = timestamp(as_of) - F.make_dt_interval(mins=F.lit(minutes))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from broadsheet.operators import budget, classify, dedup, evaluate, ingest, metr
 from broadsheet.operators.columns import computed_once
 from broadsheet.operators import quality, runs, serve, store, summarize
 from broadsheet.plans import pipeline
+from broadsheet.schemas import RUN_STORE, SOURCE_METRIC, TELEMETRY
 from broadsheet.session import materialize, scratch_path
 from broadsheet.sources import benchtables as B
 from broadsheet.sources import completer, feeds, tables
@@ -883,25 +885,45 @@ def article_pipeline(spark, folder):
     )
 
 
-@query
-def full_run(spark, folder):
-    """From feed items and pages to new store rows: both channels, then the pipeline."""
+def _whole_run(spark: SparkSession, folder: str) -> pipeline.Tables:
+    """A run from feed items and pages, after an earlier one that has stored a tenth of them."""
     articles = materialize(pipeline.collected(
         _entries(spark, folder), B.entry_pages(spark, folder), B.table(spark, folder, "pages"),
         _fetched(spark, folder), B.AS_OF, B.CONFIG, B.RULES,
     ), "collected")
-    known = B.articles(spark, folder).filter(F.col("seq") % 10 == 0).select(
-        "url", T.content_hash(F.col("url"), F.col("title")).alias("content_hash")
+    path, at = scratch_path(spark, "run"), datetime.fromisoformat(B.AS_OF)
+    places = pipeline.Tables(*[f"{path}/{name}" for name in ("store", "metrics", "telemetry", "runs")])
+    pipeline.run_pipeline(
+        spark, "run-0", articles.filter(F.col("seq") % 10 == 0), None, places, at,
+        EngineConfig(classification_enabled=False, store_gate=0.0), B.RULES,
     )
-    rows = pipeline.article_pipeline(
-        articles, B.responses(spark, folder), known, B.AS_OF, pipeline_config(), B.RULES
-    )
-    return rows.select(
-        "seq", "url", "title", "source", "category", "country", "quality_score", "eu_relevance",
+    answers = B.responses(spark, folder)
+    pipeline.run_pipeline(spark, "run-1", articles, answers, places, at, pipeline_config(), B.RULES)
+    return places
+
+
+@query
+def full_run(spark, folder):
+    """What a whole run has stored."""
+    rows = tables.read_table(spark, _whole_run(spark, folder).store, RUN_STORE)
+    return rows.filter("run_id = 'run-1'").select(
+        "id", "url", "title", "source", "category", "country", "quality_score", "eu_relevance",
         "confidence", "content_hash", "summary", "published_date", "image_url",
     )
 
 
+@query
+def full_run_metrics(spark, folder):
+    rows = tables.read_table(spark, _whole_run(spark, folder).metrics, SOURCE_METRIC)
+    return rows.filter("run_id = 'run-1'").drop("timestamp")
+
+
+@query
+def full_run_telemetry(spark, folder):
+    rows = tables.read_table(spark, _whole_run(spark, folder).telemetry, TELEMETRY)
+    return rows.filter("run_id = 'run-1'").drop("timestamp", "fallback_reason")
+
+
 @query
 def complete_prompts(spark, folder):
     """A stand-in for a model: answers with the size of its prompt, refuses every fifth size."""

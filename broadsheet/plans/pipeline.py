@@ -16,12 +16,14 @@ from broadsheet.operators.classify import classify, join_response, mode_of
 from broadsheet.operators.dedup import ordered_dedup
 from broadsheet.operators.ingest import entry_articles, timestamp, union_channels, web_articles
 from broadsheet.operators.quality import quality_gate, quality_score
-from broadsheet.operators.runs import run_event
+from broadsheet.operators.runs import completed_count, run_event
 from broadsheet.operators.store import assign_ids, next_id, store_upsert
 from broadsheet.operators.summarize import choose_summary, summarizable
-from broadsheet.schemas import STORE
+from broadsheet.schemas import RUN_EVENT, RUN_STORE
 from broadsheet.session import materialize, scratch_scope
-from broadsheet.sources.tables import append_metrics, append_table, append_telemetry, read_if_exists
+from broadsheet.sources.tables import (
+    append_table, read_if_exists, write_run, write_run_metrics, write_run_telemetry,
+)
 
 CLASSIFICATION, SUMMARY = "classification", "summary"
 
@@ -156,11 +158,18 @@ def run_pipeline(
     config: EngineConfig = DEFAULT_CONFIG,
     rules: RuleSet = DEFAULT_RULES,
 ) -> int:
-    """Run the pipeline and append to store, metrics, telemetry and run log.
-
-    The scored batch feeds three sinks and is therefore written once to the shared
-    folder. Returns the number of stored articles; a failure is logged and raised.
+    """Run the pipeline: store, metrics, telemetry and run log. Returns the stored articles.
+
+    Each of the first three tables has a partition per run, which the run overwrites, and the
+    store is compared with the other runs' partitions only. They are written in a fixed order;
+    the "completed" event comes last and says that all are there. So a run that failed
+    anywhere is repeated under its id with the same result as one that never failed, and a
+    completed one is not run again. The scored batch feeds all sinks and is written once to
+    the shared folder. A failure is logged and raised.
     """
+    log = read_if_exists(spark, tables.runs, RUN_EVENT)
+    if log is not None and (done := completed_count(log, run_id)) is not None:
+        return done
     append_table(run_event(spark, run_id, "running", as_of), tables.runs)
     try:
         with scratch_scope(spark):
@@ -183,16 +192,18 @@ def _run(
     )
     calls = telemetry_rows(scored, run_id, timestamp(as_of), config)
     if calls is not None:
-        append_telemetry(calls, tables.telemetry)
+        write_run_telemetry(calls, tables.telemetry, run_id)
 
-    store = read_if_exists(spark, tables.store, STORE)
+    store = read_if_exists(spark, tables.store, RUN_STORE)
+    if store is not None:  # of this run's own rows, if it failed before, none counts
+        store = store.filter(F.col("run_id") != run_id)
     gated = quality_gate(scored, config.store_gate)
     first_id = 1 if store is None else next_id(store)
-    # written before the append, which changes the table this plan reads
+    # written before the store, which changes the table this plan reads
     new = materialize(
-        assign_ids(store_upsert(gated, store, as_of), first_id), "stored"
+        assign_ids(store_upsert(gated, store, as_of, config), first_id), "stored"
     )
-    append_table(new, tables.store)
+    write_run(new, tables.store, run_id)
 
     per_source = M.source_run_metrics(
         articles.select("source"),
@@ -200,7 +211,7 @@ def _run(
         new.select("source"),
         config.relevance_threshold,
     )
-    append_metrics(M.metric_rows(per_source, run_id, timestamp(as_of)), tables.metrics)
+    write_run_metrics(M.metric_rows(per_source, run_id, timestamp(as_of)), tables.metrics, run_id)
     return new.count()
 
 

@@ -34,6 +34,9 @@ STORE = (
     "published_date TIMESTAMP_NTZ, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"
 )
 
+# the store as runs write it, a partition each
+RUN_STORE = STORE + ", run_id STRING"
+
 FEED_ENTRY = (
     "source_rank BIGINT, feed_url STRING, feed_title STRING, idx BIGINT, title STRING, "
     "link STRING, summary STRING, published STRING, "

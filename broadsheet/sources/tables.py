@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,16 @@ def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None
     writer.parquet(path)
 
 
+def write_run(df: DataFrame, path: str, run_id: str) -> None:
+    """Write what one run adds to a table, as the partition ``run_id=...`` that the run owns.
+
+    Written again, it replaces itself, so a run that is repeated after a failure leaves the
+    table as if it had run once. Tables are read with a schema that names ``run_id STRING``.
+    """
+    folder = f"{path}/run_id={quote(run_id, safe='')}"
+    df.drop("run_id").write.mode("overwrite").parquet(folder)
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table with its declared schema; columns that old files lack read as NULL."""
     return spark.read.schema(schema).parquet(path)
@@ -55,6 +67,14 @@ def _as(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
 
 
+def write_run_metrics(metrics: DataFrame, path: str, run_id: str) -> None:
+    write_run(_as(metrics, SOURCE_METRIC), path, run_id)
+
+
+def write_run_telemetry(calls: DataFrame, path: str, run_id: str) -> None:
+    write_run(_as(calls, TELEMETRY), path, run_id)
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     append_table(_as(metrics, SOURCE_METRIC), path)
 

@@ -502,6 +502,38 @@ ORACLE["article_pipeline"] = WITH + PIPE + """ SELECT seq, url, title, source, c
  nullif(confidence, 0) AS confidence, sha256(url || '|' || title) AS content_hash, nullif(summary, '') AS summary, published_date, TIMESTAMP '2024-03-01' AS created_at
  FROM sc WHERE quality_score >= 0.5::double AND url NOT IN (SELECT url FROM known)"""
 
+# the feed channel: feed entries cut, dated and joined to their pages
+_DATE = "CASE WHEN idx % 7 <> 0 THEN TIMESTAMP '2024-01-01 06:30:00' + (idx % 60) * INTERVAL 1 DAY END"
+FEED = ITEMS + f""", g AS (SELECT 'https://feed.example/' || (page_id * 3)::varchar AS page_url, {_PAGE_TEXT} AS page_text FROM pages),
+e1 AS (SELECT *, row_number() OVER (PARTITION BY source_rank ORDER BY idx) AS place, {_DATE} AS published_date,
+ coalesce(nullif({_clean('full_text')}, ''), nullif({_clean('summary')}, '')) AS own FROM e),
+e2 AS (SELECT e1.*, coalesce(g.page_text, '') AS page_text FROM e1 LEFT JOIN g ON g.page_url = nullif(e1.link, '')
+ WHERE place <= 10 AND (published_date IS NULL OR published_date >= TIMESTAMP '2024-03-01' - INTERVAL 30 DAY)),
+fa AS (SELECT source_rank * 10 + place - 1 AS seq, title, link AS url, {ALIAS.replace('source', 'feed_title')} AS source,
+ CASE WHEN length(page_text) < 200 AND length(own) > length(page_text) THEN own ELSE page_text END AS content, summary, published_date,
+ CASE WHEN media_url IS NOT NULL THEN media_url WHEN idx % 3 = 0 THEN 'https://img.example/e' || idx::varchar || '.png' END AS image_url FROM e2)"""
+ORACLE["feed_channel"] = WITH + FEED + " SELECT * FROM fa"
+# both channels as the articles of a run
+COLLECTED = FEED + ", wa AS (" + ORACLE["page_scan"] + """),
+a AS (SELECT seq, title, url, source, content, summary, published_date, image_url FROM fa
+ UNION ALL SELECT seq + 4611686018427387904, title, url, source, content, summary, published_date, image_url FROM wa)"""
+RUN = COLLECTED + PIPE[len(A):].replace("d.doc_id AS seq", "d.seq AS seq").replace(
+    "FROM documents d LEFT JOIN r ON r.seq = d.doc_id", "FROM a d LEFT JOIN r ON r.seq = d.seq")
+RUN += """, new AS (SELECT * FROM sc WHERE quality_score >= 0.5::double AND url NOT IN (SELECT url FROM known))"""
+ORACLE["full_run"] = WITH + RUN + """ SELECT (SELECT count(DISTINCT url) FROM known) + row_number() OVER (ORDER BY seq) AS id, url, title, source, category,
+ nullif(country, '') AS country, quality_score, nullif(eu_relevance, 0) AS eu_relevance, nullif(confidence, 0) AS confidence,
+ sha256(url || '|' || title) AS content_hash, nullif(summary, '') AS summary, published_date, image_url FROM new LEFT JOIN (SELECT seq, image_url FROM a) USING (seq)"""
+ORACLE["full_run_metrics"] = WITH + RUN + f""" SELECT 'run-1' AS run_id, source AS source_name, count(DISTINCT a.seq) AS articles_fetched, (SELECT count(*) FROM new WHERE new.source = a.source) AS articles_stored,
+ (SELECT count(*) FROM sc WHERE sc.source = a.source AND eu_relevance >= 3) AS articles_passed_relevance,
+ (SELECT {_mean('eu_relevance')} FROM sc WHERE sc.source = a.source) AS avg_eu_relevance, (SELECT {_mean('quality_score')} FROM sc WHERE sc.source = a.source) AS avg_quality_score,
+ (SELECT '{{' || string_agg('"' || c || '":' || n::varchar, ',' ORDER BY c) || '}}' FROM (SELECT category AS c, count(*) AS n FROM sc WHERE sc.source = a.source AND category <> '' GROUP BY 1)) AS category_distribution
+ FROM a GROUP BY source"""
+ORACLE["full_run_telemetry"] = WITH + RUN + """ SELECT 'run-1' AS run_id, dd.url AS article_url, coalesce(r.model, '') AS model,
+ CASE WHEN g.stage = 0 THEN 'classification' ELSE 'summary' END AS prompt_version,
+ coalesce(r.latency_ms, 0) AS latency_ms, coalesce(r.tokens_in, 0) AS tokens_in, coalesce(r.tokens_out, 0) AS tokens_out,
+ CASE WHEN g.stage = 0 THEN o.status WHEN q.sst = 'ok' AND NOT q.svalid THEN 'parse_error' ELSE q.sst END AS status
+ FROM gate g JOIN dd ON dd.seq = g.seq LEFT JOIN r ON r.seq = g.seq AND r.stage = CASE WHEN g.stage = 0 THEN 'classification' ELSE 'summary' END
+ JOIN o ON o.seq = g.seq JOIN q ON q.seq = g.seq WHERE g.ok"""
 ORACLE["stream_ingest_store"] = WITH + S + " SELECT seq, url, source, category, quality_score, sha256(url || '|' || title) AS content_hash FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1"
 ORACLE["stream_source_metrics"] = WITH + S + f""", w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, created_at) AS ws FROM s)
  SELECT ws AS window_start, ws + INTERVAL 6 HOUR AS window_end, source, count(*) AS articles, count(*) FILTER (eu_relevance >= 3) AS passed_relevance,

@@ -10,9 +10,10 @@ from broadsheet.functions.text import article_hash
 from broadsheet.operators.dedup import ordered_dedup
 from broadsheet.operators.runs import run_state
 from broadsheet.operators.store import store_upsert
+from broadsheet.plans import pipeline
 from broadsheet.plans.catalog import QUERIES
 from broadsheet.plans.pipeline import Tables, deduplicated, run_pipeline, score_articles
-from broadsheet.schemas import RESPONSE, SOURCE_METRIC, STORE, TELEMETRY
+from broadsheet.schemas import RESPONSE, RUN_STORE, SOURCE_METRIC, STORE, TELEMETRY
 from broadsheet.sources.tables import read_table
 from broadsheet.streaming.dedup import unique_urls
 from broadsheet.streaming.files import drain, read_file_stream
@@ -79,6 +80,50 @@ def test_failed_run_is_logged(spark, tmp_path):
     assert {r.status for r in spark.read.parquet(tables.runs).collect()} == {"running", "failed"}
 
 
+def _content(spark, tables):
+    return [
+        sorted(map(str, read_table(spark, path, schema).collect())) for path, schema in (
+            (tables.store, RUN_STORE), (tables.metrics, SOURCE_METRIC), (tables.telemetry, TELEMETRY))
+    ]
+
+
+@pytest.mark.parametrize("sink", ["write_run_telemetry", "write_run", "write_run_metrics", "append_table"])
+def test_a_run_killed_after_a_sink_is_repeated(spark, tmp_path, monkeypatch, sink):
+    """Whichever table was written last, the second try gives the tables of a run that never
+    failed, next to those of the run before it."""
+    config = EngineConfig(summary_enabled=True, token_cap=1_000)
+    first = _articles(spark).filter("seq = 5")
+    runs = [("r 1/a=b", first), ("r2", _articles(spark))]
+    whole = _tables(tmp_path / "whole")
+    for run_id, rows in runs:
+        run_pipeline(spark, run_id, rows, _responses(spark), whole, NOW, config)
+
+    tables = _tables(tmp_path / "killed")
+    run_pipeline(spark, *runs[0], _responses(spark), tables, NOW, config)
+    real, calls = getattr(pipeline, sink), []
+
+    def killed(df, *args):
+        real(df, *args)
+        calls.append(args)
+        if sink != "append_table" or len(calls) == 2:  # the log's second row says "completed"
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(pipeline, sink, killed)
+    if sink == "append_table":  # the marker is there, so all is
+        with pytest.raises(RuntimeError):
+            run_pipeline(spark, *runs[1], _responses(spark), tables, NOW, config)
+        assert len(calls) == 3
+    else:
+        with pytest.raises(RuntimeError):
+            run_pipeline(spark, *runs[1], _responses(spark), tables, NOW, config)
+    monkeypatch.undo()
+    assert run_pipeline(spark, *runs[1], _responses(spark), tables, NOW, config) == 2
+    assert _content(spark, tables) == _content(spark, whole)
+    assert run_pipeline(spark, *runs[1], _responses(spark), tables, NOW, config) == 2
+    assert _content(spark, tables) == _content(spark, whole)
+    assert {r.run_id for r in read_table(spark, tables.store, RUN_STORE).collect()} == {"r 1/a=b", "r2"}
+
+
 def test_budget_runs_through_both_stages(spark):
     config = EngineConfig(summary_enabled=True, token_cap=500)
     batch = deduplicated(_articles(spark), config)
