@@ -18,6 +18,7 @@ from broadsheet.sources.tables import read_table
 from broadsheet.streaming.dedup import unique_urls
 from broadsheet.streaming.files import drain, read_file_stream
 from broadsheet.streaming.ingest import read_stream_store, start_ingest
+from broadsheet.streaming.keys import add_keys, keys_of, known_in, merge_full_tiers, unknown_rows
 from broadsheet.streaming.metrics import start_windowed_metrics, windowed_metrics
 
 NOW = datetime(2024, 3, 1)
@@ -197,6 +198,40 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     assert sorted(r.url for r in again.collect()) == sorted(u for _, u, _ in before)
 
 
+def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
+    """Also over many batches: the index keeps a bounded number of files per bucket."""
+    path, buckets, merge_every = str(tmp_path / "_keys"), 32, 4
+    files = []
+    for batch_id in range(17):
+        rows = spark.createDataFrame(
+            [(k, f"u{batch_id}-{k}", f"h{batch_id}-{k}") for k in range(3)], "seq long, url string, content_hash string")
+        keys = keys_of(rows, buckets)
+        touched = {r.bucket for r in keys.collect()}
+        known = known_in(spark, path, keys, batch_id)
+        if known is not None:
+            read = [f for b in touched for f in (tmp_path / "_keys").glob(f"tier=*/bucket={b}/*.parquet")]
+            plan = known._jdf.queryExecution().executedPlan().toString()
+            assert "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+            files.append(len(read) / len(touched))
+            assert unknown_rows(spark, path, rows, buckets, batch_id).count() == 3
+        add_keys(rows, path, buckets, batch_id)
+        merge_full_tiers(spark, path, merge_every, batch_id + 1)
+        assert unknown_rows(spark, path, rows, buckets, batch_id + 1).count() == 0
+        assert unknown_rows(spark, path, rows, buckets, batch_id).count() == 3  # its own keys don't count
+    assert max(files) <= 2 * merge_every  # two tiers
+
+
+def test_a_store_without_an_index_gets_one(spark, tmp_path):
+    whole = _stream_files(spark, tmp_path)
+    store_path = str(tmp_path / "store")
+    old = store_upsert(whole.filter("seq < 20"), None, NOW)
+    old.write.parquet(f"{store_path}/batch_id=90")
+    start_ingest(_source(spark, tmp_path), store_path, str(tmp_path / "cp"), NOW, 8, 2).awaitTermination()
+    stored = read_stream_store(spark, store_path)
+    expected = store_upsert(whole, None, NOW)
+    assert sorted(r.seq for r in stored.collect()) == sorted(r.seq for r in expected.collect())
+
+
 def test_stream_metrics_equal_batch(spark, tmp_path):
     whole = _stream_files(spark, tmp_path).withColumn("ts", F.col("published_date").cast("timestamp"))
     stream = _source(spark, tmp_path).withColumn("ts", F.col("published_date").cast("timestamp"))
