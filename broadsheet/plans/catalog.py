@@ -25,6 +25,7 @@ from broadsheet.session import materialize, scratch_path
 from broadsheet.sources import benchtables as B
 from broadsheet.sources import completer, feeds, tables
 from broadsheet.streaming import dedup as stream_dedup
+from broadsheet.streaming import feeds as stream_feeds
 from broadsheet.streaming import files, ingest as stream_ingest
 from broadsheet.streaming import metrics as stream_metrics
 
@@ -106,17 +107,23 @@ def feed_channel(spark, folder):
     )
 
 
-@query
-def landed_feeds(spark, folder):
-    """The same items as files of feeds, a source's items of each thousand ids together, written and read back."""
+def _landed(spark: SparkSession, folder: str) -> str:
+    """A folder of feed files: a source's items of each thousand ids together."""
     path = scratch_path(spark, "landed")
+    items = F.array_sort(F.collect_list(F.struct("idx", "xml")))
     B.feed_items(spark, folder).groupBy("feed_title", F.floor(F.col("idx") / 1_000)).agg(
-        F.concat_ws("", F.collect_list("xml")).alias("items")
+        F.array_join(F.transform(items, lambda i: i["xml"]), "").alias("items")
     ).select(F.concat(
         F.lit("<rss><channel><title>"), "feed_title", F.lit("</title>"), "items",
         F.lit("</channel></rss>"),
     ).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    rows, _ = feeds.read_feeds(spark, path)
+    return path
+
+
+@query
+def landed_feeds(spark, folder):
+    """The same items as files of feeds, written and read back."""
+    rows, _ = feeds.read_feeds(spark, _landed(spark, folder))
     return ingest.feed_entries(rows).select(
         "feed_title", "title", "link", "published", F.get("media_content", F.lit(0))["url"].alias("media_url"),
         _long(F.greatest(F.size("enclosures"), F.lit(0))).alias("n_enclosures"),
@@ -954,6 +961,22 @@ def stream_ingest_store(spark, folder):
     return stored.select("seq", "url", "source", "category", "quality_score", "content_hash")
 
 
+@query
+def stream_feed_ingest(spark, folder):
+    """Landed feed files, some of them broken, into the store; entries without a link are all
+    one article, whichever comes first."""
+    path, store_path = _landed(spark, folder), scratch_path(spark, "feed-store")
+    spark.range(1).select(F.lit("<rss><channel><title>cut off").alias("value")).write.mode("append").text(path)
+    stream_feeds.start_feed_ingest(
+        stream_feeds.read_feed_files(spark, path), B.entry_pages(spark, folder),
+        lambda rows: quality.quality_score(classify.keyword_labels(rows, B.RULES), B.RULES),
+        store_path, scratch_path(spark, "feed-rejects"), scratch_path(spark, "feed-state"), B.AS_OF,
+        config=B.CONFIG, rules=B.RULES,
+    ).awaitTermination()
+    stored = stream_ingest.read_stream_store(spark, store_path)
+    return stored.filter("url <> ''").select("url", "title", "source", "content_hash", "published_date", "image_url")
+
+
 @query
 def stream_source_metrics(spark, folder):
     docs = files.read_file_stream(spark, f"{folder}/documents.parquet", DOCUMENTS)

@@ -91,6 +91,40 @@ def rss_entries(items: Column) -> Column:
     return F.transform(items, _rss_entry).cast(ENTRY_TYPE)
 
 
+_RSS_FILE = "channel STRUCT<title: STRING, item: ARRAY<STRUCT<" + ", ".join(
+    f"{name}: {kind}" for name, kind in _RSS_FIELDS.items()) + ">>>, _corrupt_record STRING"
+
+
+def parse_files(files: DataFrame, kind: str = "rss") -> DataFrame:
+    """(path, source_rank, feed_title, entries, record) of whole feed files (path, value).
+
+    Works on a stream as well: a file is one row. A broken file, or one without the elements
+    of a feed, has its text in ``record`` and no entries. Feeds are ranked by a hash of the
+    path, as :func:`read_feeds` does without a table of feeds.
+    """
+    if kind not in ("rss", "atom"):
+        raise ValueError(f"unknown kind of feed: {kind}")
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE",
+               "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = files.withColumn(
+        "_feed", F.from_xml("value", _RSS_FILE if kind == "rss" else ATOM_SCHEMA, options))
+    if kind == "rss":
+        title, items = F.col("_feed.channel.title"), F.col("_feed.channel.item")
+        entries, empty = rss_entries(items), F.col("_feed.channel").isNull()
+    else:
+        title, items = F.col("_feed.title"), F.col("_feed.entry")
+        entries = F.transform(items, _atom_entry).cast(ENTRY_TYPE)
+        empty = title.isNull() & items.isNull()
+    broken = F.col("_feed").isNull() | F.col("_feed._corrupt_record").isNotNull() | empty
+    return parsed.select(
+        "path",
+        F.shiftrightunsigned(F.xxhash64("path"), 20).alias("source_rank"),
+        F.trim(title).alias("feed_title"),
+        F.when(~broken, F.coalesce(entries, F.array().cast(ENTRY_TYPE))).alias("entries"),
+        F.when(broken, F.col("value")).alias("record"),
+    )
+
+
 def _read(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     reader = (
         spark.read.format("xml")

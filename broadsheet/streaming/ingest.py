@@ -25,6 +25,28 @@ def read_stream_store(spark: SparkSession, path: str) -> DataFrame | None:
     return read_if_exists(spark, path, _STORED)
 
 
+def add_batch(
+    batch: DataFrame,
+    batch_id: int,
+    store_path: str,
+    as_of: datetime | str | Column,
+    buckets: int,
+    merge_every: int,
+    config: EngineConfig = DEFAULT_CONFIG,
+) -> None:
+    """Store the unknown articles of one micro-batch as its partition, and their keys."""
+    spark, index = batch.sparkSession, index_path(store_path)
+    _index_old_store(spark, store_path, buckets)
+    rows = materialize(to_store_rows(batch, as_of), "batch")
+    narrow = rows.select("seq", "url", "content_hash")
+    fresh = unknown_rows(spark, index, narrow, buckets, batch_id)
+    kept = kept_order_values(fresh, "url", "content_hash", "seq", config)
+    path = f"{store_path}/batch_id={batch_id}"
+    rows.join(kept, "seq", "left_semi").write.mode("overwrite").parquet(path)
+    add_keys(spark.read.schema(rows.schema).parquet(path), index, buckets, batch_id)
+    merge_full_tiers(spark, index, merge_every, batch_id + 1)
+
+
 def start_ingest(
     articles: DataFrame,
     store_path: str,
@@ -43,21 +65,9 @@ def start_ingest(
     ``buckets`` so that a batch of usual size meets a part of them, and keep it for the life
     of a store.
     """
-    index = index_path(store_path)
-
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        with scratch_scope(spark):
-            _index_old_store(spark, store_path, buckets)
-            rows = materialize(to_store_rows(batch, as_of), "batch")
-            narrow = rows.select("seq", "url", "content_hash")
-            fresh = unknown_rows(spark, index, narrow, buckets, batch_id)
-            kept = kept_order_values(fresh, "url", "content_hash", "seq", config)
-            path = f"{store_path}/batch_id={batch_id}"
-            rows.join(kept, "seq", "left_semi").write.mode("overwrite").parquet(path)
-            stored = spark.read.schema(rows.schema).parquet(path)
-            add_keys(stored, index, buckets, batch_id)
-            merge_full_tiers(spark, index, merge_every, batch_id + 1)
+        with scratch_scope(batch.sparkSession):
+            add_batch(batch, batch_id, store_path, as_of, buckets, merge_every, config)
 
     return (
         articles.writeStream.foreachBatch(store_batch)

@@ -535,6 +535,8 @@ ORACLE["full_run_telemetry"] = WITH + RUN + """ SELECT 'run-1' AS run_id, dd.url
  FROM gate g JOIN dd ON dd.seq = g.seq LEFT JOIN r ON r.seq = g.seq AND r.stage = CASE WHEN g.stage = 0 THEN 'classification' ELSE 'summary' END
  JOIN o ON o.seq = g.seq JOIN q ON q.seq = g.seq WHERE g.ok"""
 ORACLE["stream_ingest_store"] = WITH + S + " SELECT seq, url, source, category, quality_score, sha256(url || '|' || title) AS content_hash FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1"
+ORACLE["stream_feed_ingest"] = WITH + FEED.replace("PARTITION BY source_rank ORDER BY idx", "PARTITION BY feed_title, idx // 1000 ORDER BY idx") + """
+ SELECT url, title, source, sha256(url || '|' || title) AS content_hash, published_date, image_url FROM fa WHERE url <> ''"""
 ORACLE["stream_source_metrics"] = WITH + S + f""", w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, created_at) AS ws FROM s)
  SELECT ws AS window_start, ws + INTERVAL 6 HOUR AS window_end, source, count(*) AS articles, count(*) FILTER (eu_relevance >= 3) AS passed_relevance,
  {_mean('eu_relevance')} AS avg_eu_relevance, {_mean('quality_score')} AS avg_quality_score,

@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from broadsheet.config import EngineConfig
 from broadsheet.functions.text import article_hash
+from broadsheet.operators.classify import keyword_labels
 from broadsheet.operators.dedup import ordered_dedup
+from broadsheet.operators.ingest import entry_articles, feed_entries
+from broadsheet.operators.quality import quality_score
 from broadsheet.operators.runs import run_state
 from broadsheet.operators.store import store_upsert
 from broadsheet.plans import pipeline
 from broadsheet.plans.catalog import QUERIES
 from broadsheet.plans.pipeline import Tables, deduplicated, run_pipeline, score_articles
 from broadsheet.schemas import RESPONSE, RUN_STORE, SOURCE_METRIC, STORE, TELEMETRY
+from broadsheet.sources.feeds import read_feeds
 from broadsheet.sources.tables import read_table
 from broadsheet.streaming.dedup import unique_urls
+from broadsheet.streaming.feeds import read_feed_files, read_rejects, start_feed_ingest
 from broadsheet.streaming.files import drain, read_file_stream
 from broadsheet.streaming.ingest import read_stream_store, start_ingest
 from broadsheet.streaming.keys import add_keys, keys_of, known_in, merge_full_tiers, unknown_rows
@@ -232,6 +237,39 @@ def test_a_store_without_an_index_gets_one(spark, tmp_path):
     assert sorted(r.seq for r in stored.collect()) == sorted(r.seq for r in expected.collect())
 
 
+@pytest.mark.parametrize("kind", ["rss", "atom"])
+def test_streamed_feed_files_equal_the_batch(spark, tmp_path, kind):
+    """In batches of two files; a broken one and one that is no feed are kept apart."""
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    for k in range(5):
+        if kind == "rss":
+            items = "".join(f"<item><title>T{k}-{j}</title><link>http://x/{k}/{j}</link><description>d</description></item>" for j in range(4))
+            text = f"<?xml version='1.0'?><rss version='2.0'><channel><title>Feed {k}</title>{items}</channel></rss>"
+        else:
+            items = "".join(f"<entry><title>T{k}-{j}</title><link href='http://x/{k}/{j}'/><summary>d</summary></entry>" for j in range(4))
+            text = f"<feed xmlns='http://www.w3.org/2005/Atom'><title>Feed {k}</title>{items}</feed>"
+        (folder / f"f{k}.xml").write_text(text)
+    (folder / "broken.xml").write_text("<rss><channel><title>cut")
+    (folder / "other.xml").write_text("<html><body>no feed</body></html>")
+    pages = spark.createDataFrame([], "url string, page_text string, page_image string")
+    config = EngineConfig(per_source_limit=3)
+    score = lambda rows: quality_score(keyword_labels(rows))
+    start_feed_ingest(
+        read_feed_files(spark, str(folder), 2), pages, score, str(tmp_path / "store"), str(tmp_path / "rejects"),
+        str(tmp_path / "cp"), NOW, kind, buckets=4, config=config,
+    ).awaitTermination()
+    stored = read_stream_store(spark, str(tmp_path / "store")).collect()
+    assert len({r.batch_id for r in stored}) > 1
+    rejects = read_rejects(spark, str(tmp_path / "rejects")).collect()
+    assert sorted(r.path.rsplit("/")[-1] for r in rejects) == ["broken.xml", "other.xml"]
+    whole, _ = read_feeds(spark, str(folder), kind=kind)
+    batch = entry_articles(feed_entries(whole), pages, NOW, config)
+    expected = {(f"http://x/{k}/{j}", f"T{k}-{j}", f"Feed {k}") for k in range(5) for j in range(3)}
+    assert {(r.url, r.title, r.source) for r in stored} == expected
+    assert {(r.url, r.title, r.source) for r in batch.collect() if r.url} == expected
+
+
 def test_stream_metrics_equal_batch(spark, tmp_path):
     whole = _stream_files(spark, tmp_path).withColumn("ts", F.col("published_date").cast("timestamp"))
     stream = _source(spark, tmp_path).withColumn("ts", F.col("published_date").cast("timestamp"))
