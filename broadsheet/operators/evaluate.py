@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import blank, preview
+from broadsheet.operators.budget import total_before
 from broadsheet.schemas import EVAL_CLASSES
 from broadsheet.session import materialize
 
@@ -17,6 +18,36 @@ def sample_key(seed: int):
     return F.md5(F.concat(F.lit(str(seed)), F.col("url")))
 
 
+# hex digits of a key that make its bin: 4,096 bins
+BIN_DIGITS = 3
+
+
+def smallest(rows: DataFrame, order: str, wanted: DataFrame | int, group: str | None = None) -> DataFrame:
+    """Of each group's rows the first ones by (``_key``, ``order``).
+
+    ``_key`` is a hex hash. ``wanted`` says how many rows, as a number or as (group, _n).
+    A histogram of the keys' first digits tells which bins are taken whole and which one is
+    cut; only rows of that one are ranked, by ranges of the order, so neither a large ``_n``
+    nor a large group is sorted in one place. ``rows`` should be a written table.
+    """
+    by = [group] if group else []
+    if isinstance(wanted, int):
+        wanted = rows.sparkSession.range(1).select(F.lit(wanted).cast("bigint").alias("_n"))
+    binned = rows.withColumn("_bin", F.substring("_key", 1, BIN_DIGITS))
+    upto = F.sum("_count").over(W.partitionBy(*by).orderBy("_bin"))  # a row per bin
+    bins = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_count")).withColumn("_upto", upto)
+    bins = bins.join(wanted, by) if by else bins.crossJoin(F.broadcast(wanted))  # one row
+    below = F.col("_upto") - F.col("_count")
+    bins = bins.filter(below < F.col("_n")).select(
+        *by, "_bin", (F.col("_n") - below).alias("_need"), (F.col("_upto") > F.col("_n")).alias("_cut"))
+    met = binned.join(bins, [*by, "_bin"])
+    ranked = total_before(
+        met.filter("_cut").select(order, *by, "_key", "_need"), F.lit(1), by, ["_key", order], "_rank")
+    first = ranked.filter("_rank < _need").select(order)
+    return met.filter("NOT _cut").select(rows.columns).unionByName(
+        rows.join(first, order, "left_semi"))
+
+
 def stratified_sample(
     articles: DataFrame,
     n: int,
@@ -31,62 +62,43 @@ def stratified_sample(
     many are cut, missing ones are filled up from the rest, and long articles are
     swapped for short ones until the share is met or the supply ends.
 
-    Only the keys travel. Whatever the input, at most ``n`` rows per source leave a
-    partition, and the steps after the quota look at no more than a few times ``n`` rows.
+    Only the keys travel, and every cut is made by :func:`smallest`, so ``n`` may be of any
+    size. An article without a source is taken only to fill up.
     """
     if n < 1:
         raise ValueError("n must be positive")
     is_short = F.coalesce(F.length("content"), F.lit(0)) < short_chars
     keys = articles.select(order, "source", sample_key(seed).alias("_key"), is_short.alias("_short"))
     # the lengths of all texts are taken once
-    keys = materialize(keys, "sample-keys")
-    by_key = [F.col("_key"), F.col(order)]
+    keys = materialize(keys.withColumn("_key", F.coalesce("_key", F.lit("g"))), "sample-keys")
 
     sizes = keys.groupBy("source").agg(F.count("*").alias("_size"))
     total = sizes.agg(F.sum("_size").alias("_total")).scalar()
-    quota = F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / total, 0).cast("int"))
-    quotas = sizes.select("source", quota.alias("_quota"))
-    place = F.row_number().over(W.partitionBy("source").orderBy(*by_key))
-    # no quota exceeds n, so this first cut is exact and is pushed below the shuffle
-    picked = (
-        keys.withColumn("_place", place)
-        .filter(F.col("_place") <= n)
-        .join(quotas, "source")
-        .filter(F.col("_place") <= F.col("_quota"))
-        .select(order, "_key", "_short", F.lit(0).alias("_rest"))
-    )
-    columns = [order, "_key", "_short", F.lit(1).alias("_rest")]
-    # of the 2n first rows at most n are picked or in the sample, which leaves n others
-    spare = keys.orderBy(*by_key).limit(2 * n).select(*columns)
-    spare_short = keys.filter("_short").orderBy(*by_key).limit(2 * n).select(*columns)
-
-    pool = (
-        picked.orderBy(*by_key).limit(n)
-        .unionByName(spare)
-        .unionByName(spare_short)
-        .groupBy(order)
-        .agg(F.min("_key").alias("_key"), F.first("_short").alias("_short"), F.min("_rest").alias("_rest"))
-    )
-    # "pool" holds at most 5n rows: windows over all of it are small
-    everything = W.orderBy("_rest", *by_key)
-    pool = pool.withColumn("_in", F.row_number().over(everything) <= n)
-    up = W.partitionBy("_in", "_short").orderBy(F.col("_key"), F.col(order))
-    down = W.partitionBy("_in", "_short").orderBy(F.col("_key").desc(), F.col(order).desc())
-    whole = W.partitionBy(F.lit(0))
-    missing = F.floor(F.lit(n * short_share)) - F.sum(F.when(F.col("_in") & F.col("_short"), 1).otherwise(0)).over(whole)
-    supply = F.sum(F.when(~F.col("_in") & F.col("_short"), 1).otherwise(0)).over(whole)
-    long_in = F.sum(F.when(F.col("_in") & ~F.col("_short"), 1).otherwise(0)).over(whole)
-    swaps = F.greatest(F.lit(0), F.least(missing, supply, long_in))
-    pool = pool.withColumns(
-        {"_swaps": swaps, "_up": F.row_number().over(up), "_down": F.row_number().over(down)}
-    )
-    chosen = pool.filter(
-        F.when(F.col("_in"), F.col("_short") | (F.col("_down") > F.col("_swaps"))).otherwise(
-            F.col("_short") & (F.col("_up") <= F.col("_swaps"))
+    quota = F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / total, 0).cast("bigint"))
+    quotas = sizes.filter("source IS NOT NULL").select("source", quota.alias("_n"))
+    picked = materialize(smallest(keys, order, quotas, "source"), "sample-picked")
+    found = picked.count()
+    if found > n:
+        taken = smallest(picked, order, n)
+    else:
+        rest = materialize(keys.join(picked.select(order), order, "left_anti"), "sample-rest")
+        taken = picked.unionByName(smallest(rest, order, n - found)) if found < n else picked
+    taken = materialize(taken, "sample-taken")
+
+    row = taken.agg(F.count_if("_short").alias("short"), F.count_if(~F.col("_short")).alias("long")).first()
+    missing = int(n * short_share // 1) - row.short
+    others = materialize(
+        keys.filter("_short").join(taken.select(order), order, "left_anti"), "sample-short"
+    ) if missing > 0 else None
+    swaps = max(0, min(missing, others.count(), row.long)) if others is not None else 0
+    if swaps:
+        long_ones = materialize(taken.filter("NOT _short"), "sample-long")
+        taken = (
+            taken.filter("_short").unionByName(smallest(long_ones, order, row.long - swaps))
+            .unionByName(smallest(others, order, swaps))
         )
-    )
-    # never more than n rows
-    return articles.join(F.broadcast(chosen.select(order)), order, "left_semi")
+    # written, so that its real size decides the kind of join
+    return articles.join(materialize(taken.select(order), "sample-chosen"), order, "left_semi")
 
 
 def sample_remainder(articles: DataFrame, sample: DataFrame, order: str = "seq") -> DataFrame:

@@ -232,3 +232,45 @@ def test_upsert_knows_articles_by_either_key(spark):
     rows = store.store_upsert(articles, known, "2024-01-01 00:00:00")
     assert sorted(r.seq for r in rows.collect()) == [1, 3, 5]
     assert sorted(r.seq for r in store.store_upsert(articles, None, "2024-01-01 00:00:00").collect()) == [1, 3, 4, 5]
+
+
+def _plain_sample(rows, n, share=0.3, short=500):
+    import hashlib
+
+    keyed = [(hashlib.md5(f"42{u}".encode()).hexdigest(), i, s, len(c or "") < short) for i, u, s, c in rows]
+    by_source = {}
+    for r in sorted(keyed):
+        by_source.setdefault(r[2], []).append(r)
+    picked = []
+    for source, own in by_source.items():
+        if source is not None:
+            picked += own[:max(1, round(n * len(own) / len(rows)))]
+    taken = sorted(picked)[:n]
+    taken += sorted(set(keyed) - set(taken))[:n - len(taken)]
+    out = sorted(set(keyed) - set(taken))
+    short_out, long_in = [r for r in out if r[3]], sorted(r for r in taken if not r[3])
+    swaps = max(0, min(int(n * share) - sum(r[3] for r in taken), len(short_out), len(long_in)))
+    kept = [r for r in taken if r[3]] + long_in[:len(long_in) - swaps] + short_out[:swaps]
+    return sorted(r[1] for r in kept)
+
+
+@pytest.mark.parametrize("n", [1, 7, 60, 299, 300, 500])
+def test_sample_equals_a_plain_one(spark, n):
+    import random
+
+    r = random.Random(n)
+    rows = [(i, f"u{i % 150}", r.choice(["a"] * 12 + ["b", "c", "d", None]), "x" * r.choice([10, 600, 700, 800]))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, url string, source string, content string")
+    found = sorted(x.seq for x in evaluate.stratified_sample(df, n).collect())
+    assert found == _plain_sample(rows, n)
+
+
+def test_a_cut_by_key_ranks_one_bin_only(spark):
+    """No sort of everything, no window over all rows."""
+    keys = spark.range(5000).selectExpr("id AS seq", "md5(cast(id AS string)) AS _key")
+    out = evaluate.smallest(keys, "seq", 1234)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan and "Sort [" not in plan
+    expected = sorted((r._key, r.seq) for r in keys.collect())[:1234]
+    assert sorted((r._key, r.seq) for r in out.collect()) == expected
