@@ -92,3 +92,11 @@ def sweep_stuck_runs(
             ),
         }
     ).drop("_stuck")
+
+
+def sweep_events(states: DataFrame, as_of: datetime | str | Column, minutes: int) -> DataFrame:
+    """The events that fail stuck runs, to append to the log; nothing is rewritten."""
+    return stuck_runs(states, as_of, minutes).select(
+        "id", timestamp(as_of).alias("event_time"), F.lit("failed").alias("status"), "job_type",
+        "result_count", F.lit("timeout_cleanup").alias("error_message"),
+    )

@@ -1,13 +1,15 @@
 """The article store: upsert, schema alignment and clean-up jobs.
 
-Stores are plain parquet tables, so an update is a projection written to a new path.
+Stores are plain parquet tables; clean-up jobs are projections, which :func:`update_store`
+applies in place to the partitions they change.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,9 @@ from broadsheet.functions.text import content_hash, falsy_to_null, preview
 from broadsheet.operators.budget import total_before
 from broadsheet.operators.dedup import new_rows
 from broadsheet.operators.ingest import normalize_source, timestamp
+from broadsheet.schemas import RUN_STORE
+from broadsheet.session import materialize
+from broadsheet.sources.tables import read_table
 
 
 def store_recent(store: DataFrame, limit: int = 0) -> DataFrame:
@@ -181,3 +186,31 @@ def apply_reclassification(store: DataFrame, labels: DataFrame, apply: bool = Fa
         "confidence": pick("confidence", relabelled),
     }
     return joined.select(*[replaced.get(c, F.col(c)) for c in store.columns])
+
+
+def update_store(
+    spark: SparkSession,
+    path: str,
+    update: Callable[[DataFrame], DataFrame],
+    schema: str = RUN_STORE,
+    partition: str = "run_id",
+) -> list[str]:
+    """Update a partitioned store in place; returns the partitions that were written anew.
+
+    ``update`` maps store rows to store rows, one to one, and keeps columns it doesn't know, as
+    all clean-up jobs of this module do. A first pass finds the partitions with a row that it
+    changes; only these are read again, updated, written to the shared folder and then put in
+    place of the old ones. All other files stay as they are. The update should give the same
+    rows when it is run again, so that a job that failed half-way can be repeated.
+    """
+    store = read_table(spark, path, schema)
+    content = F.xxhash64(*[F.col(c) for c in store.columns])
+    marked = update(store.withColumn("_before", content))
+    changed = marked.filter(content != F.col("_before"))
+    touched = sorted(r[0] for r in changed.select(partition).distinct().collect())  # partitions
+    if touched:
+        rows = read_table(spark, path, schema).filter(F.col(partition).isin(touched))
+        new = materialize(update(rows).select(store.columns), "updated")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            partition).parquet(path)
+    return touched

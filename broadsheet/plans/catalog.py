@@ -838,6 +838,18 @@ def apply_reclassification(spark, folder):
     return store.apply_reclassification(rows, _new_labels(spark, folder), apply=True)
 
 
+@query
+def store_update(spark, folder):
+    """A reclassification of a written store in place, partition by partition."""
+    path = scratch_path(spark, "updated-store")
+    rows = B.store(spark, folder).withColumn("run_id", F.concat(F.lit("run-"), F.col("id") % 7))
+    rows.write.partitionBy("run_id").parquet(path)
+    labels = materialize(_new_labels(spark, folder), "new-labels")
+    store.update_store(spark, path, lambda s: store.apply_reclassification(s, labels, apply=True))
+    return tables.read_table(spark, path, RUN_STORE).select(
+        "id", "title", "category", "country", "eu_relevance", "confidence", "run_id")
+
+
 @query
 def normalize_store_sources(spark, folder):
     rows = B.articles(spark, folder, alias=False).select("seq", "url", "source")
@@ -851,6 +863,12 @@ def sweep_stuck_runs(spark, folder):
     return swept.select("id", "status", "completed_at", "error_message")
 
 
+@query
+def sweep_events(spark, folder):
+    states = runs.run_state(B.run_events(spark, folder), ["event_id"])
+    return runs.sweep_events(states, B.AS_OF, B.CONFIG.stuck_minutes)
+
+
 @query
 def compare_labelers(spark, folder):
     return classify.compare_labelers(_with_response(spark, folder), B.RULES)

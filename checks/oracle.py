@@ -378,6 +378,8 @@ ORACLE["articles_by_id"] = WITH + ST + f" SELECT {PAGE} FROM st WHERE id IN (SEL
 ORACLE["run_state"] = WITH + RUNS + " SELECT * FROM states"
 STUCK = "status = 'running' AND started_at < TIMESTAMP '2024-03-01' - INTERVAL 30 MINUTE"
 ORACLE["stuck_runs"] = WITH + RUNS + f" SELECT id, status, started_at FROM states WHERE {STUCK}"
+ORACLE["sweep_events"] = WITH + RUNS + f""" SELECT id, TIMESTAMP '2024-03-01' AS event_time, 'failed' AS status, job_type, result_count, 'timeout_cleanup' AS error_message
+ FROM states WHERE {STUCK}"""
 ORACLE["sweep_stuck_runs"] = WITH + RUNS + f""" SELECT id, CASE WHEN {STUCK} THEN 'failed' ELSE status END AS status,
  CASE WHEN {STUCK} THEN TIMESTAMP '2024-03-01' ELSE completed_at END AS completed_at,
  CASE WHEN {STUCK} THEN 'timeout_cleanup' ELSE error_message END AS error_message FROM states"""
@@ -483,6 +485,7 @@ ORACLE["apply_reclassification"] = WITH + RECLASS + f""" SELECT st.id, st.title,
  CASE WHEN o.seq IS NOT NULL AND {CHANGED} THEN o.eu_relevance ELSE st.eu_relevance END AS eu_relevance,
  CASE WHEN o.seq IS NOT NULL THEN o.confidence ELSE st.confidence END AS confidence
  FROM st LEFT JOIN (SELECT * FROM o WHERE valid) o ON o.seq = st.id"""
+ORACLE["store_update"] = "SELECT *, 'run-' || (id % 7)::varchar AS run_id FROM (" + ORACLE["apply_reclassification"] + ")"
 ORACLE["normalize_store_sources"] = WITH + A + " SELECT seq, url, source FROM a"
 ORACLE["classification_summary"] = WITH + OUTCOME + """ SELECT count(*) AS classified, count(*) FILTER (seq % 4 <> 3 AND status = 'ok') AS calls_ok,
  count(*) FILTER (seq % 4 <> 3 AND status <> 'ok') AS calls_failed, count(*) FILTER (seq % 4 = 3) AS budget_skipped, 0::bigint AS keyword_only FROM o"""

@@ -274,3 +274,35 @@ def test_a_cut_by_key_ranks_one_bin_only(spark):
     assert "GlobalLimit" not in plan and "Sort [" not in plan
     expected = sorted((r._key, r.seq) for r in keys.collect())[:1234]
     assert sorted((r._key, r.seq) for r in out.collect()) == expected
+
+
+def test_updates_leave_untouched_files_alone(spark, tmp_path):
+    """Only partitions with a changed row are written anew; running it again changes nothing."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "store")
+    rows = _store(spark, [
+        {"category": "country", "title": "AI startup"}, {"category": "policy", "source": "https://sifted.eu"},
+        {"category": "policy"}, {"category": "research", "eu": 1.0}, {"category": "industry"},
+    ]).withColumn("run_id", F.concat(F.lit("r"), F.col("id")))
+    rows.write.partitionBy("run_id").parquet(path)
+
+    def files():
+        return {f.parent.name + "/" + f.name for f in (tmp_path / "store").glob("run_id=*/part-*")}
+
+    labels = spark.createDataFrame(
+        [(4, "startups", "France", 9.0, 0.9), (5, "industry", None, 0.0, None)],
+        "id long, new_category string, new_country string, new_eu_relevance double, new_confidence double")
+    before = files()
+    for touched, update in (
+        (["r1"], store.fix_country_categories), (["r2"], store.normalize_store_sources),
+        (["r4"], lambda s: store.apply_reclassification(s, labels, apply=True)),
+    ):
+        assert store.update_store(spark, path, update) == touched
+        after = files()
+        assert {f.split("/")[0] for f in before ^ after} == {f"run_id={t}" for t in touched}
+        assert store.update_store(spark, path, update) == [] and files() == after
+        before = after
+    found = {r.id: r for r in spark.read.parquet(path).collect()}
+    assert len(found) == 5 and found[1].category != "country" and found[2].source == "Sifted"
+    assert (found[4].category, found[4].country, found[4].eu_relevance, found[4].confidence) == ("startups", "France", 9.0, 0.9)
