@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -202,14 +202,94 @@ def flat_column(table: pa.Table, name: str) -> np.ndarray:
     )
 
 
-def by_bucket(
-    owner: np.ndarray, value: np.ndarray, buckets: int, name: str, kind: pa.DataType
+# --- an exchange of arrays ------------------------------------------------------------------
+
+# Into how many slices a task deals out what it has at once.
+FAN = 256
+REFINED_VALUES = 4_000_000
+
+
+def homes_of(owner: np.ndarray, slices: int) -> np.ndarray:
+    return (mix(owner.view(np.uint64)) % np.uint64(slices)).astype(np.int64)
+
+
+def addressed(
+    home: np.ndarray, slices: int, columns: dict[str, tuple[np.ndarray, pa.DataType]], salt: int,
+    fan: int = FAN,
 ) -> pa.Table:
-    """One row per bucket of owners, so that what slices send back is few rows."""
-    home = (mix(owner.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    """Values with the slice each goes to, as rows for :func:`exchange`: one row per slice, or
+    per range of slices if there are more than ``fan``, and none where nothing goes."""
     order = np.argsort(home, kind="stable")
+    home, per = home[order], -(-slices // fan)
+    met, begin = np.unique(home // per, return_index=True)
+    cuts = pa.array(np.append(begin, len(home)), pa.int32())
+    exact = home if per > 1 else home[:0]
     return pa.table({
-        "bucket": pa.array(np.arange(buckets), pa.int32()),
-        "owners": lists_of(owner[order], home, buckets, pa.int64()),
-        name: lists_of(value[order], home, buckets, kind),
+        "slice": pa.array(met, pa.int32()),
+        "salt": pa.array(np.full(len(met), salt % 2**20), pa.int32()),
+        "homes": pa.ListArray.from_arrays(
+            cuts if per > 1 else pa.array(np.zeros(len(met) + 1), pa.int32()),
+            pa.array(exact, pa.int32())),
+        **{name: pa.ListArray.from_arrays(cuts, pa.array(values[order], kind))
+           for name, (values, kind) in columns.items()},
     })
+
+
+def address_ddl(columns: str) -> str:
+    return "slice int, salt int, homes array<int>, " + columns
+
+
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ranges of slices, sorted by range, as rows of single slices."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        home = flat_column(table, "homes")
+        order = np.argsort(home, kind="stable")
+        met, begin = np.unique(home[order], return_index=True)
+        cuts = pa.array(np.append(begin, len(home)), pa.int32())
+        none = pa.ListArray.from_arrays(
+            pa.array(np.zeros(len(met) + 1), pa.int32()), pa.array([], pa.int32()))
+        arrays = [pa.array(met, pa.int32()), pa.array(np.zeros(len(met)), pa.int32()), none]
+        for name in table.column_names[3:]:
+            kind = table.schema.field(name).type.value_type
+            values = flat_column(table, name)[order]
+            arrays.append(pa.ListArray.from_arrays(cuts, pa.array(values, kind)))
+        return pa.RecordBatch.from_arrays(arrays, names=table.column_names)
+
+    for batch in batches:
+        place = batch.column(0)
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            if held and (held[0].column(0)[0] != place[k] or size >= REFINED_VALUES):
+                yield rows()
+                held, size = [], 0
+            held.append(row)
+            size += len(row.column(2).flatten())
+    if held:
+        yield rows()
+
+
+def exchange(
+    sent: DataFrame, slices: int, gather: Callable[[pa.Table], pa.Table], schema: str,
+    fan: int = FAN,
+) -> DataFrame:
+    """``gather`` over the rows of :func:`addressed` of each slice.
+
+    Up to ``fan`` slices, that is one grouping. Beyond, rows go to ranges of slices first and
+    are cut up there, by as many tasks per range as its slices call for; a task then has many
+    rows for each of its slices at once. So a task never makes a row per slice of the whole
+    table, and the rows of the first step grow with the input alone, those of the second with
+    slices * (slices / fan / 8), in place of the square.
+    """
+    per = -(-slices // fan)
+    if per > 1:
+        salts = -(-per // 8)
+        sent = (
+            sent.withColumn("salt", F.pmod("salt", F.lit(salts)).cast("int"))
+            .repartition(shuffle_width(sent.sparkSession), "slice", "salt")
+            .sortWithinPartitions("slice").mapInArrow(_refine, sent.schema)
+        )
+    return sent.groupBy("slice").applyInArrow(gather, schema)

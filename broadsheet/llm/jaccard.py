@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import (
-    LOWER, by_bucket, components, flat_column, gram_hashes, lists_of, mix, running_total,
-    slices_for, small, text_pieces, word_hashes,
+    FAN, LOWER, address_ddl, addressed, components, exchange, flat_column, gram_hashes, homes_of, mix,
+    running_total, slices_for, small, text_pieces, word_hashes,
 )
 from broadsheet.session import materialize
 
@@ -72,23 +72,23 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 def _shared(docs: DataFrame, size: int, slices: int) -> DataFrame:
     """key, shared: how many of a set's sampled n-grams another set has too.
 
-    N-grams travel as arrays, one row per piece of a task's texts and slice of the hash range,
+    N-grams travel as arrays, rows of a piece of a task's texts for a slice of the hash range,
     so a row is small and no key, however frequent, is a partition of its own.
     """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for b in batches:
             texts = b.column(0).to_pylist()
             held, owners, total, known = [], [], 0, set()
 
-            def rows() -> pa.RecordBatch:
+            def rows() -> list[pa.RecordBatch]:
+                nonlocal number
                 keys, own = np.concatenate(held), np.concatenate(owners)
                 home = ((keys >> np.uint64(20)) % np.uint64(slices)).astype(np.int64)
-                order = np.argsort(home, kind="stable")
-                return pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(slices), pa.int32()),
-                    lists_of(keys[order].view(np.int64), home, slices, pa.int64()),
-                    lists_of(own[order], home, slices, pa.int64()),
-                ], names=["slice", "keys", "owners"])
+                number += 1
+                return addressed(home, slices, {
+                    "keys": (keys.view(np.int64), pa.int64()), "owners": (own, pa.int64()),
+                }, number, FAN).combine_chunks().to_batches()
 
             for _, g in gram_sets(texts, texts, size):
                 i = set_key(g)
@@ -99,10 +99,10 @@ def _shared(docs: DataFrame, size: int, slices: int) -> DataFrame:
                 owners.append(np.full(len(held[-1]), i, dtype=np.int64))
                 total += len(held[-1])
                 if total >= 500_000:
-                    yield rows()
+                    yield from rows()
                     held, owners, total = [], [], 0
             if total:
-                yield rows()
+                yield from rows()
 
     def count(table: pa.Table) -> pa.Table:
         keys, owners = flat_column(table, "keys").view(np.uint64), flat_column(table, "owners")
@@ -116,7 +116,9 @@ def _shared(docs: DataFrame, size: int, slices: int) -> DataFrame:
         hit[1:] |= same
         hit[:-1] |= same
         ids, times = np.unique(owners[hit], return_counts=True)
-        return by_bucket(ids, times, slices, "shared", pa.int64())
+        return addressed(homes_of(ids, slices), slices, {
+            "owners": (ids, pa.int64()), "shared": (times, pa.int64()),
+        }, int(table.column("slice")[0].as_py()), FAN)
 
     def add(table: pa.Table) -> pa.Table:
         ids, place = np.unique(flat_column(table, "owners"), return_inverse=True)
@@ -124,11 +126,10 @@ def _shared(docs: DataFrame, size: int, slices: int) -> DataFrame:
         return pa.table({"key": ids, "shared": shared})
 
     sent = docs.select("text").mapInArrow(
-        send, "slice int, keys array<long>, owners array<long>")
-    counted = sent.groupBy("slice").applyInArrow(
-        count, "bucket int, owners array<long>, shared array<long>"
-    )
-    return counted.groupBy("bucket").applyInArrow(add, "key long, shared long")
+        send, address_ddl("keys array<long>, owners array<long>"))
+    counted = exchange(
+        sent, slices, count, address_ddl("owners array<long>, shared array<long>"), FAN)
+    return exchange(counted, slices, add, "key long, shared long", FAN)
 
 
 class Trie:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import (
-    _powers, by_bucket, flat_column, lists_of, mix, slices_for, text_pieces, word_hashes,
+    FAN, _powers, address_ddl, addressed, exchange, flat_column, homes_of, lists_of, mix, slices_for,
+    text_pieces, word_hashes,
 )
 from broadsheet.session import materialize
 
@@ -156,8 +157,10 @@ class Parse:
         return np.union1d(np.flatnonzero(both), self.alone[among(self.alone_key, self.alone)])
 
 
-def _per_owner(sent: DataFrame, name: str, kind: pa.DataType, ddl: str) -> DataFrame:
-    """rk and the list of all its values, from the rows of :func:`by_bucket`."""
+def _per_owner(
+    sent: DataFrame, slices: int, name: str, kind: pa.DataType, ddl: str
+) -> DataFrame:
+    """rk and the list of all its values, from rows with owners and values."""
 
     def merge(table: pa.Table) -> pa.Table:
         owner, value = flat_column(table, "owners"), flat_column(table, name)
@@ -168,7 +171,7 @@ def _per_owner(sent: DataFrame, name: str, kind: pa.DataType, ddl: str) -> DataF
             name: lists_of(value[order], group, len(owners), kind),
         })
 
-    return sent.groupBy("bucket").applyInArrow(merge, f"rk long, {name} array<{ddl}>")
+    return exchange(sent, slices, merge, f"rk long, {name} array<{ddl}>", FAN)
 
 
 def _in_slices(key: np.ndarray, slices: int) -> np.ndarray:
@@ -182,11 +185,8 @@ def _repeated_marks(rows: DataFrame, size: int, slices: int) -> DataFrame:
     one of the equal marks travels on, so a stretch that a third of all texts hold is met once
     per piece where its hash is gathered.
     """
-    schema = ("slice int, keys array<long>, owners array<long>, sure_keys array<long>, "
-              "sure_owners array<long>")
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece_number = 0
+        number = 0
         for b in batches:
             for rks, piece in text_pieces(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 key, text = Parse(Words(piece), size).marks()
@@ -196,34 +196,32 @@ def _repeated_marks(rows: DataFrame, size: int, slices: int) -> DataFrame:
                 new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
                 times = np.diff(np.append(np.flatnonzero(new), len(key)))
                 sure = np.repeat(times > 1, times)
-                home = _in_slices(key[new], slices)
-                order = np.argsort(home, kind="stable")
                 # what is settled goes anywhere, by turns
-                turn = np.full(int(sure.sum()), piece_number % slices)
-                piece_number += 1
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(slices), pa.int32()),
-                    lists_of(key[new][order].view(np.int64), home, slices, pa.int64()),
-                    lists_of(owner[new][order], home, slices, pa.int64()),
-                    lists_of(key[sure].view(np.int64), turn, slices, pa.int64()),
-                    lists_of(owner[sure], turn, slices, pa.int64()),
-                ], names=["slice", "keys", "owners", "sure_keys", "sure_owners"])
+                home = np.append(_in_slices(key[new], slices), np.full(sure.sum(), number % slices))
+                number += 1
+                yield from addressed(home, slices, {
+                    "keys": (np.append(key[new], key[sure]).view(np.int64), pa.int64()),
+                    "owners": (np.append(owner[new], owner[sure]), pa.int64()),
+                    "sure": (np.repeat([0, 1], [new.sum(), sure.sum()]), pa.int8()),
+                }, number, FAN).combine_chunks().to_batches()
 
     def gather(table: pa.Table) -> pa.Table:
         key, owner = flat_column(table, "keys"), flat_column(table, "owners")
-        ordered = np.sort(key)
+        sure = flat_column(table, "sure") > 0
+        ordered = np.sort(key[~sure])
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         at = np.searchsorted(again, key)
         hit = again[np.minimum(at, len(again) - 1)] == key if len(again) else np.zeros(len(key), bool)
-        return by_bucket(
-            np.concatenate([owner[hit], flat_column(table, "sure_owners")]),
-            np.concatenate([key[hit], flat_column(table, "sure_keys")]), slices, "keys", pa.int64(),
-        )
+        hit |= sure
+        return addressed(homes_of(owner[hit], slices), slices, {
+            "owners": (owner[hit], pa.int64()), "keys": (key[hit], pa.int64()),
+        }, int(table.column("slice")[0].as_py()), FAN)
 
-    sent = rows.mapInArrow(send, schema).groupBy("slice").applyInArrow(
-        gather, "bucket int, owners array<long>, keys array<long>"
-    )
-    return _per_owner(sent, "keys", pa.int64(), "long")
+    sent = rows.mapInArrow(
+        send, address_ddl("keys array<long>, owners array<long>, sure array<tinyint>"))
+    found = exchange(
+        sent, slices, gather, address_ddl("owners array<long>, keys array<long>"), FAN)
+    return _per_owner(found, slices, "keys", pa.int64(), "long")
 
 
 def _later_windows(rows: DataFrame, size: int, slices: int) -> DataFrame:
@@ -232,9 +230,6 @@ def _later_windows(rows: DataFrame, size: int, slices: int) -> DataFrame:
     ``rows`` has rk, doc_id, text and the text's repeated marks. Candidate windows are compared
     by a hash of all their words, within a piece first, then everywhere.
     """
-    schema = ("slice int, keys array<long>, docs array<long>, starts array<int>, "
-              "owners array<long>, later_owners array<long>, later_starts array<int>")
-
     def after_first(key, doc, start, rk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order by key and place; there, the rows at each key's first place, one per text,
         and what comes after it."""
@@ -264,33 +259,36 @@ def _later_windows(rows: DataFrame, size: int, slices: int) -> DataFrame:
                 start = (at - parse.words.before[text]).astype(np.int32)
                 order, new, later = after_first(key, doc, start, rk)
                 key, doc, rk, start = key[order], doc[order], rk[order], start[order]
-                home = _in_slices(key[new], slices)
-                by = np.argsort(home, kind="stable")
-                turn = np.full(int(later.sum()), number % slices)
+                # what is later for sure goes anywhere, by turns, and needs no more than its place
+                n, late = int(new.sum()), int(later.sum())
+                home = np.append(_in_slices(key[new], slices), np.full(late, number % slices))
+                nothing = np.zeros(late, dtype=np.int64)
                 number += 1
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(slices), pa.int32()),
-                    lists_of(key[new][by].view(np.int64), home, slices, pa.int64()),
-                    lists_of(doc[new][by], home, slices, pa.int64()),
-                    lists_of(start[new][by], home, slices, pa.int32()),
-                    lists_of(rk[new][by], home, slices, pa.int64()),
-                    lists_of(rk[later], turn, slices, pa.int64()),
-                    lists_of(start[later], turn, slices, pa.int32()),
-                ], names=[c.strip().split(" ")[0] for c in schema.split(",")])
+                yield from addressed(home, slices, {
+                    "keys": (np.append(key[new].view(np.int64), nothing), pa.int64()),
+                    "docs": (np.append(doc[new], nothing), pa.int64()),
+                    "starts": (np.append(start[new], start[later]), pa.int32()),
+                    "owners": (np.append(rk[new], rk[later]), pa.int64()),
+                    "late": (np.repeat([0, 1], [n, late]), pa.int8()),
+                }, number, FAN).combine_chunks().to_batches()
 
     def gather(table: pa.Table) -> pa.Table:
-        key, doc, start = (flat_column(table, c) for c in ("keys", "docs", "starts"))
-        order, _, later = after_first(key, doc, start, flat_column(table, "owners"))
-        return by_bucket(
-            np.concatenate([flat_column(table, "owners")[order][later], flat_column(table, "later_owners")]),
-            np.concatenate([start[order][later], flat_column(table, "later_starts")]),
-            slices, "starts", pa.int32(),
-        )
-
-    sent = rows.mapInArrow(send, schema).groupBy("slice").applyInArrow(
-        gather, "bucket int, owners array<long>, starts array<int>"
-    )
-    return _per_owner(sent, "starts", pa.int32(), "int")
+        key, doc, start, owner = (
+            flat_column(table, c) for c in ("keys", "docs", "starts", "owners"))
+        late = flat_column(table, "late") > 0
+        asked = np.flatnonzero(~late)
+        order, _, later = after_first(key[asked], doc[asked], start[asked], owner[asked])
+        late[asked[order[later]]] = True
+        return addressed(homes_of(owner[late], slices), slices, {
+            "owners": (owner[late], pa.int64()), "starts": (start[late], pa.int32()),
+        }, int(table.column("slice")[0].as_py()), FAN)
+
+    sent = rows.mapInArrow(send, address_ddl(
+        "keys array<long>, docs array<long>, starts array<int>, owners array<long>, "
+        "late array<tinyint>"))
+    found = exchange(
+        sent, slices, gather, address_ddl("owners array<long>, starts array<int>"), FAN)
+    return _per_owner(found, slices, "starts", pa.int32(), "int")
 
 
 def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:

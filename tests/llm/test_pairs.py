@@ -59,9 +59,11 @@ def brute_links(rows, size, percent):
     return {i: (len(sets[i]), len(links[i]), root[i]) for i in ids}
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1_000_000), (2, 150)])
-def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,per_slice,fan", [(1, 1_000_000, 800_000, 256), (2, 150, 200, 2)])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, block, per_slice, fan):
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", block)  # small blocks split groups
+    monkeypatch.setattr(jaccard, "KEYS_PER_SLICE", per_slice)
+    monkeypatch.setattr(jaccard, "FAN", fan)  # slices in two steps
     rows = near_copies(seed, 160)
     found = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in
              jaccard.jaccard_components(frame(spark, rows)).collect()}
@@ -141,9 +143,10 @@ def brute_repeats(rows, size):
     return out
 
 
-@pytest.mark.parametrize("seed,vocabulary", [(5, 400), (6, 3), (7, 1)])
-def test_removed_passages_equal_brute_force(spark, monkeypatch, seed, vocabulary):
+@pytest.mark.parametrize("seed,vocabulary,fan", [(5, 400, 256), (6, 3, 256), (7, 1, 256), (5, 400, 3)])
+def test_removed_passages_equal_brute_force(spark, monkeypatch, seed, vocabulary, fan):
     monkeypatch.setattr(repeats, "KEYS_PER_SLICE", 50)  # many slices
+    monkeypatch.setattr(repeats, "FAN", fan)
     r = random.Random(seed)
     words = [f"w{k}" for k in range(vocabulary)]
     passages = [[r.choice(words) for _ in range(r.randint(15, 60))] for _ in range(6)]
@@ -183,6 +186,41 @@ def test_equal_places_under_one_id_fare_alike_in_any_partition(spark, parts):
     assert [x[2] for x in found[3:]] == ["one", "two"]
 
 
+def test_an_exchange_makes_no_row_per_piece_and_slice(spark):
+    """The first step's rows grow with the pieces, the second's with a part of the slices' square;
+    a row per piece and slice would be 2,560 and 40,960."""
+    import pyarrow as pa
+
+    from broadsheet.llm import common
+
+    fan = 8
+
+    def exchanged(pieces, slices):
+        def send(batches):
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    value = np.arange(k * 64, k * 64 + 64)
+                    home = common.homes_of(value, slices)
+                    yield from common.addressed(
+                        home, slices, {"v": (value, pa.int64())}, k, fan).combine_chunks().to_batches()
+
+        def gather(table):
+            value = common.flat_column(table, "v")
+            home = int(table.column("slice")[0].as_py())
+            assert (common.homes_of(value, slices) == home).all()
+            return pa.table({"home": [home], "rows": [table.num_rows], "total": [int(value.sum())]})
+
+        sent = spark.range(pieces).mapInArrow(send, common.address_ddl("v array<long>"))
+        found = common.exchange(sent, slices, gather, "home long, rows long, total long", fan).collect()
+        assert len({r.home for r in found}) == len(found)
+        assert sum(r.total for r in found) == sum(range(pieces * 64))
+        return sent.count(), sum(r.rows for r in found)
+
+    first, second = exchanged(40, 64), exchanged(160, 256)
+    assert first[0] <= 40 * fan and second[0] <= 160 * fan
+    assert first[1] <= 64 and second[1] <= 256 * 4
+
+
 def brute_distance(item, words):
     row = [0] * (len(words) + 1)
     for k, w in enumerate(item, 1):
