@@ -25,6 +25,15 @@ def uniform(doc_id: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(UNIT))
 
 
+def _digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def rank_name() -> Column:
+    """What a document's random number is drawn from: its id, or its text where it has none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), _digest()))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
@@ -71,11 +80,11 @@ def mix_sources(
     of u, so sizes are summed by source and by ``BINS`` equal bins of u on the map side; only
     the rows of the one bin in which a source's sample ends are ranked one by one.
 
-    A null text has size 0. Null sources are one source, the last. Repeated rows have the same
-    u and are ranked one after another; a null id ranks as the word null. Empty tables give
-    none. Columns of ``docs`` named like a new one are replaced.
+    A null text has size 0. Null sources are one source, the last. Rows that share an
+    id have the same u and are ranked by size, then by a digest of their text; a row without an
+    id has the u of its text. So a rerun takes the same texts. Empty tables give none. Columns of ``docs`` named like a new one are replaced.
     """
-    rows = docs.withColumns({"size": words_of(F.col("text")), "_u": uniform(F.col("doc_id"))})
+    rows = docs.withColumns({"size": words_of(F.col("text")), "_u": uniform(rank_name())})
     rows = rows.withColumn("_bin", F.floor(F.col("_u") * BINS))
     histogram = materialize(
         rows.groupBy("source", "_bin").agg(F.sum("size").alias("size")), "mix-bins"
@@ -109,7 +118,7 @@ def mix_sources(
     odds = F.try_divide(
         F.col("_u") / (1 - F.col("_u")), F.try_divide(share_left, 1 - share_left)
     )
-    in_end = Window.partitionBy("source").orderBy(odds, "size").rowsBetween(
+    in_end = Window.partitionBy("source").orderBy(odds, "size", _digest()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     last = marked.where(place == 0).withColumn("_upto", F.sum("size").over(in_end)).withColumn(

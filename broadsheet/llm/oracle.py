@@ -92,8 +92,9 @@ FROM judged j JOIN named n USING (host, shape) JOIN purity p USING (host, templa
 ORACLE["op10_mix_sources"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE)
-           / 4503599627370496::DOUBLE AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null ' || md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE)
+           / 4503599627370496::DOUBLE AS u,
+         md5(coalesce(text, '')) AS digest
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -115,7 +116,7 @@ r AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS whole FROM t),
 ranked AS (
   SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY r.source ORDER BY u, d.size ROWS UNBOUNDED PRECEDING) AS upto
+         sum(d.size) OVER (PARTITION BY r.source ORDER BY u, d.size, d.digest ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -20,7 +20,8 @@ from broadsheet.llm.common import running_total, shuffle_width
 MIN_REVISIT_BYTES = 1000
 FILE_BYTES = 32 << 20
 SHARD_BYTES = 64 << 20
-MOST_SHARDS = 4096
+MOST_SHARDS = 65536
+NO_ID = -(2**63)
 WHEN = "2024-01-01T00:00:00Z"
 MANIFEST = "shard int, file string, records long, bytes long, sha1 string"
 RECORD = ("page_id long, url string, record_type string, payload_bytes long, "
@@ -149,8 +150,9 @@ def write_warc(
 ) -> DataFrame:
     """Write one record per row of ``pages`` (page_id, url, html) and return the manifest.
 
-    Records are sorted by page_id and cut into shards of about ``shard_bytes`` of payload at
-    fixed places of that order, so a rerun makes the same files whatever the partitioning. A
+    Records are sorted by (page_id, digest) and cut into shards of about ``shard_bytes`` of
+    payload at fixed places of that order, so a rerun makes the same files whatever the
+    partitioning, and rows that share a page_id, or have none, are cut as well. A
     shard's files roll at ``file_bytes`` compressed; a retried or doubled task renames equal
     bytes onto the same name. What the manifest table in ``folder`` lists is committed, and
     nothing else is.
@@ -168,14 +170,14 @@ def write_warc(
         "payload_bytes": F.octet_length("html").cast("long"),
         "digest": F.sha1(F.encode("html", "UTF-8")),
     })
-    sizes = rows.groupBy("page_id").agg(F.sum("payload_bytes").alias("payload_bytes"))
-    placed = running_total(sizes, ["page_id"], "payload_bytes", "warc-order")
+    sizes = rows.groupBy("page_id", "digest").agg(F.sum("payload_bytes").alias("payload_bytes"))
+    placed = running_total(sizes, ["page_id", "digest"], "payload_bytes", "warc-order")
     total = placed.agg(F.sum("payload_bytes")).first()[0] or 0
     shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))  # bounds the list of cuts
     starts = [
-        r.start for r in placed.where("page_id IS NOT NULL")
-        .groupBy(F.floor(F.col("before") / shard_bytes).alias("shard"))
-        .agg(F.min("page_id").alias("start")).orderBy("shard").collect()
+        (NO_ID if r.start.page_id is None else r.start.page_id, r.start.digest)
+        for r in placed.groupBy(F.floor(F.col("before") / shard_bytes).alias("shard"))
+        .agg(F.min(F.struct("page_id", "digest")).alias("start")).orderBy("shard").collect()
     ]
 
     kept = (
@@ -197,12 +199,14 @@ def write_warc(
             for page_id, url, html, digest, original in zip(
                 *(rows.column(k).to_pylist() for k in range(5))
             ):
-                shard = 0 if page_id is None else max(0, bisect_right(starts, page_id) - 1)
+                key = NO_ID if page_id is None else page_id
                 if html is None:
+                    shard = max(0, bisect_right(starts, (key, digest)) - 1)
                     out.append((shard, page_id, None, digest, None, original, None))
                     continue
                 payload = html.encode("utf-8", "surrogatepass")
                 sha = _sha1(payload)
+                shard = max(0, bisect_right(starts, (key, sha.hex())) - 1)
                 record = encode_record(page_id, url, payload, sha, len(payload), None)
                 out.append((shard, page_id, url, sha.hex(), len(payload), None, _gzip(record)))
             yield pa.RecordBatch.from_arrays(
@@ -218,7 +222,7 @@ def write_warc(
         .unionByName(revisits)
         .mapInArrow(encode, "shard int, page_id long, url string, digest string, "
                             "payload_bytes long, refers_to long, member binary")
-        .repartition(max(1, min(len(starts), shuffle_width(spark))), "shard")
+        .repartitionById(max(1, len(starts)), "shard")  # a task per shard
         .sortWithinPartitions("shard", "page_id", "digest", F.col("member").isNotNull(), "url")
         .mapInArrow(_write(folder, file_bytes), MANIFEST)
     )

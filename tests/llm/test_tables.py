@@ -434,3 +434,24 @@ def test_rows_under_one_id_are_cut_into_shards(spark, tmp_path):
     sums = sorted(zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
                   for _, t in rows)
     assert sorted(x.ids_crc32 for x in found) == sums
+
+
+def test_rows_without_an_id_are_spread_and_reruns_agree(spark):
+    rows = [(None, f"w{k} " * (k % 9 + 1), None, "a", 0) for k in range(400)]
+    rows += [(5, "x y z", None, "b", 0), (5, "z y x", None, "b", 0), (6, "q " * 30, None, "b", 0)]
+    frame = spark.createDataFrame(rows, DOC)
+    taken = [
+        sorted(map(str, mixing.mixed(frame.repartition(parts)).collect())) for parts in (1, 6)]
+    assert taken[0] == taken[1]
+    names = frame.select(mixing.uniform(mixing.rank_name()).alias("u")).distinct().count()
+    assert names == 402
+
+
+def test_archive_rows_without_an_id_are_cut_into_shards(spark, tmp_path):
+    rows = [(None, f"u{k}", f"n{k} " * 400) for k in range(60)] + [(3, "u", f"{k} " * 400) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_warc(pages, f"{tmp_path}/w", shard_bytes=5_000)
+    assert manifest.select("shard").distinct().count() > 12
+    found = warc.read_warc(spark, f"{tmp_path}/w", payload=True).collect()
+    assert sorted((x.page_id or 0, bytes(x.payload).decode()) for x in found) == sorted(
+        (i or 0, h) for i, _, h in rows)
