@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from broadsheet.config import DEFAULT_CONFIG, EngineConfig
 from broadsheet.schemas import CATEGORIES, COUNTRIES, LEGACY_CATEGORIES
+from broadsheet.session import materialize
 
 PAGE_COLUMNS = (
     "id", "title", "url", "source", "category", "country", "quality_score", "summary",
@@ -82,6 +84,44 @@ def article_page_after(
     return article_page(store.filter(after), limit)
 
 
+def write_page_index(view: DataFrame, path: str, rows_per_range: int = 10_000) -> None:
+    """Write a list of articles in its order, in ranges, with the number of rows of each.
+
+    For one list (a view and its facets) that is paged through often: the served columns are
+    range-partitioned by (shown at, id) into folders ``place=N``, and ``path/counts`` has one
+    row per range.
+    """
+    spark = view.sparkSession
+    rows = materialize(view.select(*PAGE_COLUMNS, _shown_at().alias("shown_at")), "listed")
+    ranges = max(1, -(-rows.count() // rows_per_range))
+    rows = rows.repartitionByRange(ranges, F.desc("shown_at"), F.col("id")).withColumn(
+        "place", F.spark_partition_id())
+    rows.write.mode("overwrite").partitionBy("place").parquet(f"{path}/rows")
+    counted = spark.read.parquet(f"{path}/rows").groupBy("place").agg(F.count("*").alias("n"))
+    counted.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def indexed_page(spark: SparkSession, path: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The page at any offset of a list written by :func:`write_page_index`.
+
+    The counts, one number per range, say which range the offset falls into and how far; only
+    that range is read, and the next ones where the page goes on there.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be within 1..100")
+    if offset < 0:
+        raise ValueError("offset must not be negative")
+    before = F.sum("n").over(W.orderBy("place")) - F.col("n")  # a row per range
+    counts = spark.read.parquet(f"{path}/counts").select("place", "n", before.alias("before"))
+    met = counts.filter(
+        (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
+    ).orderBy("place").collect()  # as many ranges as a page can touch
+    skipped = offset - met[0].before if met else 0
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("place").isin([r.place for r in met]))
+    ordered = rows.orderBy(F.desc("shown_at"), "id").select(*PAGE_COLUMNS)
+    return (ordered.offset(skipped) if skipped else ordered).limit(limit)
+
+
 def filtered_total(store: DataFrame) -> DataFrame:
     return store.agg(F.count("*").alias("total"))
 

@@ -724,6 +724,14 @@ def last_write_wins(spark, folder):
 # --- paging and set operations ------------------------------------------------------
 
 
+@query
+def deep_page(spark, folder):
+    """A page far down the list, from its index."""
+    path = scratch_path(spark, "page-index")
+    serve.write_page_index(serve.published_view(B.store(spark, folder), B.CONFIG), path, rows_per_range=40)
+    return serve.indexed_page(spark, path, limit=50, offset=90).drop("image_url")
+
+
 @query
 def article_page(spark, folder):
     shown = serve.published_view(_served(spark, folder), B.CONFIG)

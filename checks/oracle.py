@@ -459,6 +459,7 @@ ORACLE["sample_remainder"] = WITH + SAMPLE + " SELECT seq, source FROM a WHERE s
 ORACLE["last_write_wins"] = WITH + A + " SELECT seq, title, source FROM a QUALIFY row_number() OVER (PARTITION BY title ORDER BY seq DESC) = 1"
 
 ORACLE["article_page"] = WITH + ST + f" SELECT {PAGE} FROM st WHERE {PUBLISHED} ORDER BY coalesce(published_date, created_at) DESC, id LIMIT 50 OFFSET 20"
+ORACLE["deep_page"] = WITH + ST + f" SELECT {PAGE} FROM st WHERE {PUBLISHED} ORDER BY coalesce(published_date, created_at) DESC, id LIMIT 50 OFFSET 90"
 ORACLE["disagreements"] = WITH + LABELLED + """, df AS (SELECT * FROM lb WHERE strict <> human)
  SELECT doc_id, substr(title, 1, 50) AS title, strict, human, greatest(0, (SELECT count(*) FROM df) - 15) AS not_shown FROM df ORDER BY doc_id LIMIT 15"""
 ORACLE["union_channels"] = WITH + A + f""" SELECT seq, title, url, source FROM a

@@ -306,3 +306,21 @@ def test_updates_leave_untouched_files_alone(spark, tmp_path):
     found = {r.id: r for r in spark.read.parquet(path).collect()}
     assert len(found) == 5 and found[1].category != "country" and found[2].source == "Sifted"
     assert (found[4].category, found[4].country, found[4].eu_relevance, found[4].confidence) == ("startups", "France", 9.0, 0.9)
+
+
+def test_a_deep_page_reads_one_range(spark, tmp_path):
+    rows = _store(spark, [{"category": "policy", "published": T0 + timedelta(hours=k * 7 % 400)} for k in range(1000)])
+    path = str(tmp_path / "index")
+    serve.write_page_index(rows, path, rows_per_range=100)
+    for limit, offset in ((50, 0), (10, 95), (100, 333), (7, 990), (50, 999), (5, 5000)):
+        page = serve.indexed_page(spark, path, limit, offset)
+        assert _ids(page) == _ids(serve.article_page(rows, limit, offset)), (limit, offset)
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        if offset < 1000:
+            asked = plan.split("PartitionFilters: [")[1].split("]")[0]
+            assert "place#" in asked and asked.count(",") <= 3  # one range, or two neighbours
+    serve.write_page_index(rows.limit(0), path)
+    assert serve.indexed_page(spark, path).collect() == []
+    for bad in ({"limit": 0}, {"limit": 101}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            serve.indexed_page(spark, path, **bad)
