@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from broadsheet.config import DEFAULT_CONFIG, EngineConfig
 from broadsheet.schemas import CATEGORIES, COUNTRIES, LEGACY_CATEGORIES
 from broadsheet.session import materialize
+from broadsheet.sources.tables import read_table
 
 PAGE_COLUMNS = (
     "id", "title", "url", "source", "category", "country", "quality_score", "summary",
@@ -18,6 +19,13 @@ PAGE_COLUMNS = (
 )
 
 
+_LISTED = (
+    "id BIGINT, title STRING, url STRING, source STRING, category STRING, country STRING, "
+    "quality_score DOUBLE, summary STRING, image_url STRING, created_at TIMESTAMP_NTZ, "
+    "published_date TIMESTAMP_NTZ, shown_at TIMESTAMP_NTZ, place INT"
+)
+
+
 def write_served(store: DataFrame, path: str) -> DataFrame:
     """The store as the table that readers are served from, one folder per category."""
     store.write.mode("overwrite").partitionBy("category").parquet(path)
@@ -97,7 +105,7 @@ def write_page_index(view: DataFrame, path: str, rows_per_range: int = 10_000) -
     rows = rows.repartitionByRange(ranges, F.desc("shown_at"), F.col("id")).withColumn(
         "place", F.spark_partition_id())
     rows.write.mode("overwrite").partitionBy("place").parquet(f"{path}/rows")
-    counted = spark.read.parquet(f"{path}/rows").groupBy("place").agg(F.count("*").alias("n"))
+    counted = read_table(spark, f"{path}/rows", _LISTED).groupBy("place").agg(F.count("*").alias("n"))
     counted.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
 
 
@@ -112,12 +120,12 @@ def indexed_page(spark: SparkSession, path: str, limit: int = 50, offset: int =
     if offset < 0:
         raise ValueError("offset must not be negative")
     before = F.sum("n").over(W.orderBy("place")) - F.col("n")  # a row per range
-    counts = spark.read.parquet(f"{path}/counts").select("place", "n", before.alias("before"))
+    counts = read_table(spark, f"{path}/counts", "place INT, n BIGINT").select("place", "n", before.alias("before"))
     met = counts.filter(
         (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
     ).orderBy("place").collect()  # as many ranges as a page can touch
     skipped = offset - met[0].before if met else 0
-    rows = spark.read.parquet(f"{path}/rows").filter(F.col("place").isin([r.place for r in met]))
+    rows = read_table(spark, f"{path}/rows", _LISTED).filter(F.col("place").isin([r.place for r in met]))
     ordered = rows.orderBy(F.desc("shown_at"), "id").select(*PAGE_COLUMNS)
     return (ordered.offset(skipped) if skipped else ordered).limit(limit)
 

@@ -24,7 +24,7 @@ from broadsheet.streaming.feeds import read_feed_files, read_rejects, start_feed
 from broadsheet.streaming.files import drain, read_file_stream
 from broadsheet.streaming.ingest import read_stream_store, start_ingest
 from broadsheet.streaming.keys import add_keys, keys_of, known_in, merge_full_tiers, unknown_rows
-from broadsheet.streaming.metrics import start_windowed_metrics, windowed_metrics
+from broadsheet.streaming.metrics import roll_up, start_windowed_metrics, windowed_metrics
 
 NOW = datetime(2024, 3, 1)
 SMALL = "/root/testdata/sf0.001"
@@ -286,6 +286,26 @@ def test_stream_metrics_equal_batch(spark, tmp_path):
     assert max(closed) <= datetime(2024, 2, 6, 8) < max(r.window_end for r in found.collect())
 
 
+def test_rolled_up_metrics_stay_the_same(spark, tmp_path):
+    """Readers meet few batches' parts; a roll-up that stopped before its end counts nothing."""
+    _stream_files(spark, tmp_path, parts=4)
+
+    def run(name, **how):
+        stream = _source(spark, tmp_path).withColumn("ts", F.col("published_date").cast("timestamp"))
+        start_windowed_metrics(stream, "ts", 3.0, f"{tmp_path}/{name}", f"{tmp_path}/c{name}", **how).awaitTermination()
+        return sorted(map(str, windowed_metrics(spark, f"{tmp_path}/{name}").collect()))
+
+    plain, rolled = run("plain"), run("rolled", roll_every=2)
+    assert plain == rolled
+    folders = sorted(p.name for p in (tmp_path / "rolled").glob("batch_id=*"))
+    assert folders == ["batch_id=2", "batch_id=3"] and len(list((tmp_path / "rolled/_rolled").iterdir())) == 1
+    # half-written, and one whose parts were not deleted yet
+    (tmp_path / "rolled/_rolled/upto=9").mkdir()
+    roll_up(spark, f"{tmp_path}/rolled", 3)
+    assert sorted(map(str, windowed_metrics(spark, f"{tmp_path}/rolled").collect())) == plain
+    assert sorted(p.name for p in (tmp_path / "rolled").glob("batch_id=*")) == ["batch_id=3"]
+
+
 def test_stream_unique_urls(spark, tmp_path):
     whole = _stream_files(spark, tmp_path)
     stream = _source(spark, tmp_path).withColumn("ts", F.col("published_date").cast("timestamp"))
