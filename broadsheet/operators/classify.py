@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +138,35 @@ def classify(
         "category", "country", "eu_relevance", "confidence")])
 
 
+def classify_under_modes(
+    df: DataFrame,
+    modes: Sequence[str],
+    rules: RuleSet = DEFAULT_RULES,
+    allowed: Column | None = None,
+    response: str = "response",
+) -> DataFrame:
+    """The labels of :func:`classify` under several modes, a row per mode, with ``mode``.
+
+    Keywords are searched and answers checked once per article, however many modes there are.
+    """
+    called = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
+    names = ("category", "country", "eu_relevance", "confidence")
+    both = keyword_labels(
+        model_outcome(df.withColumn("_called", called), response, "_outcome"), rules, prefix="_kw_")
+    rows = []
+    for mode in modes:
+        if mode not in ("disabled", "shadow", "live"):
+            raise ValueError(f"unknown mode: {mode}")
+        use_model = F.lit(mode == "live") & F.col("_called") & F.col("_outcome")["valid"]
+        rows.append(F.struct(
+            F.lit(mode).alias("mode"), (F.lit(mode != "disabled") & F.col("_called")).alias("called"),
+            *[F.when(use_model, F.col("_outcome")[n]).otherwise(F.col("_kw_" + n)).alias(n) for n in names],
+            F.when(use_model, "model").otherwise("keywords").alias("label_origin"),
+        ))
+    kept = [c for c in df.columns if c not in (*names, "mode", "called", "label_origin")]
+    return both.select(*kept, F.inline(F.array(*rows)))
+
+
 def compare_labelers(df: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Keyword and model labels side by side with a match flag.
 

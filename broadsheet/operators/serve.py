@@ -27,8 +27,11 @@ _LISTED = (
 
 
 def write_served(store: DataFrame, path: str) -> DataFrame:
-    """The store as the table that readers are served from, one folder per category."""
-    store.write.mode("overwrite").partitionBy("category").parquet(path)
+    """The store as the table that readers are served from, one folder per category.
+
+    Rows are rebalanced first, so that not every task writes a file into each folder.
+    """
+    store.hint("rebalance", "category").write.mode("overwrite").partitionBy("category").parquet(path)
     return store.sparkSession.read.schema(store.schema).parquet(path)
 
 

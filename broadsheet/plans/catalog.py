@@ -50,8 +50,15 @@ def _entries(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.entry_rows(items.withColumn("entry", feeds.parse_item(F.col("xml"))).drop("xml"))
 
 
+# the served table of a folder, by application: writing it is the store's job, not a reader's
+_SERVED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _served(spark: SparkSession, folder: str) -> DataFrame:
-    return serve.write_served(B.store(spark, folder), scratch_path(spark, "served"))
+    place = (spark.sparkContext.applicationId, folder)
+    if place not in _SERVED:
+        _SERVED[place] = serve.write_served(B.store(spark, folder), scratch_path(spark, "served"))
+    return _SERVED[place]
 
 
 def _batch_and_store(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -795,13 +802,10 @@ def keyword_classify(spark, folder):
 @query
 def classify_modes(spark, folder):
     rows = _with_response(spark, folder)
-    labels = ["seq", "mode", "category", "country", "eu_relevance", "confidence", "label_origin"]
-    allowed = F.col("seq") % 4 != 3
-    modes = [
-        classify.classify(rows, mode, B.RULES, allowed).withColumn("mode", F.lit(mode)).select(*labels)
-        for mode in ("disabled", "shadow", "live")
-    ]
-    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+    labelled = classify.classify_under_modes(
+        rows, ("disabled", "shadow", "live"), B.RULES, F.col("seq") % 4 != 3)
+    return labelled.select(
+        "seq", "mode", "category", "country", "eu_relevance", "confidence", "label_origin")
 
 
 @query

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.config import DEFAULT_RULES, RuleSet
+from broadsheet.operators import classify as C
 from broadsheet.operators.classify import classify, compare_labelers, keyword_labels, model_outcome
 from broadsheet.operators.quality import quality_score
 from broadsheet.operators.summarize import choose_summary
@@ -166,3 +167,24 @@ def test_filters_do_not_copy_the_keyword_expressions(spark):
     assert plan.count("machine learning") == 1
     narrow = scored.select("seq")._jdf.queryExecution().optimizedPlan().toString()
     assert "machine learning" not in narrow
+
+
+def test_labels_under_several_modes_equal_those_under_each(spark):
+    good = '{"category": "research", "country": "France", "eu_relevance": 9, "confidence": 0.9}'
+    rows = [(1, "French AI startup raises", "text about machine learning", "Sifted", good, "ok"),
+            (2, "Weather", "rain", "Other", good, "ok"), (3, "AI startup", "software", "Other", "{", "ok"),
+            (4, "AI startup", "software", "Other", None, "api_error")]
+    df = spark.createDataFrame(rows, "seq long, title string, content string, source string, text string, status string")
+    df = df.withColumn("response", F.struct(
+        "text", "status", F.lit("e").alias("error"), F.lit("m").alias("model"), F.lit(1).alias("latency_ms"),
+        F.lit(1).alias("tokens_in"), F.lit(1).alias("tokens_out")))
+    allowed = F.col("seq") != 2
+    columns = ["seq", "category", "country", "eu_relevance", "confidence", "called", "label_origin"]
+    modes = ("disabled", "shadow", "live")
+    every = C.classify_under_modes(df, modes, allowed=allowed)
+    for mode in modes:
+        one = C.classify(df, mode, allowed=allowed).select(*columns)
+        same = every.filter(F.col("mode") == mode).select(*columns)
+        assert sorted(map(str, one.collect())) == sorted(map(str, same.collect()))
+    with pytest.raises(ValueError):
+        C.classify_under_modes(df, ["other"])
