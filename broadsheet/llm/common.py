@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -35,6 +36,16 @@ def slices_for(rows: int, per_slice: int) -> int:
     return max(1, -(-rows // per_slice))
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark deletes them when the driver's garbage collector finds that nothing can read them
+    any more, which between two long steps may not happen by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     """Narrow rows of a written table, to be broadcast if they are few: they are counted
     first. More of them meet the other side in a shuffle."""

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import (
-    FAN, _powers, address_ddl, addressed, exchange, flat_column, homes_of, lists_of, mix, slices_for,
-    text_pieces, word_hashes,
+    FAN, _powers, address_ddl, addressed, exchange, flat_column, forget_shuffles, homes_of, lists_of,
+    mix, slices_for, text_pieces, word_hashes,
 )
 from broadsheet.session import materialize
 
@@ -313,11 +313,13 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     volume = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     slices = slices_for(volume, KEYS_PER_SLICE * BYTES_PER_KEY)
     marks = materialize(_repeated_marks(rows.select("rk", "text"), size, slices), "repeat-marks")
+    forget_shuffles(docs.sparkSession)
     later = materialize(
         _later_windows(
             rows.join(marks, "rk").select("rk", "doc_id", "text", "keys"), size, slices
         ), "repeat-windows",
     )
+    forget_shuffles(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
