@@ -195,24 +195,26 @@ def _repeated_marks(rows: DataFrame, size: int, slices: int) -> DataFrame:
                 key, owner = key[order], owner[order]
                 new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
                 times = np.diff(np.append(np.flatnonzero(new), len(key)))
-                sure = np.repeat(times > 1, times)
-                # what is settled goes anywhere, by turns
+                # 0 asks for equals elsewhere, 2 does so and is settled, 1 is settled
+                asks = np.where(times > 1, 2, 0)
+                sure = np.repeat(times > 1, times) & ~new
+                # what only is settled goes anywhere, by turns
                 home = np.append(_in_slices(key[new], slices), np.full(sure.sum(), number % slices))
                 number += 1
                 yield from addressed(home, slices, {
                     "keys": (np.append(key[new], key[sure]).view(np.int64), pa.int64()),
                     "owners": (np.append(owner[new], owner[sure]), pa.int64()),
-                    "sure": (np.repeat([0, 1], [new.sum(), sure.sum()]), pa.int8()),
+                    "sure": (np.append(asks, np.ones(sure.sum(), dtype=np.int64)), pa.int8()),
                 }, number, FAN).combine_chunks().to_batches()
 
     def gather(table: pa.Table) -> pa.Table:
         key, owner = flat_column(table, "keys"), flat_column(table, "owners")
-        sure = flat_column(table, "sure") > 0
-        ordered = np.sort(key[~sure])
+        sure = flat_column(table, "sure")
+        ordered = np.sort(key[sure != 1])
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         at = np.searchsorted(again, key)
         hit = again[np.minimum(at, len(again) - 1)] == key if len(again) else np.zeros(len(key), bool)
-        hit |= sure
+        hit |= sure > 0
         return addressed(homes_of(owner[hit], slices), slices, {
             "owners": (owner[hit], pa.int64()), "keys": (key[hit], pa.int64()),
         }, int(table.column("slice")[0].as_py()), FAN)
